@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import lang_id, quality_rules
+from cartograph.llm import lang_id, near_dedup, pii, quality_rules, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,29 @@ def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, model).withColumn("held_out", fold(5) == 0)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op2_personal_data": op2_personal_data,
     "op4_quality_rules": op4_quality_rules,
+    "op7_token_counts": op7_token_counts,
+    "op9_toxicity_grades": op9_toxicity_grades,
     "op10_language_codes": op10_language_codes,
 }
 
