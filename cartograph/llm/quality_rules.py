@@ -114,33 +114,26 @@ def repeat_words(words: Column) -> Column:
     return F.when(n < 2, F.lit(0).cast("long")).otherwise(_let(words, exact))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
-
-    The word array is materialised once (a Python-free projection of its own)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def measures(text: Column, words: Column) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words (long)."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_GAP))
-    out = docs.withColumn("_w", words_of(F.col(text)))
-    return out.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.regexp_replace(t, WORD_GAP, "")).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("long"),
-            "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_lines": F.size(lines).cast("long"),
-            "n_repeat_words": repeat_words(F.col("_w")),
-        }
-    ).drop("_w")
-
-
-def host_verdicts(measured: DataFrame, host: str, rules: HostRules = HostRules()) -> DataFrame:
-    """One row per host: n_docs, n_failed, rate, shrunk, verdict (accept, suspect, reject).
+    pair = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d")))
+    return F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.regexp_replace(t, WORD_GAP, "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+        pair.alias("lines"),
+        repeat_words(words).alias("n_repeat_words"),
+    )
+
+
+def host_verdicts(failures: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
+    """One row per host of ``failures`` (host, failed): n_docs, n_failed, rate, shrunk, verdict.
 
     The beta prior is fitted by moments over all hosts; only per-host counts are
     shuffled (partial sums first), so a hot host costs no more than another."""
-    by_host = measured.groupBy(F.col(host).alias("host")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("n_failed")
-    )
+    by_host = failures.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
     prior = by_host.agg(
         F.avg(rate).alias("m"),
@@ -163,17 +156,40 @@ def host_verdicts(measured: DataFrame, host: str, rules: HostRules = HostRules()
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
-    """One row per row of ``docs``: id, host, measures, base_failed, soft_failed, host_verdict, kept."""
-    m = measure(docs.select(F.col(id_col), F.col(host).alias("host"), F.col(text).alias("text")), "text").drop("text")
-    m = m.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words")))
-    m = m.withColumn(
-        "soft_failed",
-        (100 * F.col("n_symbols") > rules.symbol_percent * F.col("word_chars")) | (100 * F.col("n_dup_lines") > rules.dup_line_percent * F.col("n_lines")),
+def _annotated(docs: DataFrame, text: str, host: str, rules: HostRules) -> tuple[DataFrame, str]:
+    """``docs`` with one struct column (its name is returned) of measures and verdicts."""
+    name = "_rules"
+    while name in docs.columns:
+        name += "_"
+    w, v = f"{name}w", f"{name}v"
+    m = docs.withColumn(w, words_of(F.col(text))).withColumn(name, measures(F.col(text), F.col(w))).drop(w)
+    c = F.col(name)
+    base = (c["n_words"] < rules.min_words) | (100 * c["n_repeat_words"] > rules.repeat_percent * c["n_words"])
+    soft = (100 * c["n_symbols"] > rules.symbol_percent * c["word_chars"]) | (
+        100 * (c["lines"]["n"] - c["lines"]["d"]) > rules.dup_line_percent * c["lines"]["n"]
     )
+    m = m.withColumn(name, c.withField("base_failed", base).withField("soft_failed", soft))
+    failures = m.select(F.col(host).alias("host"), (c["base_failed"] | c["soft_failed"]).alias("failed"))
     # Hosts may be many (one row each): Spark picks broadcast or a skew-split sort-merge join by size.
-    v = host_verdicts(m, "host", rules).select(F.col("host").alias("_h"), F.col("verdict").alias("host_verdict"))
-    out = m.join(v, m["host"].eqNullSafe(v["_h"]), "left").drop("_h")
-    return out.withColumn(
-        "kept", ~F.col("base_failed") & (F.col("host_verdict") != "reject") & ~((F.col("host_verdict") == "suspect") & F.col("soft_failed"))
+    verdicts = host_verdicts(failures, rules).select(F.col("host").alias(f"{v}h"), F.col("verdict").alias(v))
+    m = m.join(verdicts, F.col(host).eqNullSafe(F.col(f"{v}h")), "left")
+    kept = ~c["base_failed"] & (F.col(v) != "reject") & ~((F.col(v) == "suspect") & c["soft_failed"])
+    return m.withColumn(name, c.withField("host_verdict", F.col(v)).withField("kept", kept)).drop(v, f"{v}h"), name
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
+    """One row per row of ``docs``: id, measures, base_failed, soft_failed, host_verdict, kept."""
+    m, name = _annotated(docs.select(id_col, *dict.fromkeys([text, host])), text, host, rules)
+    c = F.col(name)
+    return m.select(
+        id_col,
+        *[c[x].alias(x) for x in ("n_words", "word_chars", "n_symbols")],
+        (c["lines"]["n"] - c["lines"]["d"]).alias("n_dup_lines"),
+        *[c[x].alias(x) for x in ("n_repeat_words", "base_failed", "kept", "soft_failed", "host_verdict")],
     )
+
+
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns."""
+    m, name = _annotated(docs, text, host, rules)
+    return m.where(F.col(name)["kept"]).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import lang_id, near_dedup, pii, quality_rules, token_counts, toxicity
+from cartograph.llm import decontaminate, lang_id, near_dedup, pii, quality_rules, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,7 @@ def fold(n: int):
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
-    return q.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", "host_verdict"
-    )
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +41,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -54,6 +55,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op4_quality_rules": op4_quality_rules,
     "op7_token_counts": op7_token_counts,
+    "op8_benchmark_templates": op8_benchmark_templates,
     "op9_toxicity_grades": op9_toxicity_grades,
     "op10_language_codes": op10_language_codes,
 }
