@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import decontaminate, lang_id, mixing, near_dedup, pii, quality_rules, token_counts, toxicity
+from cartograph.llm import decontaminate, lang_id, lm_score, mixing, near_dedup, pii, quality_rules, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op4_quality_rules": op4_quality_rules,
     "op5_soft_mixing": op5_soft_mixing,
+    "op6_recurrent_scores": op6_recurrent_scores,
     "op7_token_counts": op7_token_counts,
     "op8_benchmark_templates": op8_benchmark_templates,
     "op9_toxicity_grades": op9_toxicity_grades,
