@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import decontaminate, lang_id, lm_score, mixing, near_dedup, pii, quality_rules, token_counts, toxicity
+from cartograph.llm import decontaminate, lang_id, lm_score, mixing, near_dedup, pii, quality_rules, secrets, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled(spark)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op9_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_personal_data": op2_personal_data,
+    "op3_secret_forest": op3_secret_forest,
     "op4_quality_rules": op4_quality_rules,
     "op5_soft_mixing": op5_soft_mixing,
     "op6_recurrent_scores": op6_recurrent_scores,
