@@ -309,7 +309,7 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     cc = connected_components(pairs, "a", "b")
     parts = pairs.join(cc.withColumnRenamed("id", "a"), "a").select("component", "a", "b")
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         a, b = table["a"].to_pylist(), table["b"].to_pylist()
         ids = sorted({*a, *b})
         at = {x: i for i, x in enumerate(ids)}

@@ -104,17 +104,18 @@ def conventional_type(subject: Column) -> Column:
 
 
 def conventions(commits: DataFrame) -> DataFrame:
-    """One row: subjects, conventional, fix, feat, revert, issue_refs."""
-    t = conventional_type(F.col("subject"))
+    """One row: subjects (not blank), conventional, fix, feat, revert, issue_refs."""
+    s = F.trim(F.coalesce(F.col("subject"), F.lit("")))
+    t = conventional_type(s)
 
     def n(c: Column, name: str) -> Column:
-        return F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+        return F.count_if(c).alias(name)
 
     return commits.agg(
-        n(F.col("subject") != "", "subjects"),
+        n(s != "", "subjects"),
         n(t != "", "conventional"),
         n(t == "fix", "fix"),
         n(t == "feat", "feat"),
-        n((t == "revert") | F.lower(F.col("subject")).startswith("revert "), "revert"),
-        n(F.col("subject").rlike(ISSUE), "issue_refs"),
+        n((t == "revert") | ((t == "") & s.startswith('Revert "')), "revert"),
+        n(s.rlike(ISSUE), "issue_refs"),
     )
