@@ -4,13 +4,16 @@ A set's signature is ``LANES`` MinHash values of 16 bits, four to a long. Signat
 the number of lanes that differ. The ten longs are chunks: by pigeonhole two signatures at most
 19 lanes apart have a chunk with at most one differing lane, and masking each lane of a chunk in
 turn enumerates that error, so an equi-join on the 40 masked chunks finds every such pair. Pairs
-found further apart, up to ``MAX_DISTANCE``, are also confirmed. At similarity 0.75 a pair is
+found further apart are also looked at (stars up to ``MAX_DISTANCE``). At similarity 0.75 a pair is
 missed with chance 2e-6, and less above it.
 
 No bucket is expanded into all pairs. Sets that are equal are one class. In a bucket every class
-is first paired with two fixed members (stars); confirmed links give components. Only buckets
-that then hold several components go on: there each class outside the largest component meets
-the classes of other components, filtered by set size and signature distance inside the join.
+is first paired with two fixed members (stars), one of them the most central: the class that
+shares buckets with most others, in a group of copies the one nearest to all. Confirmed links give
+components. Only buckets that then hold several components go on: there each class outside the
+largest component meets the classes of other components. That join keeps a pair in the first bucket
+the two share and only if set sizes and the symmetric difference of ``BITS``-bit maps of the sets
+(a lower bound of the sets' own) leave the similarity possible.
 Pairs within a component are never needed, so all components come out whole.
 
 All candidates are confirmed on full shingle sets (64-bit hashes).
@@ -35,6 +38,7 @@ SHINGLE = 5
 LANES = 40
 CHUNKS = LANES // 4
 MAX_DISTANCE = 26
+BITS = 1024
 #: Ids broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -90,6 +94,17 @@ def describe(s: np.ndarray, r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return size, one, two, sig
 
 
+def bit_maps(s: np.ndarray, r: np.ndarray, n: int) -> np.ndarray:
+    """Maps (n x BITS / 64) of rows' sets: each hash sets one bit."""
+    key = np.unique(r.astype(np.int64) * BITS + (s & _U(BITS - 1)).astype(np.int64))
+    out = np.zeros(n * BITS // 64, np.uint64)
+    if len(key):
+        word = key >> 6
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out[word[first]] = np.add.reduceat(_U(1) << (key & 63).astype(np.uint64), first)
+    return out
+
+
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -110,7 +125,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """n_shingles, fp1, fp2 and set (array of hashes) per row of ``docs`` (text)."""
+    """n, fp1, fp2, set (array of hashes) and bits (its map) per row of ``docs`` (text)."""
 
     def run(batches):
         for batch in batches:
@@ -118,9 +133,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 s, r = shingles(textvec.split_words(data, bounds))
                 size, one, two, _ = describe(s, r, j - i)
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(size), _longs(one), _longs(two), pa.ListArray.from_arrays(pa.array(ends), _longs(s))], ["n", "fp1", "fp2", "set"])
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * (BITS // 64)), _longs(bit_maps(s, r, j - i)))
+                sets = pa.ListArray.from_arrays(pa.array(ends), _longs(s))
+                yield pa.RecordBatch.from_arrays([pa.array(size), _longs(one), _longs(two), sets, maps], ["n", "fp1", "fp2", "set", "bits"])
 
-    return docs.select("text").mapInArrow(run, "n bigint, fp1 bigint, fp2 bigint, set array<bigint>")
+    return docs.select("text").mapInArrow(run, "n bigint, fp1 bigint, fp2 bigint, set array<bigint>, bits array<bigint>")
 
 
 def class_id(n: str = "n") -> Column:
@@ -138,17 +155,43 @@ def masked_chunks(sig: str = "sig") -> Column:
     return F.array(*keys)
 
 
+def _lane(k: int) -> int:
+    """The mask of a lane of a long, signed."""
+    m = 0xFFFF << (16 * k)
+    return m - 2**64 if m >= 2**63 else m
+
+
 def lanes_apart(a: str, b: str) -> Column:
-    """Lanes in which two packed signatures differ."""
+    """Lanes in which two packed signatures (arrays) differ."""
     total = F.lit(0)
     for c in range(CHUNKS):
         x = F.get(a, F.lit(c)).bitwiseXOR(F.get(b, F.lit(c)))
-        for k, m in ((8, 0x00FF), (4, 0x000F), (2, 0x0003), (1, 0x0001)):  # any bit of a lane down to its lowest
-            x = x.bitwiseOR(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(m * 0x0001000100010001)))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        for k in range(4):
+            total = total + (x.bitwiseAND(F.lit(_lane(k))) != 0).cast("int")
     return total
 
 
+def first_shared(place: Column, a: list[Column], b: list[Column]) -> Column:
+    """Whether ``place`` is the first key that two signatures (lists of chunks) with that key in common share."""
+    first = F.lit(True)
+    for c in range(CHUNKS - 1):
+        x = a[c].bitwiseXOR(b[c])
+        none = F.lit(True)
+        for k in range(4):
+            none = none & (x.bitwiseAND(F.lit(~_lane(k))) != 0)
+        first = first & ((place < 4 * (c + 1)) | none)
+    own = F.lit(False)  # equal chunks share all four keys, of which the first counts
+    for c in range(CHUNKS):
+        own = own | ((F.shiftright(place, 2) == c) & (a[c] != b[c]))
+    return ((place.bitwiseAND(F.lit(3)) == 0) | own) & first
+
+
+def possible(na: Column, nb: Column, a: list[Column], b: list[Column], percent: int) -> Column:
+    """The maps' differing bits are no more than the similarity leaves: |A ^ B| <= (1 - s) / (1 + s) (|A| + |B|)."""
+    bits = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+    return bits * (100 + percent) <= (100 - percent) * (na + nb)
+
+
 def _near(na: str, nb: str, siga: str, sigb: str, percent: int) -> Column:
     """Neither set size nor signature distance rules the pair out."""
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (lanes_apart(siga, sigb) <= MAX_DISTANCE)
@@ -170,9 +213,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         full.groupBy(F.col("n_shingles").alias("n"), "fp1", "fp2").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig")).withColumn("cid", class_id())
     )
 
-    keys = classes.select(F.explode(masked_chunks()).alias("key"), "cid")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min_by("cid", F.xxhash64(F.lit(1), "cid")).alias("c1"), F.min_by("cid", F.xxhash64(F.lit(2), "cid")).alias("c2"))
-    members = cut(keys.join(shared.where("many > 1").drop("many"), "key"))
+    keys = classes.select(F.posexplode(masked_chunks()).alias("place", "key"), "cid")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    members = cut(keys.join(shared, "key"))
+    central = members.groupBy("cid").agg(F.sum("many").alias("links"))
+    hubs = members.join(central, "cid").groupBy("key").agg(
+        F.max_by("cid", F.struct("links", "cid")).alias("c1"), F.min_by("cid", F.xxhash64("cid")).alias("c2")
+    )
 
     own = classes.select("cid", "n", "sig")
 
@@ -181,31 +228,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         right = own.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
         return pairs.join(left, "a").join(right, "b").where(_near("na", "nb", "siga", "sigb", percent)).select("a", "b")
 
-    star = members.select("cid", F.explode(F.array("c1", "c2")).alias("c")).where("cid <> c")
+    star = members.join(hubs, "key").select("cid", F.explode(F.array("c1", "c2")).alias("c")).where("cid <> c")
     stars = cut(sized(star.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()))
 
     # Texts are needed of classes that share a bucket with another one.
     ids = cut(members.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select("rep").distinct())
     few = ids.count() <= BROADCAST_IDS
     src = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "rep", "left_semi")
-    sets = cut(shingle_sets(src).where("n > 0").select(class_id().alias("cid"), "set"))
+    sets = cut(shingle_sets(src).where("n > 0").select(class_id().alias("cid"), "n", "set", "bits"))
 
     first = cut(_confirmed(stars, sets, percent))
     comp = connected_components(first, "a", "b")
     comp = cut(comp.select(F.col("id").alias("cid"), F.col("component").alias("comp")))
 
-    placed = members.select("key", "cid").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    placed = members.select("key", "place", "cid").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1")
-    open_ = cut(placed.join(mixed.select("key", "main"), "key").join(own, "cid"))
-    a = open_.where("comp <> main").select("key", "main", *[F.col(c).alias(f"{c}_a") for c in ("cid", "comp", "n", "sig")])
-    b = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "comp", "n", "sig")])
+    facts = own.join(sets.select("cid", "bits").groupBy("cid").agg(F.any_value("bits").alias("bits")), "cid").select(
+        "cid", "n", *[F.get("sig", F.lit(i)).alias(f"s{i}") for i in range(CHUNKS)], *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITS // 64)]
+    )
+    open_ = cut(placed.join(mixed.select("key", "main"), "key").join(facts, "cid"))
+    # Few bytes and much work: dealt to as many tasks as shuffles have.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = open_.where("comp <> main").select([F.col(c).alias(f"{c}_a") for c in open_.columns]).repartition(parts, "key_a")
+    b = open_.select([F.col(c).alias(f"{c}_b") for c in open_.columns]).repartition(parts, "key_b")
+
+    def side(x: str, letter: str, n: int) -> list[Column]:
+        return [F.col(f"{letter}{i}_{x}") for i in range(n)]
+
     meet = a.join(
         b,
-        (a["key"] == b["key"])
+        (F.col("key_a") == F.col("key_b"))
         & (F.col("comp_a") != F.col("comp_b"))
-        & ((F.col("comp_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b")))
-        & _near("n_a", "n_b", "sig_a", "sig_b", percent),
+        & ((F.col("comp_b") == F.col("main_a")) | (F.col("cid_a") < F.col("cid_b")))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & possible(F.col("n_a"), F.col("n_b"), side("a", "b", BITS // 64), side("b", "b", BITS // 64), percent)
+        & first_shared(F.col("place_a"), side("a", "s", CHUNKS), side("b", "s", CHUNKS)),
     )
     late = meet.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     second = cut(_confirmed(late, sets, percent))
