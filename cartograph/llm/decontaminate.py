@@ -47,7 +47,9 @@ def templates(df: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_t", F.when(t.rlike(MARKS), F.regexp_replace(t, MARKS, " ")).otherwise(t))
     inner = F.regexp_replace("_t", r"(?<=[0-9])[.,:](?=[0-9])", INNER)
-    numbers = F.regexp_replace(inner, f"[0-9][0-9{INNER}]*", f" {NUMBER}$0 ")
+    # Digits within a word (w12, b7db7aa) are part of the word; a unit may follow without a blank.
+    alone = rf"(?<![\p{{L}}\p{{M}}0-9{INNER}])[0-9][0-9{INNER}]*(?=(?i:{'|'.join(UNITS)})(?!\p{{L}})|[^\p{{L}}\p{{M}}0-9{INNER}]|$)"
+    numbers = F.regexp_replace(inner, alone, f" {NUMBER}$0 ")
     units = F.regexp_replace(numbers, rf"(?i)({NUMBER}[0-9{INNER}]+ )[ \t-]*({'|'.join(UNITS)})(?!\p{{L}})", f"$1{UNIT}$2")
     df = df.withColumn("_n", F.when(F.col("_t").rlike("[0-9]"), units).otherwise(F.col("_t"))).drop("_t")
     # A name starts after a blank that follows a word or a comma; the match starts at blanks only.
