@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cartograph.functions import classify, lineage, text
 from cartograph.operators import checks, diff, graph, history, resolve
 from cartograph.plans import lenses as L
+from cartograph.sources import extract, gitlog, manifests
+from cartograph.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -409,6 +411,57 @@ def sql_lineage(spark, d):
     return lineage.sql_lineage(rows, "id", "text").select("id", "verb", "table", "access", "destructive", "gap")
 
 
+FILES = (
+    ("go.mod", None, "module x\n\nrequire (\n\tgithub.com/a/b v1.2.0\n\tgolang.org/x/c v0.3.0 // indirect\n)\n"),
+    ("package.json", None, '{"dependencies": {"react": "19.0.0"}, "devDependencies": {"vitest": "^2"}}'),
+    ("dev-requirements.txt", None, "pytest\n"),
+    ("requirements-dev.txt", None, "# tools\npytest>=8 ; python_version > '3'\nMy_Lib[extra]==1.0\n-r other.txt\n"),
+    ("Dockerfile", None, "FROM golang:1.23 AS build\nFROM build\nFROM scratch\n"),
+    ("a.py", "python", "import os\nfrom . import b\n\ndef run():\n    db('SELECT id FROM orders')\n\nclass _X:\n    def go(self): pass\n"),
+    ("m.go", "go", 'package main\n\nimport (\n\t"fmt"\n)\n\n// func Hidden() {}\nfunc (s *Svc) Run() {}\nfunc main() { fmt.Println("func No() {}") }\n'),
+    ("w.ts", "typescript", "import { a } from './a'\nexport class W {}\nconst q = `UPDATE t SET x = 1`\n"),
+)
+
+
+def _files(spark):
+    return spark.createDataFrame(list(FILES), "path string, lang string, content string")
+
+
+@query("""SELECT * FROM (VALUES ('go.mod', 'github.com/a/b', 'v1.2.0', 'runtime', 'go'), ('go.mod', 'golang.org/x/c', 'v0.3.0', 'indirect', 'go'), ('package.json', 'react', '19.0.0', 'runtime', 'npm'),
+('package.json', 'vitest', '^2', 'dev', 'npm'), ('requirements-dev.txt', 'my-lib', '==1.0', 'dev', 'pypi'), ('requirements-dev.txt', 'pytest', '>=8', 'dev', 'pypi'),
+('Dockerfile', 'golang', '1.23', 'runtime', 'image'), ('Dockerfile', 'scratch', '', 'runtime', 'image')) t(path, name, version, scope, ecosystem)""")
+def manifest_dependencies(spark, d):
+    return manifests.read_dependencies(_files(spark)).select("path", "name", "version", "scope", "ecosystem")
+
+
+@query("""SELECT * FROM (VALUES ('a.py', 'run', 'func', '', true), ('a.py', '_X', 'type', '', false), ('a.py', 'go', 'method', '_X', false), ('m.go', 'Run', 'method', 'Svc', true), ('m.go', 'main', 'func', '', false),
+('w.ts', 'W', 'type', '', true), ('w.ts', 'q', 'const', '', false)) t(path, name, kind, recv, exported)""")
+def source_symbols(spark, d):
+    return extract.extract(_files(spark)).select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.recv", "s.exported")
+
+
+@query("SELECT * FROM (VALUES ('a.py', 'import', 'os', ''), ('a.py', 'import', '.', ''), ('m.go', 'import', 'fmt', ''), ('w.ts', 'import', './a', ''), ('a.py', 'table', 'orders', 'reads'), ('w.ts', 'table', 't', 'writes')) t(path, what, name, access)")
+def source_references(spark, d):
+    f = extract.extract(_files(spark))
+    i = f.select("path", F.lit("import").alias("what"), F.explode("imports.raw").alias("name"), F.lit("").alias("access"))
+    return i.union(f.select("path", F.lit("table"), F.explode("queries").alias("q")).select("path", "table", "q.table", "q.access"))
+
+
+LOG = "h1\x1f2026-01-02\x1fAnn\x1ffix: a\x1f\n3\t1\ta/x.go\0-\t-\tb.png\0h0\x1f2026-01-01\x1fBob\x1fmv\x1f\n1\t0\t\0old.go\0new.go\0"
+
+
+@query("""SELECT * FROM (VALUES (0, 'h1', 'Ann', '2026-01-02', 'a/x.go', NULL, 3, 1, false), (0, 'h1', 'Ann', '2026-01-02', 'b.png', NULL, 0, 0, true), (1, 'h0', 'Bob', '2026-01-01', 'new.go', 'old.go', 1, 0, false))
+t(ord, hash, author, date, path, old_path, ins, del, "binary")""")
+def git_log(spark, d):
+    return gitlog.read_log(spark, LOG).select("ord", "hash", "author", "date", "path", "old_path", "ins", "del", "binary")
+
+
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents FROM events GROUP BY ALL""")
+def event_windows(spark, d):
+    w = events.windowed_counts(L.table(spark, d, "events"))
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "total_cents")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -1,0 +1,156 @@
+"""Declared dependencies and facts of manifests; the name of a file says which reader takes it."""
+
+from __future__ import annotations
+
+import json
+import re
+import tomllib
+import xml.etree.ElementTree as ET
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+Dep = tuple[str, str, str, str]  # name, version, scope, ecosystem
+
+# Sections of package.json and Cargo.toml and their scopes.
+NPM = {"dependencies": "runtime", "devDependencies": "dev", "peerDependencies": "build", "optionalDependencies": "build"}
+CARGO = {"dependencies": "runtime", "dev-dependencies": "dev", "build-dependencies": "build"}
+DEV_NAMES = r"(?i)(^|[^a-z])(dev|test|tests|lint|docs?|ci)([^a-z]|$)"
+
+
+def requirement(line: str) -> tuple[str, str] | None:
+    """(normal name, version) of a requirement line, None for an option or blank."""
+    line = re.sub(r"(^|\s)#.*$", "", line).split(";")[0].strip()
+    m = re.match(r"^([A-Za-z0-9][\w.-]*)\s*(?:\[[^\]]*\])?\s*(?:@\s*(\S+)|(.*))$", line)
+    if not m or line.startswith("-"):
+        return None
+    return re.sub(r"[-_.]+", "-", m[1]).lower(), (m[2] or m[3] or "").strip().strip("()")
+
+
+def go_mod(text: str) -> list[Dep]:
+    out = []
+    for block, single in re.findall(r"^require\s*(?:\(([^)]*)\)|(\S.*))$", text, re.M):
+        for line in (block or single).split("\n"):
+            m = re.match(r"\s*(\S+)\s+(v\S+)(.*)", line)
+            if m:
+                out.append((m[1], m[2], "indirect" if "// indirect" in m[3] else "runtime", "go"))
+    return out
+
+
+def package_json(text: str) -> list[Dep]:
+    data = json.loads(text)
+    return [(k, str(v), scope, "npm") for section, scope in NPM.items() for k, v in (data.get(section) or {}).items()]
+
+
+def pyproject(text: str) -> list[Dep]:
+    data = tomllib.loads(text)
+    project, out = data.get("project", {}), []
+    groups = [(project.get("dependencies", []), "runtime"), *((v, "runtime") for v in project.get("optional-dependencies", {}).values()), *((v, "dev") for v in data.get("dependency-groups", {}).values())]
+    for lines, scope in groups:
+        out += [(*r, scope, "pypi") for line in lines if isinstance(line, str) and (r := requirement(line))]
+    poetry = data.get("tool", {}).get("poetry", {})
+    for section, scope in (("dependencies", "runtime"), ("dev-dependencies", "dev")):
+        out += [(re.sub(r"[-_.]+", "-", k).lower(), v if isinstance(v, str) else str(v.get("version", "")), scope, "pypi") for k, v in poetry.get(section, {}).items() if k != "python"]
+    return out
+
+
+def requirements(text: str, name: str = "requirements.txt") -> list[Dep]:
+    scope = "dev" if re.search(DEV_NAMES, name) else "runtime"
+    return [(*r, scope, "pypi") for line in text.split("\n") if (r := requirement(line))]
+
+
+def cargo(text: str) -> list[Dep]:
+    data, out = tomllib.loads(text), []
+    tables = [data, data.get("workspace", {}), *data.get("target", {}).values()]
+    for t in tables:
+        for section, scope in CARGO.items():
+            for k, v in t.get(section, {}).items():
+                table = v if isinstance(v, dict) else {"version": v}
+                version = "workspace" if table.get("workspace") else str(table.get("version", ""))
+                out.append((table.get("package", k), version, scope, "crates.io"))
+    return out
+
+
+def composer(text: str) -> list[Dep]:
+    data = json.loads(text)
+    return [(k, str(v), s, "composer") for section, s in (("require", "runtime"), ("require-dev", "dev")) for k, v in (data.get(section) or {}).items() if k != "php" and not k.startswith(("ext-", "lib-"))]
+
+
+def gemfile(text: str) -> list[Dep]:
+    out, groups = [], []
+    for line in text.split("\n"):
+        if re.match(r"\s*group\b.*\bdo\b", line):
+            groups.append(bool(re.search(r":(development|test|lint|doc|ci)\b", line)))
+        elif re.match(r"\s*\w+.*\bdo\b\s*(\|.*\|)?\s*$", line):
+            groups.append(False)
+        elif re.match(r"\s*end\b", line) and groups:
+            groups.pop()
+        elif m := re.match(r"\s*(?:gem|\w+\.add_(?:runtime_|development_)?dependency)\s*\(?\s*['\"]([^'\"]+)['\"](?:\s*,\s*['\"]([^'\"]+)['\"])?", line):
+            out.append((m[1], m[2] or "", "dev" if any(groups) or "development_dependency" in line else "runtime", "rubygems"))
+    return out
+
+
+def msbuild(text: str) -> list[Dep]:
+    out = []
+    for e in ET.fromstring(re.sub(r"\sxmlns=\"[^\"]*\"", "", text, count=1)).iter():
+        if e.tag in ("PackageReference", "PackageVersion") and (e.get("Include") or e.get("Update")):
+            private = (e.get("PrivateAssets") or e.findtext("PrivateAssets") or "").lower() == "all"
+            out.append((e.get("Include") or e.get("Update"), e.get("Version") or e.findtext("Version") or "", "build" if private else "runtime", "nuget"))
+    return out
+
+
+def containerfile(text: str) -> list[Dep]:
+    """Base images that aren't earlier stages."""
+    stages, out = set(), []
+    for image, stage in re.findall(r"^\s*FROM\s+(?:--\S+\s+)*(\S+)(?:\s+AS\s+(\S+))?", text, re.M | re.I):
+        if image not in stages:
+            name, _, tag = image.partition(":") if "@" not in image else image.partition("@")
+            out.append((name, tag, "runtime", "image"))
+        stages.add(stage)
+    return out
+
+
+READERS = [
+    (r"(^|/)go\.mod$", go_mod), (r"(^|/)package\.json$", package_json), (r"(^|/)pyproject\.toml$", pyproject), (r"(^|/)Cargo\.toml$", cargo), (r"(^|/)composer\.json$", composer),
+    (r"(^|/)Gemfile$|\.gemspec$", gemfile), (r"\.(cs|fs|vb)proj$|(^|/)Directory\.(Build|Packages)\.props$", msbuild), (r"(?i)(^|/)(docker|container)file(\.[^/]*)?$", containerfile),
+]
+
+
+def dependencies(path: str, text: str) -> tuple[list[Dep], bool] | None:
+    """(dependencies, whether the file could be read in full); None where no reader takes the file."""
+    base = path.rsplit("/", 1)[-1]
+    reader = (lambda t: requirements(t, base)) if re.match(r"requirements.*\.txt$", base) else next((r for p, r in READERS if re.search(p, path)), None)
+    if reader is None:
+        return None
+    try:
+        return sorted(set(reader(text))), True
+    except (ValueError, ET.ParseError, AttributeError, TypeError):
+        return [], False
+
+
+def code_owners(text: str) -> list[tuple[str, list[str]]]:
+    """(pattern, owners) of lines that name an owner."""
+    rows = (re.sub(r"(^|\s)#.*$", "", line).split() for line in text.split("\n"))
+    return [(r[0], r[1:]) for r in rows if len(r) > 1]
+
+
+def make_targets(text: str) -> list[tuple[str, str]]:
+    """(target, first command) of a makefile."""
+    return [(m[1], m[2].strip()) for m in re.finditer(r"^([A-Za-z][\w.-]*)\s*:(?!=)[^\n]*\n?((?:\t[^\n]*)?)", text, re.M)]
+
+
+def read_dependencies(files: DataFrame) -> DataFrame:
+    """path, name, version, scope, ecosystem, complete of manifests among files (path, content); a manifest without any gives a null name."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got = dependencies(path or "", content or "")
+                if got:
+                    rows += [(path, *d, got[1]) for d in got[0] or [(None, None, None, None)]]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.string()] * 5 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["path", "name", "version", "scope", "ecosystem", "complete"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, name string, version string, scope string, ecosystem string, complete boolean")
