@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         path = os.path.join(tempfile.gettempdir(), f"cartograph-ckpt-{os.getpid()}")
         sc.setCheckpointDir(path)
+        atexit.register(shutil.rmtree, path, True)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
