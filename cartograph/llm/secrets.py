@@ -1,7 +1,10 @@
 """Secret scans: patterns propose, a random forest removes false positives. DataFrame functions only.
 
-Candidates are words, or the part of a word after ``=`` or ``:``, of at least ``MIN_LENGTH`` key
-characters. Features of a candidate: length, shares of digits, upper and lower case, changes of
+Candidates are all runs of key characters and dots in a word, split at any other sign, and the parts
+of a run between slashes and dots (a token that holds dots itself, as ``DOTTED``, is not split at them),
+of at least ``MIN_LENGTH`` characters each (around a part with a provider's prefix, only the part); only plain words (letters in lower case, the first may be a
+capital) that nothing is assigned to are left out. Run and part are candidates of their own, so a key
+with slashes may be found as a whole and by its long parts. Features of a candidate: length, shares of digits, upper and lower case, changes of
 character class and of kind (letter to digit and back) per character, distinct characters, hex
 share, coverage by dictionary fragments, a provider prefix, whether the path looks like test or
 example material, and neighbouring words that name a secret or a sample.
@@ -29,9 +32,11 @@ MAX_LABELLED = 20_000
 TREES = 20
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
-KEY_CHARS = r"[A-Za-z0-9+/_\-]"
-#: The value in a word: after a last = or : and quotes, up to closing signs.
-VALUE = rf"^(?:.*[=:])?[\"'(\[<]*({KEY_CHARS}{{{MIN_LENGTH},}}=*)[\"')\]>.,;!?*$%&#|]*$"
+KEY_CHARS = r"A-Za-z0-9+/_\-."
+#: What stands before a run (1) and the run with its padding (2).
+RUN = rf"([^{KEY_CHARS}]*)([{KEY_CHARS}]+(?:=++(?![{KEY_CHARS}]))?)"
+#: Tokens that hold dots.
+DOTTED = r"^(eyJ|SG\.)"
 
 # Words beside a candidate, fragments of ordinary words, prefixes of providers' keys, path parts.
 SECRET_WORDS = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth|bearer)"
@@ -50,7 +55,7 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """id, path, position (of the word, from 0), word, value, before and after (neighbouring words) per candidate."""
+    """id, path, position (of the word, from 0), word (the run before the value in it, signs and value), value, before and after (neighbouring words) per candidate."""
     place = F.col(path).cast("string") if path else F.lit("")
     words = docs.select(F.col(id_col).alias("id"), F.coalesce(place, F.lit("")).alias("path"), F.split(F.coalesce(F.col(text), F.lit("")), WORD_GAP).alias("w"))
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.length(F.get("w", i)) >= MIN_LENGTH)
@@ -61,9 +66,20 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path
 
     rows = F.transform(at, lambda i: F.struct(i.cast("long").alias("position"), F.get("w", i).alias("word"), near(i, -3, 0).alias("before"), near(i, 1, 3).alias("after")))
     found = words.select("id", "path", F.explode(rows).alias("x")).select("id", "path", "x.*")
-    found = found.withColumn("value", F.regexp_extract("word", VALUE, 1)).where("value <> ''")
-    # Plain words without a digit and without capitals inside are prose; the forest sees all others.
-    return found.where(F.col("value").rlike(r"[0-9]") | F.col("value").rlike(r"[a-z][A-Z]") | F.col("word").rlike("[=:]"))
+    found = found.withColumn("signs", F.regexp_extract_all("word", F.lit(RUN), F.lit(1))).withColumn("runs", F.regexp_extract_all("word", F.lit(RUN), F.lit(2)))
+    # Filtered before they become rows, which would carry a long word's arrays each.
+    runs = F.transform("runs", lambda x, i: F.when(F.length(x) >= MIN_LENGTH, F.struct(F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), F.get("signs", i)).alias("lead"), x.alias("run"))))
+    found = found.withColumn("x", F.explode(F.array_compact(runs))).select("id", "path", "position", "before", "after", "x.*")
+    run = F.regexp_replace("run", r"^\.+|\.+$", "")
+    parts = F.split(run, "/")
+    pieces = F.flatten(F.transform(parts, lambda x: F.when(x.rlike(DOTTED), F.array(x)).otherwise(F.split(x, r"\."))))
+    values = F.filter(F.array_distinct(F.concat(F.array(run), F.transform(parts, lambda x: F.regexp_replace(x, r"^\.+|\.+$", "")), pieces)), lambda x: F.length(x) >= MIN_LENGTH)
+    # What merely surrounds a part with a provider's prefix is no candidate.
+    found = found.withColumn("values", values).withColumn("known", F.filter("values", lambda x: x.rlike(PREFIXES)))
+    own = F.filter("values", lambda x: x.rlike(PREFIXES) | ~F.exists("known", lambda y: F.contains(x, y)))
+    found = found.withColumn("value", F.explode(own)).drop("values", "known").withColumn("word", F.concat("lead", "value")).drop("run", "lead")
+    # Plain words are prose; the forest sees all others.
+    return found.where(~F.col("value").rlike("^[A-Z]?[a-z]+$") | F.col("word").rlike("[=:]"))
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -105,6 +121,7 @@ def labelled(spark: SparkSession, rows: int = 4000) -> DataFrame:
     seed = F.sha2(F.concat(F.lit("finding"), i.cast("string")), 512)
     b64 = F.regexp_replace(F.base64(F.unhex(seed)), "[\r\n=]", "")
     size = (F.pmod(F.xxhash64(F.lit("n"), i), F.lit(25)) + 16).cast("int")
+    url64 = F.translate(b64, "+/", "-_")
     upper = F.translate(F.upper(F.substring(b64, 1, 60)), "+/0189", "QXYZWV")
     key = pick(
         "key",
@@ -113,6 +130,8 @@ def labelled(spark: SparkSession, rows: int = 4000) -> DataFrame:
         F.concat(F.lit("AKIA"), F.substr(upper, F.lit(1), F.lit(16))),
         F.concat(F.lit("ghp_"), F.substr(F.regexp_replace(b64, "[+/]", "x"), F.lit(1), F.lit(36))),
         F.substr(F.regexp_replace(b64, "[+/]", "_"), F.lit(1), size),
+        F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9.eyJ"), F.substr(url64, F.lit(1), size), F.lit("."), F.substr(url64, F.lit(43), F.lit(43))),
+        F.concat(F.lit("SG."), F.substr(url64, F.lit(1), F.lit(22)), F.lit("."), F.substr(url64, F.lit(23), F.lit(43))),
     )
     parts = [pick(f"w{k}", "user", "config", "The", "berkeit", "ation", "mente", "lich", "data", "Service", "handler", "queux", "over", "ending", "able") for k in range(6)]
     digit = F.pmod(F.xxhash64(F.lit("d"), i), F.lit(9999)).cast("string")
@@ -129,6 +148,11 @@ def labelled(spark: SparkSession, rows: int = 4000) -> DataFrame:
         F.concat(F.repeat(F.lit("x"), 20), digit),
         F.concat(F.lit("0123456789abcdef"), F.lit("0123456789abcdef")),
         F.concat(F.lit("v"), digit, F.lit("-release-candidate-"), digit),
+        F.upper(F.concat(*parts)),
+        F.lower(F.concat_ws("-", *parts[:4])),
+        F.concat_ws(".", F.lit("www"), *parts[:3], F.lit("com")),
+        F.concat(F.lit("//"), F.concat_ws(".", parts[0], parts[1], F.lit("org/")), F.concat_ws("/", *parts[2:5], digit)),
+        F.concat_ws(".", digit, digit, digit, digit, digit),
         F.rpad(F.concat(F.lit("4"), F.conv(F.substr(seed, F.lit(1), F.lit(12)), 16, 10)), 16, "7"),
     )
     label = F.pmod(F.xxhash64(F.lit("label"), i), F.lit(2))
@@ -139,7 +163,7 @@ def labelled(spark: SparkSession, rows: int = 4000) -> DataFrame:
         label == 1, F.when(plain & value.rlike(PREFIXES), pick("pb", "of the end", "and then with", "den und der")).otherwise(pick("sb", "the token =", "my password", "api_key :", "secret =", "auth bearer", "password =", "and then token ="))
     ).otherwise(pick("nb", "of the end", "and then with", "den und der", "see the token", "in the file =", "the password for"))
     assigned = (label == 1) & before.rlike("(password|secret)")
-    word = F.when(assigned, F.concat(F.lit("password="), value)).otherwise(value)
+    word = F.when(assigned, F.concat(F.lit("password="), value)).when(value.startswith("//"), F.concat(F.lit("https:"), value)).otherwise(value)
     path = pick("path", "src0", "src1", "app/settings.py", "src/main.go", F.when(label == 0, "tests/fixtures/a.py").otherwise("deploy/env.sh"), "web/index")
     return spark.range(rows).select(value.alias("value"), word.alias("word"), before.alias("before"), F.lit("and the").alias("after"), path.alias("path"), label.cast("double").alias("label"))
 
