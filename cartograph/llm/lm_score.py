@@ -10,9 +10,8 @@ counts, so that a text's score is a full log10 probability over words.
 Training is truncated backpropagation in numpy. The training documents are dealt into shards of about
 ``shard_docs`` documents each by a hash of the id; every shard fits the current network on its windows
 of ``WINDOW`` tokens (state carried from window to window, gradients cut there), and the shards' networks
-are averaged, weighted by tokens, for ``rounds`` rounds. A fixed share ``fit_share`` of the training
-documents (of a small corpus, ``least_docs`` documents or all) takes part in fitting the weights, so the
-gathered updates grow with the corpus; counts, N, V, vocabulary and scores use all of them.
+are averaged, weighted by tokens. The training documents are dealt into ``rounds`` equal parts by a hash
+of the id, and each round fits on the next part: one pass over all of them, whatever the table's size.
 
 Scoring reads whole texts, state carried across windows to the end sign. Documents are taken in blocks
 of bounded tokens, sorted by length and run in lanes; lanes share nothing.
@@ -337,13 +336,11 @@ def vocabulary(counts: DataFrame, total: int) -> tuple[Vocabulary, np.ndarray, n
     return Vocabulary(h[order], ids[order], np.concatenate([[ends, total - ends - c.sum()], c]).astype(np.int64)), th[place], tc[place]
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, id_col: str, text: str, rounds: int = 3, fit_share: float = 0.05, least_docs: int = 2000, shard_docs: int = 400) -> Params:
-    """Average of networks fitted on shards of the training documents ``docs``, ``rounds`` times."""
+def fit(docs: DataFrame, vocab: Vocabulary, id_col: str, text: str, rounds: int = 3, shard_docs: int = 400) -> Params:
+    """Average of networks fitted on shards of the training documents ``docs``, in ``rounds`` rounds over a part of them each."""
     spark = docs.sparkSession
     p = start(vocab)
-    u = F.xxhash64(F.lit("lm"), F.col(id_col)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
-    share = max(fit_share, least_docs / max(1, int(vocab.counts[END])))
-    chosen = docs.where(u < share).select(F.col(text).alias("text"), F.xxhash64(F.lit("shard"), F.col(id_col)).alias("o"))
+    chosen = docs.select(F.col(text).alias("text"), F.xxhash64(F.lit("shard"), F.col(id_col)).alias("o"))
     shared_vocab = spark.sparkContext.broadcast(vocab)
 
     def streams(batches):
@@ -356,12 +353,11 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str, text: str, rounds: int
                 )
 
     tokens = cut(chosen.mapInArrow(streams, "o bigint, ids array<int>"))
-    n = tokens.count()
-    if not n:
-        return p
-    shards = max(1, round(n / shard_docs))
-    dealt = cut(tokens.repartition(shards, "o"))
-    for _ in range(rounds):
+    turn = F.pmod(F.xxhash64(F.lit("round"), "o"), F.lit(rounds))
+    sizes = {r[0]: r[1] for r in tokens.groupBy(turn.alias("k")).count().collect()}
+    for k, n in sorted(sizes.items()):
+        shards = max(1, round(n / shard_docs))
+        dealt = cut(tokens.where(turn == k).repartition(shards, "o"))
         shared = spark.sparkContext.broadcast(p)
 
         def run(batches, shared=shared):

@@ -298,6 +298,14 @@ def test_language_model_base_and_gradients(docs, texts, monkeypatch):
     assert probs == pytest.approx(1.0, abs=1e-6)
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    df = spark.createDataFrame([(i, f"u{i} the end") for i in range(2500)], "doc_id long, text string")
+    counts = lm_score.word_counts(df, "doc_id")
+    vocab = lm_score.vocabulary(counts, counts.agg(F.sum("c")).first()[0])[0]
+    moved = (lm_score.fit(df, vocab, "doc_id", "text")["x"] != lm_score.start(vocab)["x"]).any(1)
+    assert len(vocab.ids) == 2502 and moved[vocab.ids].all()
+
+
 def test_secrets(spark, docs):
     model = secrets.train(secrets.labelled(spark))
     rows = [
