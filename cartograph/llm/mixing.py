@@ -6,10 +6,13 @@ rates r >= 0 minimise
     1/2 sum_k ((sum_i r_i t_i p_ik - T_k) / S)^2 + ridge/2 sum_i t_i/S (r_i - 1)^2
 
 with t_i the document's tokens (words), p_i its posterior, S all tokens and T_k the target share of
-domain k times S, by projected gradient descent with Nesterov's momentum. A step needs the K expected
-domain totals of the current rates and no more: workers keep posteriors in a table, rebuild their
-documents' rates from the short history of totals, and send back K whole numbers each. Contributions
-are summed as integers, so neither partitioning nor retries change the rates.
+domain k times S. The minimum has r_i = max(0, 1 - p_i . m) for K multipliers m with ridge m = errors
+(the inner terms above), which projected gradient steps find, scaled by the inverse of
+sum_i t_i/S p_i p_i' + ridge (a bound of the curvature, so that steps are short enough and rare domains
+converge as fast as frequent ones), until the totals stand still. ``RIDGE`` is so small that totals meet
+every target that can be met. A step needs the K expected domain totals of the current rates and no more:
+workers keep posteriors in a table, take rates from the K multipliers, and send back K whole numbers
+each. Contributions are summed as integers, so neither partitioning nor retries change the rates.
 
 Domains of the labelled table here: ``good``, ``low`` (quality 0) and ``toxic``. Features: shares of
 shouted, symbol-bearing, repeated and short words, text length and evidence words learnt from the
@@ -39,6 +42,8 @@ from cartograph.session import cut
 DOMAINS = ("good", "low", "toxic")
 #: Target shares of tokens.
 TARGET = {"good": 0.88, "low": 0.1, "toxic": 0.02}
+#: Weight of staying at rate 1, far below the least target.
+RIDGE = 1e-7
 BUCKET_BITS = 18
 DENSE = 8
 UNIT = 1 << 20  # fractions of a token in integer sums
@@ -148,16 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([r[0] for r in rows], np.array([r[1] for r in rows], int), n / max(1.0, n.sum()))
 
 
-def _rates(p: np.ndarray, history: list[list[float]], ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, momentum point) of documents with posteriors ``p`` after the steps in ``history``."""
-    step, root = 1 / (1 + ridge), (ridge / (1 + ridge)) ** 0.5
-    beta = (1 - root) / (1 + root)
-    rate = point = np.ones(len(p))
-    for e in history:
-        new = np.maximum(0.0, point - step * (p @ np.asarray(e) + ridge * (point - 1)))
-        point = new + beta * (new - rate)
-        rate = new
-    return rate, point
+def _rates(p: np.ndarray, multipliers: list[float]) -> np.ndarray:
+    """Rates of documents with posteriors ``p``."""
+    return np.maximum(0.0, 1 - p @ np.asarray(multipliers))
 
 
 def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,21 +177,28 @@ def _p_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(batch.schema.get_field_index(f"p_{d}")).to_numpy() for d in DOMAINS], 1) / UNIT
 
 
-def fit_rates(post: DataFrame, target: dict[str, float], ridge: float = 0.02, steps: int = 40, tolerance: float = 1e-6) -> list[list[float]]:
-    """The history of scaled errors (K numbers a step) from which rates follow."""
+def fit_rates(post: DataFrame, target: dict[str, float], ridge: float = RIDGE, steps: int = 200, tolerance: float = 1e-6) -> list[float]:
+    """The multipliers (K numbers) from which rates follow."""
     goal = np.array([max(0.0, target.get(d, 0.0)) for d in DOMAINS])
     goal = goal / max(goal.sum(), 1e-12)
-    total = post.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    history: list[list[float]] = []
+    at = [(j, k) for j in range(len(DOMAINS)) for k in range(j + 1)]
+    shares = [F.shiftright(F.col(f"p_{DOMAINS[j]}") * F.col(f"p_{DOMAINS[k]}"), UNIT.bit_length() - 1) for j, k in at]
+    first = post.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), *[F.sum((F.col("n_tokens") * x).cast("decimal(38,0)")) for x in shares]).first()
+    total = first[0]
+    found = np.zeros(len(DOMAINS))
     if not total:
-        return history
+        return found.tolist()
+    curve = np.zeros((len(DOMAINS), len(DOMAINS)))
+    for (j, k), v in zip(at, first[1:], strict=True):
+        curve[j, k] = curve[k, j] = float(v or 0) / UNIT / total
+    scaled = np.linalg.inv(curve + ridge * np.eye(len(DOMAINS)))
 
-    def sums(history):
+    def sums(multipliers):
         def run(batches):
             out = np.zeros(len(DOMAINS), object)
             for b in batches:
                 p, t = _p_of(b), b.column(b.schema.get_field_index("n_tokens")).to_numpy()
-                part = np.rint(_rates(p, history, ridge)[1][:, None] * t[:, None] * p * 1000).astype(np.int64)
+                part = np.rint(_rates(p, multipliers)[:, None] * t[:, None] * p * 1000).astype(np.int64)
                 out = out + part.sum(0)
             yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in out], [f"s_{d}" for d in DOMAINS])
 
@@ -201,12 +206,22 @@ def fit_rates(post: DataFrame, target: dict[str, float], ridge: float = 0.02, st
         r = part.agg(*[F.sum(F.col(f"s_{d}").cast("decimal(38,0)")) for d in DOMAINS]).first()
         return np.array([float(v or 0) / 1000 for v in r])
 
+    last = None
     for _ in range(steps):
-        e = (sums(history) / total - goal).tolist()
-        if history and max(abs(x - y) for x, y in zip(e, history[-1], strict=True)) < tolerance:
+        error = sums(found.tolist()) / total - goal
+        # Still against each target, not against 1: the least one is met as closely as the others.
+        if last is not None and (np.abs(error - last) < tolerance * np.maximum(goal, tolerance)).all():
             break
-        history.append(e)
-    return history
+        found, last = found + scaled @ (error - ridge * found), error
+    return found.tolist()
+
+
+def reached(rates: DataFrame, target: dict[str, float] = TARGET) -> DataFrame:
+    """domain, target and reached share of tokens (by rates, and by whole copies) of ``mixing_rates``' rows."""
+    scale = max(sum(max(0.0, target.get(d, 0.0)) for d in DOMAINS), 1e-12)
+    n = F.sum("n_tokens")
+    rows = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(max(0.0, target.get(d, 0.0)) / scale).alias("target"), (F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col("rate")) / n).alias("reached"), (F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col("copies")) / n).alias("reached_copies")) for d in DOMAINS])
+    return rates.agg(rows.alias("x")).select(F.inline("x"))
 
 
 def copies_of(ids: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -215,14 +230,14 @@ def copies_of(ids: np.ndarray, rate: np.ndarray) -> np.ndarray:
     return (np.floor(rate) + (u < rate - np.floor(rate))).astype(np.int64)
 
 
-def rated(post: DataFrame, history: list[list[float]], ridge: float = 0.02) -> DataFrame:
+def rated(post: DataFrame, multipliers: list[float]) -> DataFrame:
     """Posterior rows with rate and copies; ids are hashed by Spark where they are not whole numbers."""
     names = [f"p_{d}" for d in DOMAINS]
 
     def run(batches):
         for b in batches:
             t = b.column(2).to_numpy()
-            rate = np.where(t > 0, np.round(_rates(_p_of(b), history, ridge)[0], 9), 1.0)
+            rate = np.where(t > 0, np.round(_rates(_p_of(b), multipliers), 9), 1.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rate), pa.array(copies_of(b.column(1).to_numpy(), rate))], [*b.schema.names, "rate", "copies"])
 
     src = post.select("id", F.xxhash64("id").alias("h"), "n_tokens", *names)
@@ -231,18 +246,18 @@ def rated(post: DataFrame, history: list[list[float]], ridge: float = 0.02) -> D
     return out.select("id", "n_tokens", *[(F.col(n) / UNIT).alias(n) for n in names], "rate", "copies")
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", target: dict[str, float] = TARGET, ridge: float = 0.02) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", target: dict[str, float] = TARGET, ridge: float = RIDGE) -> DataFrame:
     """id, n_tokens, posteriors, rate and copies per row of ``docs``."""
     post = cut(posteriors(docs, train(docs, labels, id_col, text), id_col, text))
-    return rated(post, fit_rates(post, target, ridge), ridge).withColumnRenamed("id", id_col)
+    return rated(post, fit_rates(post, target, ridge)).withColumnRenamed("id", id_col)
 
 
-def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", target: dict[str, float] = TARGET, ridge: float = 0.02) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", target: dict[str, float] = TARGET, ridge: float = RIDGE) -> DataFrame:
     """Rows of ``docs`` in the mix (copies over 0), with their columns, mix_rate and mix_copies.
 
     Posteriors are worked out again beside the rows, which spares a shuffle of all texts."""
     model = train(docs, labels, id_col, text)
-    history = fit_rates(cut(posteriors(docs, model, id_col, text)), target, ridge)
+    multipliers = fit_rates(cut(posteriors(docs, model, id_col, text)), target, ridge)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.withColumn("mix_hash_", F.xxhash64(id_col))
     k, h = docs.columns.index(text), len(docs.columns)
@@ -253,7 +268,7 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             for i, j, data, bounds in textvec.slices(named, "text"):
                 n, x = dense_features(data, bounds, shared.value.evidence)
                 p = np.rint(posteriors_of(shared.value, x) * UNIT) / UNIT
-                rate = np.where(n > 0, np.round(_rates(p, history, ridge)[0], 9), 1.0)
+                rate = np.where(n > 0, np.round(_rates(p, multipliers), 9), 1.0)
                 part = batch.slice(i, j - i)
                 copies = copies_of(part.column(h).to_numpy(), rate)
                 out = pa.RecordBatch.from_arrays([*part.columns[:h], pa.array(rate), pa.array(copies)], [*part.schema.names[:h], "mix_rate", "mix_copies"])

@@ -361,6 +361,18 @@ def test_mixing_meets_targets_and_edge_cases(spark, docs, labels):
     assert mixed.where("mix_copies < 1").isEmpty() and mixing.mix(docs.limit(0), labels).isEmpty()
 
 
+@pytest.mark.parametrize("toxic", [0.12, 0.01, 0.001])
+def test_mixing_meets_each_production_target(spark, toxic):
+    rng = np.random.default_rng(3)
+    kind = np.where(np.arange(4000) < 4000 * toxic, 2, rng.random(4000) < 0.13)
+    p = np.rint((0.97 * np.eye(3)[kind] + 0.01) * mixing.UNIT).astype(int)
+    rows = [(i, int(n), *map(int, q)) for i, (n, q) in enumerate(zip(rng.integers(20, 400, 4000), p, strict=True))]
+    post = spark.createDataFrame(rows, "id long, n_tokens long, " + ", ".join(f"p_{d} long" for d in mixing.DOMAINS))
+    out = mixing.rated(post, mixing.fit_rates(post, mixing.TARGET)).toPandas()
+    for d, t in mixing.TARGET.items():
+        assert (out.n_tokens * out[f"p_{d}"] * out.rate).sum() / out.n_tokens.sum() == pytest.approx(t, rel=0.01)
+
+
 def test_pipeline_stages(spark, docs, labels, texts, tmp_path):
     d = str(tmp_path)
     item = " ".join(texts[20].split()[:40])
