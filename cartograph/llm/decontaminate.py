@@ -6,13 +6,14 @@ units after a number become typed placeholders, other words are lowered, signs g
 a text and an item the placeholders' own values must map consistently (an item's value always to
 the same value of the text), so a re-parameterised question is caught while unrelated fillings of
 a common pattern are not. A text is contaminated by an item when consistent windows cover at
-least ``min_share`` of the item's.
+least ``min_share`` of the item's, or an unbroken run of ``RUN_WORDS`` words matches in one alignment, however
+long the item is. Windows that are mostly placeholders count where the placeholders' values are equal too.
 
 Before windows leave a text's array they are tested against a byte map of the items' hashes (fixed
 size; it only spares work), so rows are made for windows that may match and no others.
 
-Defined results: null and empty texts or items match nothing. Items with under ``MIN_WORDS`` words,
-or windows that are mostly placeholders, cannot be told from ordinary text and are not used; items
+Defined results: null and empty texts or items match nothing. Items with under ``MIN_WORDS`` words
+cannot be told from ordinary text and are not used; items
 shorter than a window are one window. Rows that share an id count as one document; an item id
 that repeats is one item with the windows of all its rows.
 """
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 8
 MIN_WORDS = 4
+#: An unbroken run of so many matching words is a copy whatever its share of the item.
+RUN_WORDS = 13
 MAP_BYTES = 1 << 19
 #: Item windows broadcast to the join; more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
@@ -64,14 +67,14 @@ def window_hash(hashes: Column, at: Column, size: int) -> Column:
 
 
 def item_windows(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(windows: h, item_id, size, bpos, bwords; items: item_id, n_windows)."""
+    """(windows: h, item_id, size, bpos, bwords, exact: values must be equal; items: item_id, n_windows)."""
     w = templates(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), "text").where(F.size("w") >= MIN_WORDS)
     w = w.withColumn("size", F.least(F.size("w"), F.lit(WINDOW)))
     spans = w.select("*", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)).alias("bpos"))
     spans = spans.withColumn("bc", F.slice("c", F.col("bpos"), F.col("size"))).withColumn("bwords", F.slice("w", F.col("bpos"), F.col("size")))
     plain = F.size(F.filter("bc", lambda x: ~x.rlike(f"^[{NUMBER}-{UNIT}]")))
-    spans = spans.where(plain * 2 > F.col("size")).select(F.xxhash64("size", F.slice("hashes", F.col("bpos"), F.col("size"))).alias("h"), "item_id", "size", "bpos", "bwords")
-    return spans, spans.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    spans = spans.select(F.xxhash64("size", F.slice("hashes", F.col("bpos"), F.col("size"))).alias("h"), "item_id", "size", "bpos", "bwords", (plain * 2 <= F.col("size")).alias("exact"))
+    return spans, spans.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(~F.col("exact")).alias("n_plain"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_share: float = 0.5) -> DataFrame:
@@ -101,23 +104,35 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     d = templates(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text")
     d = d.select("id", F.explode(hits(F.col("w"), F.col("hashes"))).alias("x")).select("id", "x.*")
     right = windows.withColumnRenamed("h", "bh")
-    met = d.join(F.broadcast(right) if small else right, F.col("h") == F.col("bh"))
+    met = d.join(F.broadcast(right) if small else right, (F.col("h") == F.col("bh")) & (~F.col("exact") | (F.col("bwords") == F.col("dwords"))))
 
     filled = F.filter(
         F.arrays_zip("bwords", "dwords"), lambda x: x["bwords"].rlike(f"^[{NUMBER}-{UNIT}]")
     )
     # One alignment has one row per window of the item at most.
+    # Windows that match by value stand for themselves; the others need a consistent alignment.
+    free, fixed = F.when(~F.col("exact"), F.col("bpos")), F.when(F.col("exact"), F.col("bpos"))
     lined = met.groupBy("id", "item_id", (F.col("dpos") - F.col("bpos")).alias("shift")).agg(
-        F.collect_set("bpos").alias("bpos"), F.array_distinct(F.flatten(F.collect_list(filled))).alias("slots")
+        F.collect_set(free).alias("plain"), F.collect_set(fixed).alias("fixed"), F.max("size").alias("size"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("exact"), filled)))).alias("slots"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("exact"), filled)))).alias("equal"),
     )
-    lined = lined.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["bwords"]))))
-    lined = lined.withColumn("same", F.forall("slots", lambda x: x["bwords"] == x["dwords"]))
+    held = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["bwords"])))
+    lined = lined.withColumns({k: F.when(held, F.col(k)).otherwise(F.slice(k, 1, 0)) for k in ("plain", "slots")})
+    lined = lined.withColumn("bpos", F.array_sort(F.array_union("plain", "fixed"))).where(F.size("bpos") > 0)
+    lined = lined.withColumn("same", F.forall("slots", lambda x: x["bwords"] == x["dwords"])).withColumn("slots", F.array_union("slots", "equal"))
+    # Windows k apart in place and in order are one run without a gap.
+    span = F.lit(RUN_WORDS) - F.col("size")
+    lined = lined.withColumn("run", (F.col("size") == WINDOW) & F.exists(F.transform("bpos", lambda x, i: F.get("bpos", i + span) == x + span), lambda x: F.coalesce(x, F.lit(False))))
     by_item = lined.groupBy("id", "item_id").agg(
+        F.some("run").alias("run"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("plain")))).alias("n_free"),
         F.size(F.array_distinct(F.flatten(F.collect_list("bpos")))).cast("long").alias("matched"),
         F.max(F.size("slots")).cast("long").alias("n_slots"),
         F.every("same").alias("verbatim"),
     )
     own = totals.withColumnRenamed("item_id", "_item")
     out = by_item.join(F.broadcast(own) if small else own, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
-    out = out.withColumn("share", F.col("matched") / F.col("n_windows")).where(F.col("share") >= min_share)
+    # An item with other values is known by its windows that allow them.
+    share = F.greatest(F.col("matched") / F.col("n_windows"), F.when(F.col("n_plain") > 0, F.col("n_free") / F.col("n_plain")))
+    out = out.withColumn("share", share).where((F.col("share") >= min_share) | F.col("run"))
     return out.select(F.col("id").alias(id_col), "item_id", "matched", "n_windows", "share", "n_slots", "verbatim")

@@ -232,6 +232,14 @@ def test_decontamination_catches_copies_and_other_fillings(spark, docs):
     decontaminate.contaminated(docs, items).count()
 
 
+def test_decontamination_finds_passages_of_long_items_and_sums(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "Compute 12 * 13 + 5 - 7")], "item_id long, text string")
+    rows = [(1, "so " + " ".join(words[10:40]) + " it goes"), (2, "so " + " ".join(words[10:22]) + " it goes"), (3, "please compute 12 * 13 + 5 - 7 now"), (4, "please compute 14 * 13 + 5 - 7 now"), (5, "so " + " ".join(words[10:23]) + " it goes")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1), (3, 2), (5, 1)}
+
+
 def test_languages_held_out(spark, docs):
     rng = random.Random(9)
     parts = {"en": ["the", "ing", "tion", "and"], "fr": ["eau", "que", "ment", "été"], "de": ["sch", "ung", "keit", "über"], "es": ["ción", "ado", "los", "mente"]}
