@@ -9,8 +9,8 @@ a common pattern are not. A text is contaminated by an item when consistent wind
 least ``min_share`` of the item's, or an unbroken run of ``RUN_WORDS`` words matches in one alignment, however
 long the item is. Windows that are mostly placeholders count where the placeholders' values are equal too.
 
-Before windows leave a text's array they are tested against a byte map of the items' hashes (fixed
-size; it only spares work), so rows are made for windows that may match and no others.
+Before windows leave a text's array they are tested against a bit map of the items' hashes (one row of
+fixed size, broadcast; it only spares work), so rows are made for windows that may match and no others.
 
 Defined results: null and empty texts or items match nothing. Items with under ``MIN_WORDS`` words
 cannot be told from ordinary text and are not used; items
@@ -23,11 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartograph.session import cut
+
 WINDOW = 8
 MIN_WORDS = 4
 #: An unbroken run of so many matching words is a copy whatever its share of the item.
 RUN_WORDS = 13
-MAP_BYTES = 1 << 19
+#: Bits of the map of the items' window hashes, held in longs.
+MAP_BITS = 1 << 19
 #: Item windows broadcast to the join; more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -77,32 +80,40 @@ def item_windows(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame,
     return spans, spans.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(~F.col("exact")).alias("n_plain"))
 
 
+def hash_map(windows: DataFrame) -> DataFrame:
+    """One row: map (array of longs), a bit for every hash of ``windows`` modulo MAP_BITS."""
+    bits = windows.select(F.pmod("h", F.lit(MAP_BITS)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits"))
+    # MAP_BITS / 64 rows.
+    places = windows.sparkSession.range(MAP_BITS // 64).withColumnRenamed("id", "place").join(bits, "place", "left")
+    every = places.agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("x"))
+    return every.select(F.col("x.bits").alias("map"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_share: float = 0.5) -> DataFrame:
     """One row per document and item that contaminates it: id, item_id, matched, n_windows, share, n_slots, verbatim."""
-    windows, totals = item_windows(items, item_id, item_text)
-    slots = windows.groupBy(F.pmod("h", F.lit(MAP_BYTES)).alias("slot")).agg(F.collect_set("size").alias("sizes")).collect()  # MAP_BYTES rows at most
-    mask = bytearray(MAP_BYTES)
-    for r in slots:
-        mask[r[0]] = 1
-    sizes = sorted({s for r in slots for s in r[1]}) or [WINDOW]
+    windows, totals = (cut(x) for x in item_windows(items, item_id, item_text))
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect()) or [WINDOW]  # WINDOW rows at most
     small = windows.count() <= BROADCAST_WINDOWS
 
-    def hits_of(words: Column, hashes: Column, size: int) -> Column:
-        def may_match(i):
-            return F.substring(F.lit(bytes(mask)), F.pmod(window_hash(hashes, i, size), F.lit(MAP_BYTES)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    def may_match(h: Column) -> Column:
+        slot = F.pmod(h, F.lit(MAP_BITS)).cast("int")
+        return F.getbit(F.get("map", F.shiftright(slot, 6)), slot.bitwiseAND(F.lit(63))) == 1
 
+    def hits_of(words: Column, hashes: Column, size: int) -> Column:
         def row(i):
             return F.struct(i.alias("dpos"), window_hash(hashes, i, size).alias("h"), F.slice(words, i, F.lit(size)).alias("dwords"))
 
-        rows = F.transform(F.filter(F.sequence(F.lit(1), F.size(hashes) - F.lit(size - 1)), may_match), row)
-        return F.when(F.size(hashes) >= size, rows)
+        places = F.filter(F.sequence(F.lit(1), F.size(hashes) - F.lit(size - 1)), lambda i: may_match(window_hash(hashes, i, size)))
+        return F.when(F.size(hashes) >= size, F.transform(places, row))
 
     def hits(words: Column, hashes: Column) -> Column:
         found = [hits_of(words, hashes, size) for size in sizes]
         return F.flatten(F.array_compact(F.array(*found))) if len(found) > 1 else found[0]
 
     d = templates(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text")
-    d = d.select("id", F.explode(hits(F.col("w"), F.col("hashes"))).alias("x")).select("id", "x.*")
+    d = d.join(F.broadcast(hash_map(windows)), F.lit(True))
+    # The outer form keeps Spark from testing the array's size first, which would work it out twice.
+    d = d.select("id", F.explode_outer(hits(F.col("w"), F.col("hashes"))).alias("x")).where("x IS NOT NULL").select("id", "x.*")
     right = windows.withColumnRenamed("h", "bh")
     met = d.join(F.broadcast(right) if small else right, (F.col("h") == F.col("bh")) & (~F.col("exact") | (F.col("bwords") == F.col("dwords"))))
 
