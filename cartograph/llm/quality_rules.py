@@ -18,12 +18,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartograph.session import cut
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 NOT_GAP = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
-#: Bits of a packed entry that hold a window's position; the others hold its hash.
-POSITION_BITS = 24
+#: Bits of a packed entry that hold a window's position (any place of an array); the others hold its hash.
+POSITION_BITS = 31
 
 
 @dataclass(frozen=True)
@@ -156,30 +158,35 @@ def host_verdicts(failures: DataFrame, rules: HostRules = HostRules()) -> DataFr
     )
 
 
-def _annotated(docs: DataFrame, text: str, host: str, rules: HostRules) -> tuple[DataFrame, str]:
-    """``docs`` with one struct column (its name is returned) of measures and verdicts."""
+def _measured(docs: DataFrame, text: str, rules: HostRules) -> tuple[DataFrame, str]:
+    """``docs`` with one struct column (its name is returned) of measures and failures."""
     name = "_rules"
-    while name in docs.columns:
+    while name in docs.columns or f"{name}w" in docs.columns:
         name += "_"
-    w, v = f"{name}w", f"{name}v"
+    w, c = f"{name}w", F.col(name)
     m = docs.withColumn(w, words_of(F.col(text))).withColumn(name, measures(F.col(text), F.col(w))).drop(w)
-    c = F.col(name)
     base = (c["n_words"] < rules.min_words) | (100 * c["n_repeat_words"] > rules.repeat_percent * c["n_words"])
     soft = (100 * c["n_symbols"] > rules.symbol_percent * c["word_chars"]) | (
         100 * (c["lines"]["n"] - c["lines"]["d"]) > rules.dup_line_percent * c["lines"]["n"]
     )
-    m = m.withColumn(name, c.withField("base_failed", base).withField("soft_failed", soft))
-    failures = m.select(F.col(host).alias("host"), (c["base_failed"] | c["soft_failed"]).alias("failed"))
+    return m.withColumn(name, c.withField("base_failed", base).withField("soft_failed", soft)), name
+
+
+def _judged(measured: DataFrame, name: str, host: str, rules: HostRules) -> DataFrame:
+    """``measured`` (read twice, so a written table) with host_verdict and kept in the struct ``name``."""
+    c, v = F.col(name), f"{name}v"
+    failures = measured.select(F.col(host).alias("host"), (c["base_failed"] | c["soft_failed"]).alias("failed"))
     # Hosts may be many (one row each): Spark picks broadcast or a skew-split sort-merge join by size.
     verdicts = host_verdicts(failures, rules).select(F.col("host").alias(f"{v}h"), F.col("verdict").alias(v))
-    m = m.join(verdicts, F.col(host).eqNullSafe(F.col(f"{v}h")), "left")
+    m = measured.join(verdicts, F.col(host).eqNullSafe(F.col(f"{v}h")), "left")
     kept = ~c["base_failed"] & (F.col(v) != "reject") & ~((F.col(v) == "suspect") & c["soft_failed"])
-    return m.withColumn(name, c.withField("host_verdict", F.col(v)).withField("kept", kept)).drop(v, f"{v}h"), name
+    return m.withColumn(name, c.withField("host_verdict", F.col(v)).withField("kept", kept)).drop(v, f"{v}h")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
     """One row per row of ``docs``: id, measures, base_failed, soft_failed, host_verdict, kept."""
-    m, name = _annotated(docs.select(id_col, *dict.fromkeys([text, host])), text, host, rules)
+    m, name = _measured(docs.select(id_col, *dict.fromkeys([text, host])), text, rules)
+    m = _judged(cut(m.select(id_col, *[x for x in [host] if x != id_col], name)), name, host, rules)
     c = F.col(name)
     return m.select(
         id_col,
@@ -190,6 +197,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", h
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    m, name = _annotated(docs, text, host, rules)
-    return m.where(F.col(name)["kept"]).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    Texts are written beside their measures, so that these are worked out once; a text that fails a base rule goes anyway and isn't written."""
+    m, name = _measured(docs, text, rules)
+    if text != host:
+        m = m.withColumn(text, F.when(~F.col(name)["base_failed"], F.col(text)))
+    return _judged(cut(m), name, host, rules).where(F.col(name)["kept"]).select(*docs.columns)
