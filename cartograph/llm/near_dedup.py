@@ -20,7 +20,8 @@ All candidates are confirmed on full shingle sets (64-bit hashes).
 
 Defined results: null texts and texts without words have 0 shingles, are their own component and
 are kept. Rows that repeat an id with the same text share a component and are all kept or not
-alike. Columns other than the id and the text are not read.
+alike. A row without an id joins the class of equal texts; a set that only such rows hold is linked with
+nothing and kept. An empty table gives an empty result. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ LANES = 40
 CHUNKS = LANES // 4
 MAX_DISTANCE = 26
 BITS = 1024
+#: Members of a bucket (about) in a piece, where a bucket holds several components.
+PIECE = 256
 #: Ids broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -243,15 +246,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     placed = members.select("key", "place", "cid").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1")
+    mixed = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("all")).where("comps > 1")
+    mixed = mixed.withColumn("pieces", F.ceil(F.col("all") / PIECE).cast("int"))
     facts = own.join(sets.select("cid", "bits").groupBy("cid").agg(F.any_value("bits").alias("bits")), "cid").select(
         "cid", "n", *[F.get("sig", F.lit(i)).alias(f"s{i}") for i in range(CHUNKS)], *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITS // 64)]
     )
-    open_ = cut(placed.join(mixed.select("key", "main"), "key").join(facts, "cid"))
+    # A bucket's members are dealt into pieces, and every piece meets every piece: no task holds a whole large bucket.
+    piece, every = F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int"), F.sequence(F.lit(0), F.col("pieces") - 1)
+    open_ = cut(placed.join(mixed.select("key", "main", "pieces"), "key").join(facts, "cid").withColumn("piece", piece))
     # Few bytes and much work: dealt to as many tasks as shuffles have.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = open_.where("comp <> main").select([F.col(c).alias(f"{c}_a") for c in open_.columns]).repartition(parts, "key_a")
-    b = open_.select([F.col(c).alias(f"{c}_b") for c in open_.columns]).repartition(parts, "key_b")
+    a = open_.where("comp <> main").withColumn("other", F.explode(every)).select([F.col(c).alias(f"{c}_a") for c in [*open_.columns, "other"]]).repartition(parts, "key_a", "piece_a", "other_a")
+    b = open_.withColumn("other", F.explode(every)).select([F.col(c).alias(f"{c}_b") for c in [*open_.columns, "other"]]).repartition(parts, "key_b", "other_b", "piece_b")
 
     def side(x: str, letter: str, n: int) -> list[Column]:
         return [F.col(f"{letter}{i}_{x}") for i in range(n)]
@@ -259,6 +265,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     meet = a.join(
         b,
         (F.col("key_a") == F.col("key_b"))
+        & (F.col("piece_a") == F.col("other_b"))
+        & (F.col("other_a") == F.col("piece_b"))
         & (F.col("comp_a") != F.col("comp_b"))
         & ((F.col("comp_b") == F.col("main_a")) | (F.col("cid_a") < F.col("cid_b")))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
