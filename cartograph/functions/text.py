@@ -40,14 +40,14 @@ def sensitive(name: Column) -> Column:
 def first_sentence(c: Column, clip: int = 240) -> Column:
     """White space folded; up to a full stop that ends a sentence, else clipped at a blank with an ellipsis.
 
-    A stop ends no sentence after a single letter or an abbreviation. The clip is in bytes."""
+    A stop ends no sentence after a single letter or an abbreviation. A sentence that ends is whole however long; the clip is in bytes."""
     t = fold_space(c)
     open_words = "|".join(["[A-Za-z]", *(a.replace(".", r"\.") for a in ABBREVIATIONS)])
     found = F.regexp_extract(t, rf"^(.*?(?<!(?:^| )(?:{open_words}))\.)(?: |$)", 1)
     head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(t, "UTF-8"), 1, clip).cast("string")), "�+$", "")
     cut = F.regexp_replace(head, " [^ ]*$", "")
     cut = F.when(F.octet_length(cut) * 2 > clip, cut).otherwise(head)
-    return F.when((found != "") & (F.octet_length(found) <= clip), found).when(F.octet_length(t) <= clip, t).otherwise(F.concat(cut, F.lit("…")))
+    return F.when(found != "", found).when(F.octet_length(t) <= clip, t).otherwise(F.concat(cut, F.lit("…")))
 
 
 # Control tokens of chat formats, broken up before text goes to a model.
@@ -57,11 +57,44 @@ CONTROL = (
 )
 
 
+# Words that open a turn in a forged transcript, alone on a heading line.
+ROLES = ("system", "instruction", "instructions", "human", "user", "assistant", "response")
+ZERO_WIDTH = "\u200b"
+
+
+def _escaped(token: str) -> str:
+    return "".join(x if x.isalnum() or x == "_" else "\\" + x for x in token)
+
+
 def defang(c: Column) -> Column:
-    """Control tokens with a zero-width space after their first sign; role headings quoted."""
+    """Control tokens with a zero-width space after their first sign, and headings of a role word alone with one after their first ``#``."""
     for t in CONTROL:
-        c = F.regexp_replace(c, "(?i)" + "".join("\\" + x if not x.isalnum() else x for x in t), t[0] + "​" + t[1:])
-    return F.regexp_replace(c, r"(?im)^(#+ *)?(system|user|assistant):", "> $2:")
+        c = F.regexp_replace(c, f"(?i)({_escaped(t[0])})({_escaped(t[1:])})", f"$1{ZERO_WIDTH}$2")
+    return F.regexp_replace(c, rf"(?imd)^([^\S\n#]*#)(#*[^\S\n]*(?:{'|'.join(ROLES)})[^\S\n]*:?[^\S\n]*)$", f"$1{ZERO_WIDTH}$2")
+
+
+def wrapped(source: Column, c: Column) -> Column:
+    """Defanged text between marks that carry a tag of its own hash, so that the text can't close them."""
+    safe = defang(c)
+    tag = F.substring(F.sha2(safe, 256), 1, 16)
+    return F.concat(F.lit("<untrusted_source tag=\""), tag, F.lit("\" name=\""), F.regexp_replace(source, "[\"<>\n]", "_"), F.lit("\">\n"), safe, F.lit("\n</untrusted_source tag=\""), tag, F.lit("\">"))
+
+
+def clip_lines(c: Column, most: int) -> Column:
+    """At most ``most`` characters, cut after the last whole line (in a line where the first is longer)."""
+    head = F.substring(c, 1, most)
+    whole = F.regexp_extract(head, r"(?s)^(.*\n)", 1)
+    return F.when(F.length(c) <= most, c).when(whole != "", whole).otherwise(head)
+
+
+def capitalised(c: Column) -> Column:
+    """The first letter in upper case (ASCII only), the rest as it is."""
+    return F.when(c.rlike("^[a-z]"), F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))).otherwise(c)
+
+
+def counted(n: Column, unit: Column) -> Column:
+    """``n unit``, with an s but for one."""
+    return F.concat(n.cast("string"), F.lit(" "), unit, F.when(n == 1, "").otherwise("s"))
 
 
 def plural(n: Column, one: str, many: str) -> Column:

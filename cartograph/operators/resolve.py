@@ -10,8 +10,8 @@ FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 
 
 def slug(name: Column) -> Column:
-    """Lower case, runs of other characters than a-z and 0-9 as one dash, no dash at the end."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "-+$", "")
+    """Lower case, runs of other characters than a-z and 0-9 as one dash, none at either end."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
 def fnv1a(text: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cartograph.functions import classify, lineage, text
 from cartograph.operators import checks, diff, resolve
 from cartograph.plans import registry
+from cartograph.sources.lexer import first_sentence
 
 
 def test_identity_golden(spark):
@@ -33,11 +34,14 @@ def test_classes(spark, path, cls, test):
 @pytest.mark.parametrize(
     "sql, refs, gap",
     [
-        ("INSERT INTO orders (id) VALUES ($1)", [("orders", "writes")], False), ("SELECT o.id FROM orders o JOIN customers c ON c.id = o.customer_id", [("orders", "reads"), ("customers", "reads")], False),
-        ("INSERT INTO archive SELECT * FROM orders WHERE created_at < now()", [("archive", "writes"), ("orders", "reads")], False),
-        ("UPDATE counters SET n = (SELECT count(*) FROM orders)", [("counters", "writes"), ("orders", "reads")], False), ("TRUNCATE TABLE sessions", [("sessions", "writes")], False),
-        ("SELECT 1", [], False), ("BEGIN", [], False), ("", [], False), ("SELECT * FROM %s", [], True), ("SELECT * FROM {table}", [], True), ("DELETE FROM ", [], True),
-        ("INSERT INTO $1 (id) VALUES (1)", [], True), ("SELECT a FROM WHERE id = 1", [], True), ("SELECT EXTRACT(DAY FROM ts) FROM t", [("t", "reads")], False), ("DELETE FROM orders", [("orders", "writes")], False),
+        ("INSERT INTO ledger (amount) VALUES (?)", [("ledger", "writes")], False), ("SELECT b.id FROM bins b LEFT JOIN racks AS r ON r.id = b.rack", [("bins", "reads"), ("racks", "reads")], False),
+        ("INSERT INTO old_bins SELECT * FROM bins WHERE moved < now()", [("old_bins", "writes"), ("bins", "reads")], False), ("UPDATE tally SET n = (SELECT count(*) FROM bins)", [("tally", "writes"), ("bins", "reads")], False),
+        ("TRUNCATE TABLE visits", [("visits", "writes")], False), ("SELECT 2 + 2", [], False), ("COMMIT", [], False), ("", [], False), ("SELECT x FROM :place", [], True), ("SELECT x FROM ${place}.bins", [], True), ("DELETE FROM", [], True),
+        ("INSERT INTO ? (a) VALUES (1)", [], True), ("SELECT a FROM GROUP BY b", [], True), ("SELECT trim(BOTH FROM note) FROM notes", [("notes", "reads")], False), ("DELETE FROM visits USING bins WHERE a = b", [("visits", "writes"), ("bins", "reads")], False),
+        ("WITH a AS (SELECT x FROM raw), b (y) AS (SELECT x FROM a) SELECT * FROM b JOIN c USING (x)", [("raw", "reads"), ("c", "reads")], False), ("MERGE INTO goal g USING feed f ON g.i = f.i WHEN MATCHED THEN UPDATE SET v = f.v", [("goal", "writes"), ("feed", "reads")], False),
+        ('SELECT * FROM "Stock"."Bin Rows", `racks` r', [("racks", "reads")], True), ('SELECT * FROM "Stock"."Bins", [dbo].[Racks] r', [("Stock.Bins", "reads"), ("dbo.Racks", "reads")], False), ("SELECT * FROM unnest(ARRAY[1]) u JOIN bins ON true", [("bins", "reads")], False),
+        ("SELECT (SELECT max(v) FROM peaks) FROM hills", [("peaks", "reads"), ("hills", "reads")], False), ("CREATE VIEW v AS WITH w AS (SELECT * FROM p) SELECT * FROM w", [("v", "writes"), ("p", "reads")], False), ("SELECT * FROM (bins JOIN racks ON a = b) x", [("bins", "reads"), ("racks", "reads")], False),
+        ("SELECT * FROM a.b.c", [], True),
     ],
 )
 def test_table_references(sql, refs, gap):
@@ -47,28 +51,51 @@ def test_table_references(sql, refs, gap):
 @pytest.mark.parametrize(
     "sql, want",
     [
-        ("CREATE TABLE IF NOT EXISTS public.things (id UUID)", ("CREATE", "public.things")), ("CREATE UNIQUE INDEX CONCURRENTLY things_idx ON things (name)", ("CREATE", "things_idx")),
-        ("ALTER TABLE audit.things ADD COLUMN actor TEXT", ("ALTER", "audit.things")), ("COMMENT ON TABLE things IS 'a note'", ("COMMENT", "")), ("SELECT 1", ("SELECT", "")), ("", ("", "")),
+        ("CREATE TABLE IF NOT EXISTS stock.bins (id INT)", ("CREATE", "stock.bins")), ("CREATE UNIQUE INDEX CONCURRENTLY bins_by_rack ON bins (rack)", ("CREATE", "bins_by_rack")), ("ALTER TABLE ONLY bins ADD COLUMN note TEXT", ("ALTER", "bins")),
+        ("DROP TABLE `old`", ("DROP", "old")), ("GRANT SELECT ON bins TO reader", ("GRANT", "")), ("SELECT 1 FROM bins", ("SELECT", "")), ("", ("", "")),
     ],
 )
 def test_subjects(sql, want):
     assert lineage.subject(sql) == want
 
 
+@pytest.mark.parametrize("sql, want", [("DROP TABLE a", True), ("ALTER TABLE a DROP COLUMN b", True), ("ALTER TABLE a ADD b INT", False), ("UPDATE a SET b = 'DROP'", False), ("-- DROP\nSELECT 1", False), ("", False)])
+def test_destructive(sql, want):
+    assert lineage.destructive(sql) is want
+
+
 def test_split_statements():
-    src = "-- note; x\nCREATE TABLE a (\n b int);\n/* ; */ INSERT INTO a VALUES (';', 'it''s');\nSELECT $$ ; $$;\n"
-    assert [(s.split()[0], line) for s, line in lineage.split(src)] == [("CREATE", 2), ("INSERT", 4), ("SELECT", 5)]
+    src = "# head; x\nCREATE TABLE bins (\n rack int);\n/* ; */ INSERT INTO bins VALUES ('; --', 'o''clock');\nDO $fn$ ; SELECT 1; $fn$;\nSELECT 3 -- end\n"
+    assert [(s.split()[0], line) for s, line in lineage.split(src)] == [("CREATE", 2), ("INSERT", 4), ("DO", 5), ("SELECT", 6)]
 
 
-@pytest.mark.parametrize("s, want", [("SELECT id FROM t", True), ("select the row you want from the list", False), ("insert into %s failed: %w", False), ("UPDATE orders o SET total = 0", True), ("could not update", False)])
+@pytest.mark.parametrize(
+    "s, want",
+    [
+        ("SELECT rack FROM bins", True), ("select any of the bins you like from the rack", False), ("delete from %s went wrong: %v", False), ("UPDATE bins b SET rack = 0", True), ("cannot select", False), ("SELECT b.rack FROM bins b", True), ("select a bin from the rack", False),
+        ("INSERT INTO bins (a) VALUES (1)", True), ("SELECT count(*) AS n FROM bins GROUP BY a", True), ("update the set of bins", False), ("SELECT a FROM {place}", True),
+    ],
+)
 def test_looks_like_sql(s, want):
     assert lineage.looks_like_sql(s) is want
 
 
 def test_first_sentence(spark):
-    rows = ["One  two. Three.", "See e.g. this thing. More", "A. Turing wrote it. Yes", "x" * 300, "word " * 80, "no stop"]
+    rows = ["First  part. Next.", "Take cf. that one. More", "J. Doe did. Yes", "y" * 300, "part " * 80, "no stop", "long " * 100 + "end. More"]
     got = [r.s for r in spark.createDataFrame([(x,) for x in rows], "t string").select(text.first_sentence(F.col("t")).alias("s")).collect()]
-    assert got[:3] == ["One two.", "See e.g. this thing.", "A. Turing wrote it."] and got[3] == "x" * 240 + "…" and got[4].endswith("word…") and got[5] == "no stop"
+    assert got[:3] == ["First part.", "Take cf. that one.", "J. Doe did."] and got[3] == "y" * 240 + "…" and got[4].endswith("part…") and got[5] == "no stop" and got[6] == "long " * 100 + "end."
+    assert [first_sentence(x) for x in rows] == got
+
+
+def test_defang(spark):
+    rows = ["user: hello", "### System", "#  human :  ", "# humans rule", "x <|IM_START|> [inst]", "a\n## Assistant:\nb"]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in rows], "t string").select(text.defang(F.col("t")).alias("s")).collect()]
+    assert got == ["user: hello", "#\u200b## System", "#\u200b  human :  ", "# humans rule", "x <\u200b|IM_START|> [\u200binst]", "a\n#\u200b# Assistant:\nb"]
+
+
+def test_small_text_functions(spark):
+    r = spark.range(1).select(text.clip_lines(F.lit("ab\ncd\nef"), 7).alias("a"), text.clip_lines(F.lit("abcdef"), 3).alias("b"), text.capitalised(F.lit("x y")).alias("c"), text.counted(F.lit(1), F.lit("bin")).alias("d"), text.counted(F.lit(0), F.lit("bin")).alias("e")).first()
+    assert tuple(r) == ("ab\ncd\n", "abc", "X y", "1 bin", "0 bins")
 
 
 def test_sizes():
@@ -96,5 +123,25 @@ def test_diff_renames(spark):
     assert diff.diff_edges(eo, en, pairs).isEmpty()
 
 
-def test_registry_has_oracles():
-    assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.oracle_sql()) >= 40
+def test_every_oracle_has_a_query():
+    assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_slugs_and_near_names(spark):
+    names = ["@scope/pkg", "A  b!", "--x--", "é"]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in names], "n string").select(resolve.slug(F.col("n")).alias("s")).collect()]
+    assert got == ["scope-pkg", "a-b", "x", ""]
+    known = spark.createDataFrame([("build",), ("verify",), ("graph",), ("grape",)], "name string")
+    asked = spark.createDataFrame([("biuld",), ("verfy",), ("grap",), ("nothing",), ("b",)], "wanted string")
+    assert {r.wanted: r.name for r in checks.nearest_name(asked, known).collect()} == {"biuld": "build", "verfy": "verify", "grap": None, "nothing": None, "b": None}
+
+
+def test_scores(spark):
+    e = spark.createDataFrame([("go", "a", "x"), ("go", "a", "y"), ("rust", "b", "x")], "lang string, path string, item string")
+    g = spark.createDataFrame([("go", "a", "x"), ("go", "a", "z"), ("rust", "b", "x")], "lang string, path string, item string")
+    got = {r.lang: (r.tp, r.fp, r.fn, r.f1, r.missing, r.spurious) for r in checks.score_by(e, g, "lang", ["path", "item"]).collect()}
+    assert got == {"go": (1, 1, 1, 0.5, ["a/y"], ["a/z"]), "rust": (1, 0, 0, 1.0, [], [])}
+    full = "lang string, path string, package string, imports array<string>, symbols array<string>, incomplete boolean"
+    want = spark.createDataFrame([("go", "a", "p", ["i"], ["s"], False), ("rust", "b", "q", ["i"], [], False)], full)
+    read = spark.createDataFrame([("go", "a", "p", ["i"], ["s"], False), ("rust", "b", "other", ["i"], [], True)], full)
+    assert {r.lang: r.passes for r in checks.score_extractor(want, read).collect()} == {"go": True, "rust": False}
