@@ -22,6 +22,8 @@ CONFIDENCES = ("extracted", "inferred", "ambiguous")
 
 #: Edges collected for the driver's cycle search; larger graphs are coloured on the cluster.
 DRIVER_EDGES = 500_000
+#: Rows of a search frontier that are broadcast; more are joined by shuffle.
+BROADCAST_FRONTIER = 100_000
 
 
 def confidence_rank(c: Column) -> Column:
@@ -90,7 +92,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hubs(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
     """The n nodes of most edges (all for n <= 0), ties by id."""
-    out = degrees(nodes, edges).where("total > 0").orderBy(F.desc("total"), "id")
+    out = degrees(nodes, edges).orderBy(F.desc("total"), "id")
     return out.limit(n) if n > 0 else out
 
 
@@ -229,24 +231,61 @@ def cycles(edges: DataFrame, kinds: tuple[str, ...] = ("imports",), driver_edges
     return out.join(out.groupBy("cycle").agg(F.count(F.lit(1)).alias("size")), "cycle").select("id", "cycle", "size")
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, max_hops: int = 30) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     """(hops, path): the shortest directed path, the smallest id sequence among equals; no row if none.
 
-    The frontier keeps one path per node; each round joins it with the edges once."""
+    The edges are written once; the frontier keeps one path per node and is broadcast while it is small. The search ends
+    when no new node is reached, however long the path."""
     spark = edges.sparkSession
-    e = edges.where("src <> dst").select("src", "dst").distinct()
+    e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     frontier = cut(spark.range(1).select(F.lit(start).alias("id"), F.array(F.lit(start)).alias("path")))
     seen = frontier.select("id")
-    for hops in range(max_hops + 1):
+    hops = 0
+    while True:
         hit = frontier.where(F.col("id") == end)
         if not hit.isEmpty():
             return hit.select(F.lit(hops).cast("long").alias("hops"), F.array_join("path", " > ").alias("path"))
-        step = e.join(frontier, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        n = frontier.count()
+        if not n:
+            return spark.createDataFrame([], "hops bigint, path string")
+        near = F.broadcast(frontier) if n <= BROADCAST_FRONTIER else frontier
+        step = e.join(near, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         frontier = cut(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.union(frontier.select("id")))
-    return spark.createDataFrame([], "hops bigint, path string")
+        seen = seen.union(frontier.select("id"))
+        hops += 1
+        if hops % 8 == 0:
+            seen = cut(seen)
+
+
+def node(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The node with an id, if there is one."""
+    return nodes.where(F.col("id") == node_id)
+
+
+def ordered_nodes(nodes: DataFrame, kind: str | None = None) -> DataFrame:
+    """Nodes (of one kind) by id."""
+    return (nodes if kind is None else nodes.where(F.col("kind") == kind)).orderBy("id")
+
+
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    return edges.orderBy("src", "dst", "kind")
+
+
+def edges_at(nodes: DataFrame, edges: DataFrame, node_id: str, out: bool = True) -> DataFrame:
+    """Edges that leave (or, with ``out`` False, reach) a node and whose other end is a node."""
+    own, other = ("src", "dst") if out else ("dst", "src")
+    return ordered_edges(edges.where(F.col(own) == node_id).join(nodes.select(F.col("id").alias(other)), other, "left_semi").select(*edges.columns))
+
+
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges."""
+    return nodes.agg(F.count(F.lit(1)).alias("nodes")).join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges"))), F.lit(True))
+
+
+def gate_share(nodes: DataFrame) -> DataFrame:
+    """One row: pipelines, and those of them that guard what is merged (tag gate)."""
+    p = nodes.where("kind = 'Pipeline'")
+    return p.agg(F.count(F.lit(1)).alias("pipelines"), F.count_if(F.array_contains("tags", "gate")).alias("gates"))
 
 
 def louvain(adj: dict[int, dict[int, float]], twice_m: float, levels: int = 20, passes: int = 100) -> list[int]:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartograph.operators.components import connected_components
+from cartograph.session import cut
+
 BULK_DIRS = 40
+#: After every commit of a walk.
+END = 1 << 62
 
 
 def directory(path: Column) -> Column:
@@ -72,25 +78,62 @@ def co_change_edges(pairs: DataFrame, module_of: DataFrame) -> DataFrame:
     return m.select(both.alias("e"), "weight").select("e.src", "e.dst", F.lit("co_changes").alias("kind"), "weight")
 
 
+NAMES = "name string, since_ord long, since_pos int, until_ord long, until_pos int, newest string"
+
+
+def newest_names(renames: DataFrame) -> DataFrame:
+    """NAMES rows of renames(ord, pos, old, new), ord 0 the newest: from (since) to (until, included) in walk order a name means ``newest``.
+
+    The walk goes from new to old. A rename gives its old name the meaning its new name has at that place; a name used again
+    takes the meaning of the later-met rename. Only names joined by renames touch each other, so each such group is walked
+    for itself; a step costs the names whose meaning changes."""
+    own = renames.where("old <> new AND old <> ''").select(F.col("ord").cast("long").alias("ord"), F.col("pos").cast("int").alias("pos"), "old", "new")
+    groups = connected_components(own, "old", "new")
+    grouped = own.join(groups.select(F.col("id").alias("old"), "component"), "old")
+
+    def walk(batch):
+        rows = batch.sort_values(["ord", "pos", "old", "new"], kind="stable")
+        to: dict[str, str] = {}
+        back: dict[str, set[str]] = {}
+        means: dict[str, tuple[str, int, int]] = {}
+        out = []
+
+        def end(name: str) -> str:
+            while name in to:
+                name = to[name]
+            return name
+
+        for o, p, old, new in zip(rows["ord"], rows["pos"], rows["old"], rows["new"], strict=True):
+            target = end(new)
+            if target == old:
+                continue
+            if old in to:
+                back[to[old]].discard(old)
+            to[old] = target
+            back.setdefault(target, set()).add(old)
+            last, todo = end(target), [old]
+            while todo:
+                name = todo.pop()
+                todo += back.get(name, ())
+                if name in means:
+                    was, so, sp = means[name]
+                    out.append((name, so, sp, int(o), int(p), was))
+                means[name] = (last, int(o), int(p))
+        out += [(name, so, sp, END, 0, last) for name, (last, so, sp) in means.items()]
+        return pd.DataFrame(out, columns=["name", "since_ord", "since_pos", "until_ord", "until_pos", "newest"])
+
+    return grouped.groupBy("component").applyInPandas(walk, NAMES)
+
+
 def fold_renames(changes: DataFrame, renames: DataFrame) -> DataFrame:
-    """``changes`` under their newest names. renames(ord, pos, old, new); a rename holds for older commits.
-
-    Chains are followed by doubling: each round joins the rename table with itself."""
-    r = renames.groupBy("old", "ord").agg(F.max_by("new", "pos").alias("new"))
-    hop = r.select(F.col("old").alias("name"), F.col("ord").alias("since"), F.col("new").alias("to"))
-    out = changes
-    while True:
-        cand = out.join(hop, (F.col("path") == F.col("name")) & (F.col("ord") >= F.col("since")), "left")
-        keys = out.columns
-        step = cand.withColumn("_n", F.struct(-F.col("since"), "to"))
-        best = step.groupBy(*keys).agg(F.min("_n").alias("_n"))
-        moved = best.withColumn("path_", F.coalesce(F.when(F.col("_n").isNotNull(), F.col("_n.to")), F.col("path")))
-        from cartograph.session import cut
-
-        moved = cut(moved.select(*keys, "path_"))
-        if moved.where("path <> path_").isEmpty():
-            return moved.drop("path_")
-        out = moved.drop("path").withColumnRenamed("path_", "path").select(*keys)
+    """``changes`` under their newest names. renames(ord, pos, old, new); a rename holds for what is older.
+
+    Only the rename table is walked; the changes meet its intervals in one join, keep their rows (equal ones too), and those of
+    a much-changed path can be split. Without a column pos the changes of a commit stand before its renames."""
+    pos = F.col("pos") if "pos" in changes.columns else F.lit(-1)
+    at = F.struct(F.col("ord").cast("long"), pos.cast("int"))
+    hit = (F.col("path") == F.col("name")) & (at > F.struct("since_ord", "since_pos")) & (at <= F.struct("until_ord", "until_pos"))
+    return changes.join(cut(newest_names(renames)), hit, "left").select(*[F.coalesce("newest", "path").alias("path") if c == "path" else F.col(c) for c in changes.columns])
 
 
 # The subject of a conventional commit, and an issue reference.
@@ -119,3 +162,10 @@ def conventions(commits: DataFrame) -> DataFrame:
         n((t == "revert") | ((t == "") & s.startswith('Revert "')), "revert"),
         n(s.rlike(ISSUE), "issue_refs"),
     )
+
+
+def commits_since(commits: DataFrame, tagged: str) -> DataFrame:
+    """One row: commits (ord, hash) newer than the tagged one; null where that isn't among them."""
+    at = commits.where(F.col("hash") == tagged).agg(F.min("ord").alias("_at"))
+    n = commits.join(F.broadcast(at), F.lit(True)).agg(F.count_if(F.col("ord") < F.col("_at")).alias("n"), F.max("_at").alias("_at"))
+    return n.select(F.when(F.col("_at").isNotNull(), F.col("n")).alias("commits_since"))

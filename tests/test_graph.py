@@ -13,11 +13,11 @@ EDGE = "src string, dst string, kind string, confidence string, weight int, sour
 
 def test_node_merge_keeps_first_text_and_unites_lists(spark):
     rows = [
-        ("/m/a", "Module", "", "original", "", "", ["go"], {"port": "8080"}, ["a.go"], [], 0),
-        ("/m/a", "Module", "A", "replacement", "", "", ["security", "go", " "], {"port": "9090", "image": "wolfi"}, ["b.go", "a.go"], [], 1),
+        ("/m/kiln", "Module", "", "fires clay", "", "", ["clay"], {"heat": "900"}, ["kiln.rs"], [], 3),
+        ("/m/kiln", "Module", "Kiln", "bakes", "", "", ["bricks", "clay", " "], {"heat": "1200", "fuel": "gas"}, ["bake.rs", "kiln.rs"], [], 4),
     ]
     r = graph.merge_nodes(spark.createDataFrame(rows, NODE)).first()
-    assert (r.title, r.description, r.tags, r.files, r.attrs) == ("A", "original", ["go", "security"], ["a.go", "b.go"], {"port": "8080", "image": "wolfi"})
+    assert (r.title, r.description, r.tags, r.files, r.attrs) == ("Kiln", "fires clay", ["bricks", "clay"], ["bake.rs", "kiln.rs"], {"heat": "900", "fuel": "gas"})
 
 
 @pytest.mark.parametrize("rows", [[("", "Module", 0)], [("/a", "Module", 0), ("/a", "Service", 1)]])
@@ -28,10 +28,10 @@ def test_bad_nodes_raise(spark, rows):
 
 
 def test_edge_merge(spark):
-    rows = [("a", "b", "imports", "inferred", 2, "", 0), ("a", "b", "imports", "extracted", 3, "a.go", 1), ("a", "a", "imports", "extracted", 1, "", 2), ("a", "b", "reads", "extracted", 1, "x", 3), ("a", "b", "reads", "extracted", 1, "y", 4)]
+    rows = [("oven", "dough", "imports", "ambiguous", 7, "", 5), ("oven", "dough", "imports", "inferred", 4, "oven.rs", 6), ("oven", "oven", "imports", "extracted", 9, "", 7), ("oven", "dough", "reads", "inferred", 6, "p", 8), ("oven", "dough", "reads", "inferred", 5, "q", 9)]
     for order in (rows, rows[::-1]):
         got = {r.kind: (r.weight, r.confidence, r.source) for r in graph.merge_edges(spark.createDataFrame(order, EDGE)).collect()}
-        assert got == {"imports": (5, "extracted", "a.go"), "reads": (2, "extracted", "x")}
+        assert got == {"imports": (11, "inferred", "oven.rs"), "reads": (11, "inferred", "p")}
 
 
 def edges(spark, pairs, kind="imports"):
@@ -84,6 +84,8 @@ def test_shortest_path_takes_the_smallest_sequence(spark):
     e = edges(spark, [("a", "y"), ("a", "x"), ("x", "z"), ("y", "z")])
     assert graph.shortest_path(e, "a", "z").first() == (2, "a > x > z")
     assert graph.shortest_path(e, "z", "a").isEmpty()
+    chain = edges(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(36)])
+    assert graph.shortest_path(chain, "n00", "n36").first().hops == 36
 
 
 def test_two_triangles_are_two_clusters_with_one_bridge(spark):
@@ -101,5 +103,7 @@ def test_degrees_hubs_dangling(spark):
     n = nodes(spark, "abc")
     assert {tuple(r) for r in graph.degrees(n, e).collect()} == {("a", 0, 3, 3), ("b", 2, 0, 2), ("c", 1, 0, 1)}
     assert [r.id for r in graph.hubs(n, e, 2).collect()] == ["a", "b"]
+    assert [r.id for r in graph.hubs(n.union(nodes(spark, "z")), e, 0).collect()] == ["a", "b", "c", "z"]
+    assert [(r.src, r.dst) for r in graph.edges_at(n, e, "a").collect()] == [("a", "b"), ("a", "b"), ("a", "c")] and graph.edges_at(n, e, "b", out=False).count() == 2
     assert [r.dst for r in graph.dangling(e, n).collect()] == ["q"]
     assert graph.with_both_ends(e, n).count() == 3
