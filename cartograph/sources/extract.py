@@ -1,13 +1,15 @@
-"""Symbols and imports of source text. Python is parsed; other languages are read by line patterns.
+"""Symbols, imports and queries of source text, language by language.
 
-Before patterns run, comments and string bodies are blanked (newlines kept), and brace depth is counted, so that
-nothing in a literal is read as a declaration. A file that can't be parsed gives incomplete facts and not an error.
+Python is parsed (a file that can't be is read by lines). Languages of braces are walked as headers: the code before each ``{``, ``;``
+or, where lines end statements, line end, with the scopes that are open. Ruby, the shell and PowerShell have readers of their own. All
+stand on ``lexer.scan``, so nothing in a comment or literal is read as code. What can't be read in full gives incomplete facts, never an error.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,90 +17,595 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.functions import lineage
+from cartograph.sources.lexer import Scan, first_sentence, scan
 
 
 @dataclass
 class Facts:
     package: str = ""
-    imports: list[tuple[str, str, int]] = field(default_factory=list)  # raw, alias, line
-    symbols: list[tuple[str, str, str, bool, int]] = field(default_factory=list)  # name, kind, receiver, exported, line
+    imports: list[tuple[str, str, list[str], int]] = field(default_factory=list)  # raw, alias, names, line
+    symbols: list[tuple[str, str, str, bool, int, str]] = field(default_factory=list)  # name, kind, receiver, exported, line, doc
     entrypoints: list[str] = field(default_factory=list)
     queries: list[tuple[str, str, int]] = field(default_factory=list)  # table, access, line
     unnamed_queries: int = 0
     incomplete: bool = False
 
 
-# Comment and string syntax by language.
-SLASH = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
-HASH = r"\#[^\n]*"
-QUOTES = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
-TICKS = r"`(?:\\.|[^`\\])*`"
-SYNTAX = {
-    "go": (SLASH, QUOTES + r"|`[^`]*`"), "typescript": (SLASH, QUOTES + "|" + TICKS), "javascript": (SLASH, QUOTES + "|" + TICKS), "rust": (SLASH, r'r(\#*)".*?"\1|"(?:\\.|[^"\\])*"'),
-    "java": (SLASH, r'""".*?"""|' + QUOTES), "kotlin": (SLASH, r'""".*?"""|' + QUOTES), "c": (SLASH, QUOTES), "cpp": (SLASH, QUOTES), "objc": (SLASH, QUOTES),
-    "csharp": (SLASH, r'@"(?:""|[^"])*"|' + QUOTES), "php": (SLASH + "|" + HASH, QUOTES), "ruby": (HASH, QUOTES), "shell": (r"(?:(?<=\s)|^)\#[^\n]*", QUOTES), "powershell": (r"<\#.*?\#>|\#[^\n]*", QUOTES),
-}
-# Declarations by language as (kind, pattern with a name and perhaps a receiver). Patterns are tried per line.
-DECLARATIONS = {
-    "go": [("func", r"^func\s+(?:\(\s*(?:\w+\s+)?\*?(?P<recv>\w+)[^)]*\)\s*)?(?P<name>\w+)"), ("type", r"^type\s+(?P<name>\w+)"), ("const", r"^(?:const|var)\s+(?P<name>\w+)")],
-    "typescript": [("func", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(?P<name>\w+)"), ("type", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface|enum|type)\s+(?P<name>\w+)"), ("const", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>\w+)")],
-    "rust": [("func", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+(?P<name>\w+)"), ("type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|type|union)\s+(?P<name>\w+)"), ("const", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?P<name>\w+)\s*:")],
-    "java": [("type", r"^\s*(?:(?:public|protected|private|abstract|final|static|sealed)\s+)*(?:class|interface|enum|record|@interface)\s+(?P<name>\w+)"), ("method", r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)+(?:<[^>]+>\s*)?[\w<>\[\],.? ]+\s+(?P<name>\w+)\s*\(")],
-    "kotlin": [("type", r"^\s*(?:(?:public|internal|private|open|abstract|data|sealed|enum|annotation|inline|value)\s+)*(?:class|interface|object)\s+(?P<name>\w+)"), ("func", r"^\s*(?:(?:public|internal|private|protected|open|override|suspend|inline|operator|infix)\s+)*fun\s+(?:<[^>]+>\s*)?(?:(?P<recv>\w+)\.)?(?P<name>\w+)")],
-    "c": [("type", r"^(?:typedef\s+)?(?:struct|enum|union|class)\s+(?P<name>\w+)\s*(?:[:{]|$)"), ("func", r"^(?!return|else|typedef|if|for|while|switch)[\w*&:<> ]+?[\s*&](?:(?P<recv>\w+)::)?(?P<name>~?\w+)\s*\([^;{}]*\)\s*(?:const\s*)?[{;]?\s*$")],
-    "csharp": [("type", r"^\s*(?:(?:public|internal|private|protected|abstract|sealed|static|partial|readonly)\s+)*(?:class|interface|struct|enum|record)\s+(?P<name>\w+)"), ("method", r"^\s+(?:(?:public|internal|private|protected|static|virtual|override|async|abstract|sealed)\s+)+[\w<>\[\],.?]+\s+(?P<name>\w+)\s*(?:<[^>]*>)?[({]")],
-    "php": [("type", r"^\s*(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum)\s+(?P<name>\w+)"), ("func", r"^\s*(?:(?:public|protected|private|static|abstract|final)\s+)*function\s+&?(?P<name>\w+)")],
-    "ruby": [("type", r"^\s*(?:class|module)\s+(?P<name>[\w:]+)"), ("func", r"^\s*def\s+(?:(?P<recv>self)\.)?(?P<name>[\w?!=]+)"), ("const", r"^\s*(?P<name>[A-Z][A-Z0-9_]+)\s*=")],
-    "shell": [("func", r"^\s*(?:function\s+)?(?P<name>[\w-]+)\s*\(\)"), ("func", r"^\s*function\s+(?P<name>[\w-]+)"), ("var", r"^(?:export|readonly|declare(?:\s+-\w+)?)\s+(?P<name>\w+)")],
-    "powershell": [("func", r"(?i)^\s*function\s+(?:\w+:)?(?P<name>[\w-]+)"), ("type", r"(?i)^\s*(?:class|enum)\s+(?P<name>\w+)")],
-}
-# Imports by language, read from lines with their strings.
-IMPORTS = {
-    "go": r"^\s*(?:import\s+)?(?P<alias>[\w.]+\s+)?\"(?P<raw>[^\"]+)\"\s*$",
-    "typescript": r"(?:^\s*(?:import|export)\b[^'\"]*?(?:from\s*)?|\brequire\(\s*|\bimport\(\s*)['\"](?P<raw>[^'\"]+)['\"]",
-    "rust": r"^\s*(?:pub\s+)?(?:use|extern\s+crate)\s+(?P<raw>[\w:]+)(?:\s+as\s+(?P<alias>\w+))?", "java": r"^\s*import\s+(?:static\s+)?(?P<raw>[\w.]+(?:\.\*)?)\s*;",
-    "kotlin": r"^\s*import\s+(?P<raw>[\w.]+(?:\.\*)?)(?:\s+as\s+(?P<alias>\w+))?", "c": r"^\s*#\s*(?:include|import)\s*(?P<raw>[<\"][^>\"]+[>\"])",
-    "csharp": r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:(?P<alias>\w+)\s*=\s*)?(?P<raw>[\w.]+)\s*;", "php": r"^(?:\s*use\s+(?P<raw>[\w\\]+)(?:\s+as\s+(?P<alias>\w+))?\s*;|\s*(?:require|include)(?:_once)?\s*\(?\s*['\"](?P<raw2>[^'\"]+))",
-    "ruby": r"^\s*require(?P<rel>_relative)?\s*\(?['\"](?P<raw>[^'\"]+)", "shell": r"^\s*(?:source|\.)\s+[\"']?(?P<raw>[\w./-]+)[\"']?\s*$",
-    "powershell": r"(?i)^\s*(?:using\s+module\s+|Import-Module\s+(?:-Name\s+)?|\.\s+)[\"']?(?P<raw>[\w./\\$-]+)",
-}
-PACKAGE = {"go": r"^package\s+(\w+)", "java": r"^\s*package\s+([\w.]+)", "kotlin": r"^\s*package\s+([\w.]+)", "csharp": r"^\s*namespace\s+([\w.]+)", "php": r"^\s*namespace\s+([\w\\]+)"}
-ENTRY = {"go": r"^func main\(\)", "rust": r"^(?:pub )?fn main\(", "java": r"public\s+static\s+void\s+main\s*\(", "kotlin": r"^fun main\(", "c": r"^int\s+main\s*\(", "csharp": r"\bstatic\s+[\w<>]+\s+Main\s*\("}
+@dataclass
+class Scope:
+    kind: str  # file, namespace, type, face, impl, trait, func, block
+    name: str = ""
+    shown: bool = True
+    access: str = ""
+
+
+@dataclass
+class Header:
+    """Code before a brace, semicolon or line end: blanked, with its strings, and where it stands."""
+
+    code: str
+    text: str
+    line: int
+    end: str  # the sign that ended it
+    scopes: list[Scope]
+
+    @property
+    def inner(self) -> Scope:
+        return self.scopes[-1]
+
+    @property
+    def open(self) -> bool:
+        """Whether declarations count here: no function or plain block is open."""
+        return all(s.kind not in ("func", "block") for s in self.scopes)
+
+
 SAME = {"javascript": "typescript", "vue": "typescript", "svelte": "typescript", "astro": "typescript", "cpp": "c", "objc": "c"}
+#: Languages whose statements end with the line.
+LINES = ("go", "kotlin", "typescript")
+#: Headers whose braces hold a list and no scope.
+LISTS = {"typescript": r"\s*(import|export)\b(\s+type)?\s*(\w+\s*,\s*)?$", "rust": r"\s*(pub(\([^)]*\))?\s+)?use\b[^;]*$", "php": r"\s*use\b[^;]*$"}
+
+
+def headers(s: Scan, lang: str, push: Callable[[Header], Scope]) -> bool:
+    """Walk the headers of a scan; ``push`` reads one and says which scope its brace opens. False where braces don't pair."""
+    scopes, start, depth = [Scope("file")], 0, 0
+    code, i, n = s.code, 0, len(s.code)
+    paired = True
+
+    def header(end: str, upto: int) -> Header:
+        lead = len(code[start:upto]) - len(code[start:upto].lstrip())
+        return Header(code[start + lead : upto], s.text[start + lead : upto], s.line(start + lead), end, scopes)
+
+    while i < n:
+        c = code[i]
+        if c in "([":
+            depth += 1
+        elif c in ")]":
+            depth = max(0, depth - 1)
+        elif c == "{":
+            if lang in LISTS and re.match(LISTS[lang], code[start:i]):
+                level = 1
+                while level and i + 1 < n:
+                    i += 1
+                    level += (code[i] == "{") - (code[i] == "}")
+            elif depth and lang not in ("go",):
+                # A body within parentheses (a lambda, an object): nothing in it is a declaration of the file.
+                level = 1
+                while level and i + 1 < n:
+                    i += 1
+                    level += (code[i] == "{") - (code[i] == "}")
+            else:
+                scopes.append(push(header("{", i)))
+                start = i + 1
+        elif c == "}":
+            if code[start:i].strip() and lang != "c":
+                push(header("}", i))
+            if len(scopes) > 1:
+                scopes.pop()
+            else:
+                paired = False
+            start, depth = i + 1, 0
+        elif c == ";" and depth == 0:
+            push(header(";", i))
+            start = i + 1
+        elif c == "\n" and lang in LINES and depth == 0 and code[start:i].strip():
+            rest = code[i:].lstrip()[:2]
+            last = code[start:i].rstrip()[-1:]
+            goes_on = last in ",+-*/=<>&|?:." and not (lang == "go" and last in "*") or rest[:1] in ".?" or (rest[:1] == "{" and lang != "go") or (lang == "typescript" and rest == "=>")
+            if not goes_on:
+                push(header("\n", i))
+                start = i + 1
+        i += 1
+    if code[start:].strip():
+        push(header("", n))
+    return paired and len(scopes) == 1
+
+
+BLOCK = r"(?:if|else|for|while|do|switch|try|catch|finally|return|throw|new|case|default|synchronized|using|lock|foreach|match|loop|unsafe|static|init|when|with|guard|defer|go|select)\b"
+
+
+class Reader:
+    """Collects facts of one file."""
+
+    def __init__(self, s: Scan, lang: str, source: str = ""):
+        self.s, self.lang, self.f = s, lang, Facts()
+        #: The interpreter that a first line names, '' without.
+        self.shebang = re.split(r"[/\s]", source.split("\n", 1)[0].strip())[-1] if source.startswith("#!") else ""
+
+    def add(self, h: Header | int, name: str, kind: str, shown: bool, recv: str = "") -> None:
+        line = h if isinstance(h, int) else h.line
+        if name and name != "_":
+            self.f.symbols.append((name, kind, recv, shown, line, self.s.doc(line)))
+
+    def imported(self, raw: str, line: int, alias: str = "", names: list[str] | tuple[str, ...] = ()) -> None:
+        if raw:
+            self.f.imports.append((raw, alias or "", [x for x in names if x], line))
+
+
+def literal(text: str) -> str:
+    """The first string literal's body in a header's text."""
+    m = re.search(r"[\"'`]([^\"'`]*)[\"'`]", text)
+    return m[1] if m else ""
+
+
+def go(r: Reader) -> bool:
+    s = r.s
+    if m := re.search(r"^package\s+(\w+)", s.code, re.M):
+        r.f.package = m[1]
+    done = s.code
+    for m in re.finditer(r"^import\s*(\(.*?^\s*\)|[^\n(]*$)", s.code, re.M | re.S):
+        body = s.text[m.start(1) : m.end(1)].strip("()")
+        for k, row in enumerate(body.split("\n")):
+            if x := re.match(r"\s*([\w.]+\s+)?[\"`]([^\"`]+)[\"`]", row):
+                r.imported(x[2], s.line(m.start(1)) + k, (x[1] or "").strip())
+        done = done[: m.start()] + re.sub(r"[^\n]", " ", m[0]) + done[m.end() :]
+    for m in re.finditer(r"^(type|const|var)\s*\((.*?)^\)", done, re.M | re.S):
+        level = 0
+        for k, row in enumerate(m[2].split("\n")):
+            if level == 0 and (x := re.match(r"\s*(\w+(?:\s*,\s*\w+)*)\b", row)):
+                for name in re.split(r"\s*,\s*", x[1]):
+                    r.add(s.line(m.start(2)) + k, name, m[1], name[:1].isupper())
+            level += sum(row.count(c) for c in "{([") - sum(row.count(c) for c in "})]")
+        done = done[: m.start()] + re.sub(r"[^\n]", " ", m[0]) + done[m.end() :]
+
+    def push(h: Header) -> Scope:
+        if len(h.scopes) == 1:
+            if m := re.match(r"func\s+(?:\(\s*(?:\w+\s+)?\*?\s*(\w+)[^)]*\)\s*)?(\w+)\s*(\[[^\]]*\]\s*)?\(([^)]*)\)(.*)$", h.code, re.S):
+                recv, name = m[1] or "", m[2]
+                r.add(h, name, "method" if recv else "func", name[:1].isupper() and (not recv or recv[:1].isupper()), recv)
+                if not recv and (name == "main" and r.f.package == "main" or name == "init" and not m[4].strip() and not m[5].strip()):
+                    r.f.entrypoints.append(name)
+                return Scope("func", name)
+            if m := re.match(r"(type|const|var)\s+(\w+(?:\s*,\s*\w+)*)", h.code):
+                for name in re.split(r"\s*,\s*", m[2]):
+                    r.add(h, name, m[1], name[:1].isupper())
+        return Scope("block")
+
+    return headers(Scan(done, s.text), "go", push)
+
+
+def typescript(r: Reader) -> bool:
+    s, listed = r.s, {}
+    for m in re.finditer(r"\b(?:require|import)\s*\(\s*[\"'`]", s.code):
+        r.imported(literal(s.text[m.end() - 1 : m.end() + 500].split("\n")[0]), s.line(m.start()))
+    if "node" in r.shebang or r.shebang in ("deno", "bun", "tsx", "ts-node"):
+        r.f.entrypoints.append(r.shebang)
+
+    def push(h: Header) -> Scope:
+        c = h.code
+        if h.open and (m := re.match(r"(import|export)\b", c)) and re.search(r"\bfrom\s*[\"']|^import\s*[\"']", c):
+            names = re.search(r"\{([^}]*)\}", c)
+            picked = [re.split(r"\s+as\s+", x.strip().removeprefix("type "))[0] for x in names[1].split(",")] if names else []
+            star = re.search(r"\*\s+as\s+(\w+)", c)
+            r.imported(literal(h.text), h.line, star[1] if star else "", picked)
+            return Scope("block")
+        if len(h.scopes) > 1:
+            return Scope("block")
+        if m := re.match(r"export\s*(?:type\s*)?\{([^}]*)\}", c):
+            for x in m[1].split(","):
+                own, _, shown = x.strip().partition(" as ")
+                if own:
+                    listed[own.strip().removeprefix("type ")] = shown.strip()
+            return Scope("block")
+        out = re.match(r"(export\s+)?(default\s+)?(declare\s+)?", c)
+        body, shown = c[out.end() :], bool(out[1])
+        if m := re.match(r"(?:async\s+)?function\b\s*\*?\s*(\w+)?", body):
+            r.add(h, m[1] or ("default" if out[2] else ""), "func", shown)
+        elif m := re.match(r"(?:abstract\s+)?(class|interface|enum|const\s+enum)\b\s*((?!extends\b|implements\b)\w+)?", body):
+            r.add(h, m[2] or ("default" if out[2] else ""), "type", shown)
+        elif m := re.match(r"type\s+(\w+)\s*(<[^=]*>)?\s*=", body):
+            r.add(h, m[1], "type", shown)
+        elif m := re.match(r"(const|let|var)\s+(\w+)", body):
+            r.add(h, m[2], "const" if m[1] == "const" else "var", shown)
+        elif m := re.match(r"(?:namespace|module)\s+([\w.]+)", body):
+            r.add(h, m[1], "type", shown)
+        elif out[2]:
+            r.add(h, "default", "var", True)
+        return Scope("block")
+
+    paired = headers(s, "typescript", push)
+    r.f.symbols = [(n, k, v, x or n in listed, line, d) for n, k, v, x, line, d in r.f.symbols]
+    return paired
+
+
+def use_tree(t: str) -> list[tuple[str, str]]:
+    """(path, alias) of each leaf of a Rust use tree."""
+    t = t.strip()
+    if m := re.match(r"([^{]*?)(?:::)?\s*\{(.*)\}$", t, re.S):
+        parts, level, last = [], 0, 0
+        for i, c in enumerate(m[2] + ","):
+            level += (c == "{") - (c == "}")
+            if c == "," and level == 0:
+                parts.append(m[2][last:i])
+                last = i + 1
+        head = m[1].strip()
+        out = []
+        for p in parts:
+            for path, alias in use_tree(p) if p.strip() else []:
+                out.append((head if path == "self" else "::".join(x for x in (head, path) if x), alias))
+        return out
+    path, _, alias = t.partition(" as ")
+    return [(re.sub(r"\s+", "", path).removeprefix("::"), alias.strip())]
+
+
+def rust(r: Reader) -> bool:
+    def push(h: Header) -> Scope:
+        c = re.sub(r"#!?\[[^\]]*\]\s*", "", h.code).strip()
+        m = re.match(r"(pub(?:\s*\([^)]*\))?\s+)?", c)
+        shown, body = (m[1] or "").strip() == "pub", c[m.end() :]
+        shown_here = shown and all(x.shown for x in h.scopes)
+        if not h.open:
+            return Scope("block")
+        if m := re.match(r"use\s+(.*)$", body, re.S):
+            for path, alias in use_tree(m[1]):
+                r.imported(path, h.line, alias)
+        elif m := re.match(r"extern\s+crate\s+(\w+)(?:\s+as\s+(\w+))?", body):
+            r.imported(m[1], h.line, m[2] or "")
+        elif m := re.match(r"mod\s+(\w+)", body):
+            if h.end == ";":
+                r.imported(f"self::{m[1]}", h.line)
+            r.add(h, m[1], "type", shown)
+            return Scope("namespace", m[1], shown)
+        elif m := re.match(r"(?:unsafe\s+)?impl\b\s*(?:<(?:[^<>]|<[^<>]*>)*>)?\s*(.*)$", body, re.S):
+            trait, _, target = m[1].partition(" for ") if " for " in m[1] else ("", "", m[1])
+            name = re.match(r"[&\s]*(?:mut\s+)?(?:\w+::)*(\w+)", target.strip())
+            return Scope("trait" if trait else "impl", name[1] if name else "")
+        elif m := re.match(r"(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn\s+(\w+)", body):
+            owner = h.inner if h.inner.kind in ("impl", "trait", "face") else None
+            r.add(h, m[1], "method" if owner else "func", True if owner and owner.kind in ("trait", "face") else shown if owner else shown_here, owner.name if owner else "")
+            if m[1] == "main" and len(h.scopes) == 1:
+                r.f.entrypoints.append("main")
+            return Scope("func", m[1])
+        elif m := re.match(r"(?:unsafe\s+)?(struct|enum|union|trait|type)\s+(\w+)", body):
+            if h.inner.kind in ("file", "namespace"):
+                r.add(h, m[2], "type", shown_here)
+            return Scope("face" if m[1] == "trait" else "block", m[2])
+        elif (m := re.match(r"(const|static)\s+(?:mut\s+)?(\w+)\s*:", body)) and h.inner.kind in ("file", "namespace"):
+            r.add(h, m[2], "const", shown_here)
+        return Scope("block")
+
+    return headers(r.s, "rust", push)
+
+
+MODIFIERS = r"(?:(?:public|protected|private|internal|abstract|final|static|sealed|non-sealed|strictfp|default|synchronized|native|transient|volatile|partial|readonly|virtual|override|async|extern|unsafe|new|required|file|ref)\s+)*"
+
 
+def split_import(path: str) -> tuple[str, str]:
+    """(package, symbol) of a dotted name: the package ends before the first capital."""
+    parts = path.removesuffix(".*").split(".")
+    k = next((i for i, p in enumerate(parts) if p[:1].isupper()), len(parts))
+    return ".".join(parts[:k]) or path, parts[k] if k < len(parts) else "*" if path.endswith("*") else ""
 
-def blank(text: str, lang: str, keep_strings: bool = False) -> str:
-    """Comments (and string bodies) as blanks; newlines stay."""
-    comment, string = SYNTAX[lang]
 
-    def clear(m: re.Match) -> str:
-        if keep_strings and m.lastgroup != "c" and m["c"] is None:
-            return m[0]
-        return re.sub(r"[^\n]", " ", m[0])
+def java(r: Reader) -> bool:
+    def push(h: Header) -> Scope:
+        c = re.sub(r"@(?!interface\b)[\w.]+(\s*\((?:[^()]|\([^()]*\))*\))?\s*", "", h.code).strip()
+        if m := re.match(r"package\s+([\w.]+)", c):
+            r.f.package = m[1]
+        elif m := re.match(r"import\s+(?:static\s+)?([\w.]+(?:\.\*)?)", c):
+            raw, name = split_import(m[1])
+            r.imported(raw, h.line, "", [name])
+        elif h.open and (m := re.match(rf"({MODIFIERS})(class|interface|enum|record|@interface)\s+(\w+)", c)):
+            shown = ("public" in m[1] or h.inner.kind == "face") and all(s.shown for s in h.scopes)
+            r.add(h, m[3], "type", shown, "")
+            return Scope("face" if "interface" in m[2] else "type", m[3], shown)
+        elif h.open and h.inner.kind in ("type", "face") and (m := re.match(rf"({MODIFIERS})(?:<[^>]*>\s*)?[\w<>\[\],.?&\s]+?[\s\]>](\w+)\s*\(", c)) and not re.match(BLOCK, c.replace("static", "", 1).strip()) and "=" not in c.split("(")[0]:
+            if m[2] != h.inner.name:
+                shown = ("public" in m[1] or (h.inner.kind == "face" and "private" not in m[1])) and all(s.shown for s in h.scopes)
+                r.add(h, m[2], "method", shown, h.inner.name)
+                if m[2] == "main" and "public" in m[1] and "static" in m[1]:
+                    r.f.entrypoints.append(f"{h.inner.name}.main")
+            return Scope("func", m[2])
+        return Scope("block")
 
-    return re.sub(rf"(?P<c>{comment})|(?:{string})", clear, text, flags=re.S | re.M) if "\\1" not in string else re.sub(rf"(?P<c>{comment})|(?P<s>\"(?:\\.|[^\"\\])*\")", clear, text, flags=re.S | re.M)
+    return headers(r.s, "java", push)
 
 
-def exported(lang: str, name: str, line: str) -> bool:
-    if lang == "go":
-        return name[:1].isupper()
-    if lang == "typescript":
-        return line.lstrip().startswith("export")
-    if lang == "rust":
-        return bool(re.match(r"\s*pub\s", line))
-    if lang in ("java", "csharp"):
-        return bool(re.search(r"\bpublic\b", line))
-    if lang in ("kotlin", "php"):
-        return not re.search(r"\b(private|internal|protected)\b", line)
-    if lang == "c":
-        return not line.lstrip().startswith("static")
-    return not name.startswith("_")
+def kotlin(r: Reader) -> bool:
+    words = r"((?:(?:public|internal|private|protected|open|abstract|data|sealed|enum|annotation|inline|value|override|suspend|operator|infix|tailrec|external|expect|actual|const|lateinit|inner|fun(?=\s+interface)|companion)\s+)*)"
+
+    def push(h: Header) -> Scope:
+        c = re.sub(r"@[\w.:]+(\s*\((?:[^()]|\([^()]*\))*\))?\s*", "", h.code).strip()
+        if m := re.match(r"package\s+([\w.]+)", c):
+            r.f.package = m[1]
+            return Scope("block")
+        if m := re.match(r"import\s+([\w.]+(?:\.\*)?)(?:\s+as\s+(\w+))?", c):
+            raw, name = split_import(m[1])
+            r.imported(raw, h.line, m[2] or "", [name])
+            return Scope("block")
+        if not h.open:
+            return Scope("block")
+        m = re.match(words, c)
+        body, mods = c[m.end() :], m[1]
+        shown = not re.search(r"\b(private|internal|protected)\b", mods) and all(s.shown for s in h.scopes)
+        owner = h.inner.name if h.inner.kind in ("type", "face") else ""
+        if m := re.match(r"(class|interface|object)\b\s*(\w+)?", body):
+            if "companion" in mods:
+                return Scope("type", owner, shown)
+            r.add(h, m[2] or "", "type", shown)
+            if p := re.search(r"\(((?:[^()]|\([^()]*\))*)\)", body):
+                for x in re.finditer(r"((?:private|internal|protected)\s+)?(?:val|var)\s+(\w+)", p[1]):
+                    r.add(h, x[2], "var", shown and not x[1], m[2] or "")
+            return Scope("face" if m[1] == "interface" else "type", m[2] or "", shown)
+        if m := re.match(r"fun\s+(?:<[^>]*>\s*)?(?:([\w<>?,. ]+?)\.)?(\w+)\s*\(", body):
+            recv = re.match(r"\w+", m[1])[0] if m[1] else owner
+            r.add(h, m[2], "method" if recv else "func", shown, recv)
+            if m[2] == "main" and len(h.scopes) == 1:
+                r.f.entrypoints.append("main")
+            return Scope("func", m[2])
+        if (m := re.match(r"(val|var)\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)", body)) and h.inner.kind in ("file", "type", "face"):
+            r.add(h, m[2], "const" if "const" in mods else "var", shown, owner)
+        elif (m := re.match(r"typealias\s+(\w+)", body)) and h.inner.kind == "file":
+            r.add(h, m[1], "type", shown)
+        return Scope("block")
+
+    return headers(r.s, "kotlin", push)
+
+
+def csharp(r: Reader) -> bool:
+    def push(h: Header) -> Scope:
+        c = re.sub(r"(?m)^\s*#.*$", "", h.code)
+        c = re.sub(r"^\s*(?:\[[^\]]*\]\s*)+", "", c).strip()
+        if m := re.match(r"namespace\s+([\w.]+)", c):
+            r.f.package = r.f.package or m[1]
+            return Scope("namespace", m[1])
+        if h.inner.kind in ("file", "namespace") and (m := re.match(r"(?:global\s+)?using\s+(?:static\s+)?(?:(\w+)\s*=\s*)?([\w.]+)$", c)):
+            r.imported(m[2], h.line, m[1] or "")
+            return Scope("block")
+        if not h.open:
+            return Scope("block")
+        if m := re.match(rf"({MODIFIERS})(class|interface|struct|enum|record(?:\s+(?:class|struct))?|delegate\s+[\w<>\[\],.?]+)\s+(\w+)", c):
+            shown = ("public" in m[1] or h.inner.kind == "face") and all(s.shown for s in h.scopes)
+            r.add(h, m[3], "type", shown)
+            return Scope("block" if m[2] == "enum" else "face" if m[2] == "interface" else "type", m[3], shown)
+        if h.inner.kind in ("type", "face"):
+            head = c.split("=>")[0]
+            if (m := re.match(rf"({MODIFIERS})[\w<>\[\],.?\s()]*?[\w>\]?)]\s+(?:[\w.]+\.)?(\w+)\s*(?:<[^>]*>)?\s*\(", head)) and "=" not in head.split("(")[0] and not re.match(BLOCK.replace("static|", ""), c):
+                if m[2] != h.inner.name:
+                    self_shown = ("public" in m[1] or h.inner.kind == "face") and all(s.shown for s in h.scopes)
+                    r.add(h, m[2], "method", self_shown, h.inner.name)
+                    if m[2] == "Main" and "static" in m[1]:
+                        r.f.entrypoints.append(f"{h.inner.name}.Main")
+                return Scope("func", m[2])
+            if (h.end == "{" or "=>" in c) and (m := re.match(rf"({MODIFIERS})[\w<>\[\],.?]+\s+(\w+)\s*$", head)):
+                r.add(h, m[2], "method", ("public" in m[1] or h.inner.kind == "face") and all(s.shown for s in h.scopes), h.inner.name)
+                return Scope("func", m[2])
+        return Scope("block")
+
+    return headers(r.s, "csharp", push)
+
+
+def php(r: Reader) -> bool:
+    def push(h: Header) -> Scope:
+        c = re.sub(r"#\[[^\]]*\]", "", h.code).strip()
+        if m := re.match(r"namespace\s+([\w\\]+)", c):
+            r.f.package = r.f.package or m[1]
+            return Scope("namespace", m[1])
+        if h.inner.kind in ("file", "namespace") and (m := re.match(r"use\s+(?:function\s+|const\s+)?(.*)$", c, re.S)):
+            base, _, group = m[1].partition("{")
+            for x in (group.rstrip("} \n") if group else m[1]).split(","):
+                name, _, alias = x.strip().partition(" as ")
+                full = ((base.strip() if group else "") + name.strip()).lstrip("\\")
+                if "\\" in full:
+                    r.imported(full, h.line, alias.strip())
+            return Scope("block")
+        if m := re.match(r"(?:require|include)(?:_once)?\b", c):
+            r.imported(literal(h.text).lstrip("/") if literal(h.text) else "", h.line)
+            return Scope("block")
+        if not h.open:
+            return Scope("block")
+        if m := re.match(r"(?:(?:abstract|final|readonly)\s+)*(class|interface|trait|enum)\s+(\w+)", c):
+            r.add(h, m[2], "type", True)
+            return Scope("type", m[2])
+        if m := re.match(r"((?:(?:public|protected|private|static|abstract|final)\s+)*)function\s+&?\s*(\w+)", c):
+            owner = h.inner.name if h.inner.kind == "type" else ""
+            r.add(h, m[2], "method" if owner else "func", not re.search(r"private|protected", m[1]), owner)
+            return Scope("func", m[2])
+        if m := re.match(r"((?:(?:public|protected|private|final)\s+)*)const\s+(?:\w+\s+)?(\w+)\s*=", c):
+            r.add(h, m[2], "const", not re.search(r"private|protected", m[1]), h.inner.name if h.inner.kind == "type" else "")
+        return Scope("block")
+
+    return headers(r.s, "php", push)
+
+
+def c_family(r: Reader) -> bool:
+    s = r.s
+    for m in re.finditer(r"^[ \t]*#[ \t]*(?:include|import)[ \t]*", s.code, re.M):
+        rest = s.text[m.end() :].split("\n", 1)[0].strip()
+        if x := re.match(r"(<[^>]+>|\"[^\"]+\")", rest):
+            r.imported(x[1], s.line(m.start()))
+    for m in re.finditer(r"@import\s+([\w.]+)", s.code):
+        r.imported(f"<{m[1].split('.')[0]}/{m[1].split('.')[0]}.h>", s.line(m.start()))
+    plain = re.sub(r"(?m)^[ \t]*#(?:[^\n\\]|\\.|\\\n)*", lambda m: re.sub(r"[^\n]", " ", m[0]), s.code)
+    for m in re.finditer(r"^[ \t]*@(interface|protocol)\s+(\w+)\s*(\([^)]*\))?", plain, re.M):
+        if not m[3]:
+            r.add(s.line(m.start()), m[2], "type", True)
+        body = plain[m.end() : plain.find("@end", m.end()) if "@end" in plain[m.end() :] else len(plain)]
+        for x in re.finditer(r"^[ \t]*[-+]\s*\([^)]*\)\s*(\w+)", body, re.M):
+            r.add(s.line(m.end() + x.start(1)), x[1], "method", True, m[2])
+    unnamed: list[int] = []  # depth of the typedef whose names follow its brace
+    plain = re.sub(r"@(interface|protocol|implementation)\b.*?@end", lambda m: re.sub(r"[^\n]", " ", m[0]), plain, flags=re.S)
+
+    def push(h: Header) -> Scope:
+        c = h.code.strip()
+        while m := re.match(r"(public|protected|private)\s*:(?!:)\s*", c):
+            h.inner.access, c = m[1], c[m.end() :]
+        c = re.sub(r"^template\s*<(?:[^<>]|<[^<>]*>)*>\s*|^extern\s+\"[^\"]*\"\s*|\b(?:__attribute__\s*\(\(.*?\)\)|__declspec\([^)]*\)|[A-Z_]+_(?:API|EXPORT))\s*", "", c)
+        if unnamed and h.end == ";" and len(h.scopes) == unnamed[0] and re.fullmatch(r"[\w\s,*]+", c):
+            # The names of a type that was declared before its brace.
+            for name in re.findall(r"\w+", c):
+                r.add(h, name, "type", all(x.shown for x in h.scopes))
+            unnamed.clear()
+            return Scope("block")
+        if not h.open or not c and h.end != "{":
+            return Scope("block")
+        if m := re.match(r"(?:inline\s+)?namespace\b\s*([\w:]*)", c):
+            if m[1]:
+                r.f.package = r.f.package or "::".join([*(x.name for x in h.scopes if x.kind == "namespace" and x.name), m[1]])
+            return Scope("namespace", m[1], bool(m[1]))
+        if not c:
+            return Scope("namespace")  # extern "C"
+        shown = all(x.shown for x in h.scopes) and h.inner.access in ("", "public")
+        if (m := re.match(r"(typedef\s+)?(?:static\s+)?(struct|class|union|enum(?:\s+(?:class|struct))?)\b\s*(?:alignas\([^)]*\)\s*)?(\w+)?\s*(?:final\s*)?(?::[^:].*)?$", c, re.S)) and h.end == "{":
+            if m[3]:
+                r.add(h, m[3], "type", shown)
+            unnamed[:] = [len(h.scopes)] if m[1] else []
+            return Scope("block" if m[2].startswith("enum") else "type", m[3] or "", shown, "private" if m[2] == "class" else "public")
+        if m := re.match(r"typedef\b.*?(\w+)\s*(?:\[[^\]]*\])?$", c, re.S):
+            f = re.search(r"\(\s*\*\s*(\w+)\s*\)", c)
+            r.add(h, f[1] if f else m[1], "type", shown)
+            return Scope("block")
+        if (m := re.match(r"using\s+(\w+)\s*=", c)) and h.inner.kind in ("file", "namespace"):
+            r.add(h, m[1], "type", shown)
+            return Scope("block")
+        if not re.match(r"(?:return|else|if|for|while|switch|do|case|goto|using|delete|throw)\b", c) and (m := re.match(r"([\w:*&<>,\s\[\]~]*?)\b(?:(\w+)(?:<[^>]*>)?::)?(~?\w+|operator\s*[^\s(]+)\s*\(", c)):
+            before, outer, name = m[1].strip(), m[2], m[3]
+            tail = c[m.end() :]
+            if "=" in before or (not before and not outer and h.inner.kind != "type") or re.fullmatch(r"[A-Z_0-9]+", name) and not before:
+                return Scope("block")
+            if h.end in ("{", ";") and "=" not in tail.split(")")[0]:
+                owner = outer or (h.inner.name if h.inner.kind == "type" else "")
+                if name.lstrip("~") != owner:
+                    r.add(h, name, "method" if owner else "func", False if outer else shown and not re.search(r"\bstatic\b", before) or (shown and h.inner.kind == "type"), owner)
+                if name == "main" and h.inner.kind == "file" and h.end == "{":
+                    r.f.entrypoints.append("main")
+                return Scope("func", name)
+        return Scope("block")
+
+    return headers(Scan(plain, s.text), "c", push)
+
+
+def ruby(r: Reader) -> bool:
+    s = r.s
+    scopes: list[tuple[str, str]] = []  # kind, name
+    hidden: list[bool] = [False]
+    longest = ""
+    opener = re.compile(r"^\s*(?:if|unless|case|while|until|for|begin)\b|\bdo\b\s*(\|[^|]*\|)?\s*$|=\s*(?:if|unless|case|begin)\b")
+    for n, (line, raw) in enumerate(zip(s.code.split("\n"), s.text.split("\n"), strict=True), 1):
+        if m := re.match(r"\s*require(_relative)?\b", line):
+            body = literal(raw)
+            r.imported(("./" if m[1] and not body.startswith(".") else "") + body if body else "", n)
+        if m := re.match(r"\s*(class|module)\s+(?!<<)([\w:]+)", line):
+            scopes.append((m[1], m[2]))
+            hidden.append(False)
+            name = "::".join(x for k, x in scopes if k in ("class", "module"))
+            longest = max(longest, name, key=len)
+            r.add(n, m[2], "type", True)
+            if re.search(r";\s*end\s*$", line):
+                scopes.pop()
+                hidden.pop()
+            continue
+        if re.match(r"\s*class\s*<<", line):
+            scopes.append(("class<<", next((x for k, x in reversed(scopes) if k in ("class", "module")), "")))
+            hidden.append(False)
+            continue
+        owner = next((x for k, x in reversed(scopes) if k in ("class", "module", "class<<")), "")
+        in_type = not scopes or scopes[-1][0] in ("class", "module", "class<<")
+        if m := re.match(r"\s*(private\s+|protected\s+|public\s+)?def\s+(?:(self|[A-Z]\w*)\.)?([\w]+[?!=]?|[^\s(\w]+)", line):
+            if in_type:
+                r.add(n, m[3], "method" if owner else "func", not (hidden[-1] or (m[1] or "").strip() in ("private", "protected")), owner)
+            if not re.match(r"\s*(?:\w+\s+)?def\s+[^\s(=]+(?:\([^)]*\))?\s*=\s", line) and not re.search(r";\s*end\s*$", line):
+                scopes.append(("def", m[3]))
+                hidden.append(hidden[-1])
+            continue
+        if in_type and (m := re.match(r"\s*(private|protected|public)\s*$", line)):
+            hidden[-1] = m[1] != "public"
+        elif in_type and (m := re.match(r"\s*attr_(?:reader|writer|accessor)\s+(.*)$", line)):
+            for x in re.findall(r":(\w+)", m[1]):
+                r.add(n, x, "method", not hidden[-1], owner)
+        elif in_type and (m := re.match(r"\s*([A-Z]\w*)\s*=(?!=)", line)):
+            r.add(n, m[1], "const", True, owner)
+        if opener.search(line) and not re.search(r"\bend\s*$", line):
+            scopes.append(("block", ""))
+            hidden.append(hidden[-1])
+        elif re.match(r"\s*end\b", line) and scopes:
+            scopes.pop()
+            hidden.pop()
+    r.f.package = longest
+    return not scopes
+
+
+def shell(r: Reader) -> bool:
+    s = r.s
+    if r.shebang:
+        r.f.entrypoints.append("shebang")
+    for n, (line, raw) in enumerate(zip(s.code.split("\n"), s.text.split("\n"), strict=True), 1):
+        if m := re.match(r"\s*(?:source|\.)\s+", line):
+            word = re.match(r"\"[^\"]*\"|'[^']*'|\S+", raw[m.end() :])
+            path = word[0].strip("\"'") if word else ""
+            # A path anchored at the script's own directory is literal from there; any other expansion isn't known.
+            path = re.sub(r"^(\$\{?\w*(?:DIR|dir|HERE|here)\w*\}?|\$\(dirname[^)]*\)|\$\(cd[^)]*\)|\$\{BASH_SOURCE%/\*\})/", "./", path)
+            r.imported(path if not re.search(r"[$`]", path) else "", n)
+        elif (m := re.match(r"\s*(?:function\s+)?([\w-]+)\s*\(\s*\)", line)) or (m := re.match(r"\s*function\s+([\w-]+)", line)):
+            r.add(n, m[1], "func", not m[1].startswith("_"))
+        elif m := re.match(r"(?:export|readonly|declare(?:\s+-\w+)*|typeset(?:\s+-\w+)*)\s+(\w+)", line):
+            r.add(n, m[1], "var", not m[1].startswith("_"))
+    return True
+
+
+def powershell(r: Reader) -> bool:
+    s, listed, depth, owner = r.s, None, 0, ("", -1)
+    if r.shebang:
+        r.f.entrypoints.append("shebang")
+    for n, c in s.comments.items():
+        if m := re.match(r"#requires\s+-modules?\s+(.*)$", c, re.I):
+            for x in re.findall(r"[\w.-]+", m[1]):
+                r.imported(x, n)
+    for m in re.finditer(r"(?im)^\s*Export-ModuleMember\b(.*)$", s.text):
+        listed = (listed or set()) | {x.strip("'\"") for x in re.findall(r"[\w*'\"-]+", re.sub(r"(?<!\S)-\w+", " ", m[1]))}
+    for n, (line, raw) in enumerate(zip(s.code.split("\n"), s.text.split("\n"), strict=True), 1):
+        if m := re.match(r"(?i)\s*(?:using\s+(?:module|namespace)\s+|Import-Module\s+(?:-Name\s+)?|\.\s+)(.*)$", raw):
+            word = re.match(r"\"[^\"]*\"|'[^']*'|[^\s;]+", m[1])
+            path = word[0].strip("\"'") if word and line.strip() else ""
+            r.imported(path if not re.search(r"\$(?!PSScriptRoot)", path) else "", n)
+        if depth == 0 and (m := re.match(r"(?i)\s*(?:function|filter)\s+(?:\w+:)?([\w-]+)", line)):
+            r.add(n, m[1], "func", True)
+        elif depth == 0 and (m := re.match(r"(?i)\s*(class|enum)\s+(\w+)", line)):
+            r.add(n, m[2], "type", True)
+            owner = (m[2], 1 if m[1].lower() == "class" else -1)
+        elif depth == 0 and re.match(r"(?i)\s*param\s*\(", line):
+            r.f.entrypoints.append("param")
+        elif depth == owner[1] and owner[0]:
+            if m := re.match(r"(?i)\s*((?:hidden|static)\s+)*(?:\[[^\]]*\]\s*)*(\w+)\s*\(", line):
+                if m[2] != owner[0]:
+                    r.add(n, m[2], "method", "hidden" not in line.lower().split("(")[0], owner[0])
+            elif m := re.match(r"(?i)\s*((?:hidden|static)\s+)*(?:\[[^\]]*\]\s*)*\$(\w+)", line):
+                r.add(n, m[2], "var", "hidden" not in line.lower().split("$")[0], owner[0])
+        depth = max(0, depth + line.count("{") - line.count("}"))
+    if listed is not None:
+        r.f.symbols = [(x, k, v, any(re.fullmatch(re.escape(p).replace(r"\*", ".*"), x, re.I) for p in listed) if k == "func" else e, line, d) for x, k, v, e, line, d in r.f.symbols]
+    return depth == 0
+
+
+READERS: dict[str, Callable[[Reader], bool]] = {"go": go, "typescript": typescript, "rust": rust, "java": java, "kotlin": kotlin, "csharp": csharp, "php": php, "c": c_family, "ruby": ruby, "shell": shell, "powershell": powershell}
 
 
 def sql_of(strings: list[tuple[str, int]], facts: Facts) -> None:
-    """Tables of the strings that are queries; gaps are counted."""
+    """Tables of the strings that are queries, each at its first line; gaps are counted."""
     seen: dict[tuple[str, str], int] = {}
     for body, line in strings:
+        if not re.match(r"\s*(?:--[^\n]*\n|/\*|select|insert|update|delete)", body, re.I):
+            continue
         for statement, at in lineage.split(body):
             if lineage.looks_like_sql(statement):
                 refs, gap = lineage.tables(statement)
@@ -108,113 +615,177 @@ def sql_of(strings: list[tuple[str, int]], facts: Facts) -> None:
     facts.queries = [(t, a, n) for (t, a), n in sorted(seen.items())]
 
 
-def python_facts(text: str) -> Facts:
-    f = Facts()
+def python_package(path: str) -> str:
+    """The dotted name of a file from below src, lib or python."""
+    p = re.sub(r"^(src|lib|python)/", "", path)
+    return re.sub(r"/?__init__$", "", re.sub(r"\.pyi?$", "", p)).replace("/", ".")
+
+
+def python_facts(text: str, path: str = "") -> Facts:
+    f = Facts(package=python_package(path))
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        f.incomplete = True
-        return f
-    listed = {
-        e.value for n in tree.body if isinstance(n, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in n.targets) and isinstance(n.value, (ast.List, ast.Tuple))
-        for e in n.value.elts if isinstance(e, ast.Constant)
-    }
+        return python_lines(text, f)
+    lists = [n.value for n in tree.body if isinstance(n, (ast.Assign, ast.AugAssign)) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in (n.targets if isinstance(n, ast.Assign) else [n.target]))]
+    listed = [e.value for v in lists if isinstance(v, (ast.List, ast.Tuple)) for e in v.elts if isinstance(e, ast.Constant) and isinstance(e.value, str)]
+    declared: set[str] = set()
 
     def shown(name: str) -> bool:
-        return name in listed if listed else not name.startswith("_")
+        return name in listed if lists else not name.startswith("_")
+
+    def add(n: ast.AST, name: str, kind: str, recv: str, show: bool) -> None:
+        doc = ast.get_docstring(n) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else None
+        f.symbols.append((name, kind, recv, show, n.lineno, first_sentence(doc or "")))
+        declared.add(name)
 
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
-            f.imports += [(a.name, a.asname or "", n.lineno) for a in n.names]
+            f.imports += [(a.name, a.asname or "", [], n.lineno) for a in n.names]
         elif isinstance(n, ast.ImportFrom):
-            f.imports.append(("." * n.level + (n.module or ""), "", n.lineno))
+            f.imports.append(("." * n.level + (n.module or ""), "", [a.name for a in n.names], n.lineno))
     for n in tree.body:
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            f.symbols.append((n.name, "func", "", shown(n.name), n.lineno))
+            add(n, n.name, "func", "", shown(n.name))
         elif isinstance(n, ast.ClassDef):
-            f.symbols.append((n.name, "type", "", shown(n.name), n.lineno))
-            f.symbols += [(m.name, "method", n.name, shown(n.name) and not m.name.startswith("_"), m.lineno) for m in n.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
+            add(n, n.name, "type", "", shown(n.name))
+            for m in n.body:
+                if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    f.symbols.append((m.name, "method", n.name, shown(n.name) and not m.name.startswith("_"), m.lineno, first_sentence(ast.get_docstring(m) or "")))
         elif isinstance(n, (ast.Assign, ast.AnnAssign)):
-            names = [t.id for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) if isinstance(t, ast.Name)]
-            f.symbols += [(x, "var", "", shown(x), n.lineno) for x in names if x != "__all__"]
+            for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
+                if isinstance(t, ast.Name) and t.id != "__all__":
+                    add(n, t.id, "const" if t.id.isupper() else "var", "", shown(t.id))
         elif isinstance(n, ast.If) and "__name__" in ast.dump(n.test) and "__main__" in ast.dump(n.test):
             f.entrypoints.append("__main__")
+    # Names that __all__ hands on from elsewhere.
+    line = lists[0].lineno if lists else 1
+    f.symbols += [(x, "", "", True, line, "") for x in listed if x not in declared]
     sql_of([(n.value, n.lineno) for n in ast.walk(tree) if isinstance(n, ast.Constant) and isinstance(n.value, str)], f)
     return f
 
 
-def pattern_facts(text: str, lang: str) -> Facts:
-    f, own = Facts(), SAME.get(lang, lang)
-    if lang in ("vue", "svelte"):
-        script = "\n".join(re.findall(r"<script[^>]*>(.*?)</script>", text, re.S | re.I))
-        text = script
-    elif lang == "astro":
-        text = (re.match(r"\s*---\n(.*?)\n---", text, re.S) or ["", ""])[1]
-    code, with_strings = blank(text, own), blank(text, own, keep_strings=True)
-    depth, in_block = 0, False
-    for number, (line, raw) in enumerate(zip(code.split("\n"), with_strings.split("\n"), strict=False), 1):
-        if own == "go":
-            in_block = in_block and not raw.startswith(")") or raw.startswith("import (")
-        m = re.search(IMPORTS[own], raw) if own != "go" or in_block or raw.startswith("import ") else None
-        if m:
-            g = m.groupdict()
-            name = g.get("raw") or g.get("raw2") or ""
-            f.imports.append((("./" if g.get("rel") else "") + name, (g.get("alias") or "").strip(), number))
-        limit = 1 if own in ("java", "csharp", "php", "kotlin", "rust", "c") else 0
-        if depth <= limit + (own == "csharp") or own in ("ruby", "shell"):
-            for kind, pattern in DECLARATIONS[own]:
-                d = re.match(pattern, line)
-                if d:
-                    recv = d.groupdict().get("recv") or ""
-                    show = exported(own, d["name"], line) and (own != "go" or not recv or recv[:1].isupper())
-                    f.symbols.append((d["name"], "method" if recv else kind, recv, show, number))
-                    break
-        if own in PACKAGE and not f.package and (p := re.match(PACKAGE[own], line)):
-            f.package = p[1]
-        if own in ENTRY and re.search(ENTRY[own], line):
-            f.entrypoints.append("main")
-        depth = max(0, depth + line.count("{") - line.count("}"))
-    if own in ("shell",) and text.startswith("#!"):
-        f.entrypoints.append("shebang")
-    f.incomplete = depth != 0
-    bodies = [(m[0][1:-1], text.count("\n", 0, m.start()) + 1) for m in re.finditer(QUOTES + "|" + TICKS, with_strings)]
-    sql_of(bodies, f)
+def python_lines(text: str, f: Facts) -> Facts:
+    """What lines say of a file that can't be parsed."""
+    f.incomplete = True
+    s = scan(text, "python")
+    for n, line in enumerate(s.code.split("\n"), 1):
+        if m := re.match(r"\s*from\s+([\w.]+)\s+import\b(.*)$", line):
+            f.imports.append((m[1], "", [x.split(" as ")[0].strip() for x in m[2].strip(" ()").split(",") if x.strip()], n))
+        elif m := re.match(r"\s*import\s+(.*)$", line):
+            for x in m[1].split(","):
+                name, _, alias = x.strip().partition(" as ")
+                if re.fullmatch(r"[\w.]+", name):
+                    f.imports.append((name, alias.strip(), [], n))
+        elif m := re.match(r"(?:async\s+)?(def|class)\s+(\w+)", line):
+            f.symbols.append((m[2], "func" if m[1] == "def" else "type", "", not m[2].startswith("_"), n, ""))
+        elif m := re.match(r"([A-Za-z_]\w*)\s*(?::[^=]+)?=(?!=)", line):
+            f.symbols.append((m[1], "const" if m[1].isupper() else "var", "", not m[1].startswith("_"), n, ""))
     return f
 
 
-def facts_of(text: str | None, lang: str | None) -> Facts | None:
+def script_of(text: str, lang: str) -> str:
+    """A component's script with everything else blanked, so that lines stay."""
+    keep = [(m.start(1), m.end(1)) for m in re.finditer(r"<script\b[^>]*>(.*?)</script\s*>", text, re.S | re.I)] if lang != "astro" else [(m.start(1), m.end(1)) for m in [re.match(r"\s*---[ \t]*\n(.*?)^---[ \t]*$", text, re.S | re.M)] if m]
+    out, at = [], 0
+    for a, b in keep:
+        out += [re.sub(r"[^\n]", " ", text[at:a]), text[a:b]]
+        at = b
+    return "".join([*out, re.sub(r"[^\n]", " ", text[at:])])
+
+
+def only_php(text: str) -> str:
+    """PHP between its tags, the rest blanked."""
+    out, at = [], 0
+    for m in re.finditer(r"<\?(?:php\b|=)?(.*?)(?:\?>|\Z)", text, re.S):
+        out += [re.sub(r"[^\n]", " ", text[at : m.start(1)]), text[m.start(1) : m.end(1)]]
+        at = m.end(1)
+    return "".join([*out, re.sub(r"[^\n]", " ", text[at:])])
+
+
+def merged(f: Facts) -> Facts:
+    """Facts in order, each once: imports by name and alias with all names at the first line; symbols by name and receiver, a blank kind
+    taking the other's, shown if any is, with the first documentation."""
+    imports: dict[tuple[str, str], tuple[set[str], int]] = {}
+    for raw, alias, names, line in f.imports:
+        had, first = imports.get((raw, alias), (set(), line))
+        imports[raw, alias] = (had | set(names), min(first, line))
+    f.imports = [(raw, alias, sorted(names), line) for (raw, alias), (names, line) in sorted(imports.items())]
+    symbols: dict[tuple[str, str, str], list] = {}
+    for name, kind, recv, shown, line, doc in sorted(f.symbols, key=lambda x: (x[0], x[2], x[1] == "", x[4])):
+        key = (name, recv, kind)
+        if not kind:
+            key = next((k for k in symbols if k[:2] == (name, recv)), key)
+        if key in symbols:
+            old = symbols[key]
+            symbols[key] = [old[0] or shown, min(old[1], line), old[2] or doc]
+        else:
+            symbols[key] = [shown, line, doc]
+    f.symbols = [(name, kind, recv, shown, line, doc) for (name, recv, kind), (shown, line, doc) in sorted(symbols.items(), key=lambda x: (x[1][1], x[0]))]
+    f.entrypoints = sorted(set(f.entrypoints))
+    return f
+
+
+def facts_of(text: str | None, lang: str | None, path: str = "") -> Facts | None:
     """Facts of a file, None for a language without a reader."""
+    text = (text or "").replace("\r\n", "\n")
     if lang == "python":
-        return python_facts(text or "")
-    return pattern_facts(text or "", lang) if lang and SAME.get(lang, lang) in DECLARATIONS else None
+        return merged(python_facts(text, path))
+    own = SAME.get(lang, lang)
+    if own not in READERS:
+        return None
+    if lang in ("vue", "svelte", "astro"):
+        text = script_of(text, lang)
+    elif lang == "php":
+        text = only_php(text)
+    r = Reader(scan(re.sub(r"^#![^\n]*", "", text) if own == "typescript" else text, own), own, text)
+    paired = READERS[own](r)
+    r.f.incomplete = not (paired and r.s.complete)
+    if lang in ("vue", "svelte", "astro"):
+        r.f.entrypoints = []
+    sql_of(r.s.bodies, r.f)
+    return merged(r.f)
 
 
+_IMPORT = (("raw", pa.string()), ("alias", pa.string()), ("names", pa.list_(pa.string())), ("line", pa.int32()))
+_SYMBOL = (("name", pa.string()), ("kind", pa.string()), ("recv", pa.string()), ("exported", pa.bool_()), ("line", pa.int32()), ("doc", pa.string()))
+_QUERY = (("table", pa.string()), ("access", pa.string()), ("line", pa.int32()))
 FACTS = (
-    "package string, imports array<struct<raw:string,alias:string,line:int>>, symbols array<struct<name:string,kind:string,recv:string,exported:boolean,line:int>>, "
+    "package string, imports array<struct<raw:string,alias:string,names:array<string>,line:int>>, symbols array<struct<name:string,kind:string,recv:string,exported:boolean,line:int,doc:string>>, "
     "entrypoints array<string>, queries array<struct<table:string,access:string,line:int>>, unnamed_queries int, incomplete boolean"
 )
+_ARROW = pa.schema([
+    ("path", pa.string()), ("lang", pa.string()), ("package", pa.string()), ("imports", pa.list_(pa.struct(list(_IMPORT)))), ("symbols", pa.list_(pa.struct(list(_SYMBOL)))), ("entrypoints", pa.list_(pa.string())),
+    ("queries", pa.list_(pa.struct(list(_QUERY)))), ("unnamed_queries", pa.int32()), ("incomplete", pa.bool_()),
+])
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """path, lang and FACTS of source files (path, lang, content) that have a reader."""
-    shapes = (("raw", "alias", "line"), ("name", "kind", "recv", "exported", "line"), ("table", "access", "line"))
+    """path, lang and FACTS of source files (path, lang, content) that have a reader; a file that was cut short (truncated) is incomplete."""
+    shapes = [[n for n, _ in t] for t in (_IMPORT, _SYMBOL, _QUERY)]
 
     def run(batches):
         for b in batches:
             rows = []
-            for path, lang, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                f = facts_of(content, lang)
+            for path, lang, content, cut_short in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                f = facts_of(content, lang, path or "")
                 if f:
                     lists = [[dict(zip(names, x, strict=True)) for x in values] for names, values in zip(shapes, (f.imports, f.symbols, f.queries), strict=True)]
-                    rows.append({"path": path, "lang": lang, "package": f.package, "imports": lists[0], "symbols": lists[1], "entrypoints": f.entrypoints, "queries": lists[2], "unnamed_queries": f.unnamed_queries, "incomplete": f.incomplete})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    text, i, flag = pa.string(), pa.int32(), pa.bool_()
-    arrow = pa.schema(
-        [
-            ("path", text), ("lang", text), ("package", text), ("imports", pa.list_(pa.struct([("raw", text), ("alias", text), ("line", i)]))),
-            ("symbols", pa.list_(pa.struct([("name", text), ("kind", text), ("recv", text), ("exported", flag), ("line", i)]))), ("entrypoints", pa.list_(text)),
-            ("queries", pa.list_(pa.struct([("table", text), ("access", text), ("line", i)]))), ("unnamed_queries", i), ("incomplete", flag),
-        ]
-    )
-    return files.where(F.col("lang").isNotNull()).select("path", "lang", "content").mapInArrow(run, f"path string, lang string, {FACTS}")
+                    rows.append({"path": path, "lang": lang, "package": f.package, "imports": lists[0], "symbols": lists[1], "entrypoints": f.entrypoints, "queries": lists[2], "unnamed_queries": f.unnamed_queries, "incomplete": f.incomplete or bool(cut_short)})
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    short = F.col("truncated") if "truncated" in files.columns else F.lit(False)
+    return files.where(F.col("lang").isNotNull()).select("path", "lang", "content", short.alias("truncated")).mapInArrow(run, f"path string, lang string, {FACTS}")
+
+
+def unhandled(files: DataFrame) -> DataFrame:
+    """lang, n: source files of languages without a reader."""
+    known = [*READERS, "python", *SAME]
+    return files.where((F.col("class") == "source") & ~F.col("lang").isin(*known)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def exported_names(symbols):
+    """Sorted distinct names of exported symbols (a Column of them), methods as Type.name."""
+    shown = F.filter(symbols, lambda s: s["exported"])
+    return F.array_sort(F.array_distinct(F.transform(shown, lambda s: F.when(s["recv"] != "", F.concat(s["recv"], F.lit("."), s["name"])).otherwise(s["name"]))))
+

@@ -1,156 +1,144 @@
-"""Declared dependencies and facts of manifests; the name of a file says which reader takes it."""
+"""Manifests as rows: the first route that fits a path says which reader takes the file; a failed reader gives incomplete facts."""
 
 from __future__ import annotations
 
-import json
 import re
-import tomllib
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cartograph.sources import contracts, infra, packages
+from cartograph.sources.facts import Fact, Out
+
+Reader = Callable[[str, str, Out], None]
+
+# Routes in order, each a kind, a pattern of paths, and its reader.
+ROUTES: list[tuple[str, str, Reader]] = [
+    ("lock", "(^|/)(" + "|".join(map(re.escape, contracts.LOCKS)) + ")$", contracts.lock),
+    ("go.mod", r"(^|/)go\.(mod|work)$", packages.go_mod),
+    ("package.json", r"(^|/)package\.json$", packages.package_json),
+    ("pyproject", r"(^|/)pyproject\.toml$", packages.pyproject),
+    ("requirements", r"(^|/)([\w.-]*requirements[\w.-]*\.(txt|in)|requirements/[\w.-]+\.(txt|in))$", packages.requirements),
+    ("cargo", r"(^|/)Cargo\.toml$", packages.cargo),
+    ("gem", r"(^|/)Gemfile$|\.gemspec$", packages.gemfile),
+    ("composer", r"(^|/)composer\.json$", packages.composer),
+    ("msbuild", r"\.(cs|fs|vb)proj$|(^|/)Directory\.(Build|Packages)\.(props|targets)$", packages.msbuild),
+    ("solution", r"\.sln$", packages.solution),
+    ("cmake", r"(^|/)CMakeLists\.txt$|\.cmake$", packages.cmake),
+    ("bazel", r"(^|/)(BUILD|WORKSPACE|MODULE)(\.bazel)?$", packages.bazel),
+    ("tsconfig", r"(^|/)(tsconfig|jsconfig)(\.[\w-]+)*\.json$", packages.tsconfig),
+    ("makefile", r"(^|/)(GNU)?[Mm]akefile$|\.mk$", packages.makefile),
+    ("containerfile", r"(?i)(^|/)(docker|container)file(\.[^/]*)?$|\.(docker|container)file$", infra.containerfile),
+    ("compose", r"(^|/)(docker-)?compose([.-][\w.-]+)?\.ya?ml$", infra.compose),
+    ("workflow", r"(^|/)\.github/workflows/[^/]+\.ya?ml$|(^|/)action\.ya?ml$", infra.workflow),
+    ("helm-chart", r"(^|/)Chart\.ya?ml$", infra.helm_chart),
+    ("helm-values", r"(^|/)values[\w.-]*\.ya?ml$", infra.helm_values),
+    ("openapi", r"(?i)(^|/)(openapi|swagger)[\w.-]*\.(ya?ml|json)$|(^|/)openapi/.*\.(ya?ml|json)$", contracts.openapi),
+    ("kubernetes", r"(^|/)(k8s|kubernetes|manifests|deploy|templates)/.*\.ya?ml$", infra.kubernetes),
+    ("terraform", r"\.(tf|tfvars)$", infra.terraform),
+    ("proto", r"\.proto$", contracts.proto),
+    ("graphql", r"\.(graphqls?|gql)$", contracts.graphql),
+    ("migration", r"(^|/)(migrations?|migrate|db/migration)/.*\.(sql|py|rb|js|ts|php|go)$", contracts.migration),
+    ("codeowners", r"(^|/)(CODEOWNERS|OWNERS)$", contracts.code_owners),
+    ("adr", r"(?i)(^|/)(adrs?|decisions)/.*\.md$", contracts.decision),
+    ("agent-rules", r"(^|/)(AGENTS|CLAUDE)\.md$", contracts.agent_rules),
+]
+_ROUTES = [(kind, re.compile(pattern), reader) for kind, pattern, reader in ROUTES]
 
-Dep = tuple[str, str, str, str]  # name, version, scope, ecosystem
 
-# Sections of package.json and Cargo.toml and their scopes.
-NPM = {"dependencies": "runtime", "devDependencies": "dev", "peerDependencies": "build", "optionalDependencies": "build"}
-CARGO = {"dependencies": "runtime", "dev-dependencies": "dev", "build-dependencies": "build"}
-DEV_NAMES = r"(?i)(^|[^a-z])(dev|test|tests|lint|docs?|ci)([^a-z]|$)"
+def route(path: str) -> tuple[str, Reader] | None:
+    return next(((kind, reader) for kind, pattern, reader in _ROUTES if pattern.search(path)), None)
 
 
-def requirement(line: str) -> tuple[str, str] | None:
-    """(normal name, version) of a requirement line, None for an option or blank."""
-    line = re.sub(r"(^|\s)#.*$", "", line).split(";")[0].strip()
-    m = re.match(r"^([A-Za-z0-9][\w.-]*)\s*(?:\[[^\]]*\])?\s*(?:@\s*(\S+)|(.*))$", line)
-    if not m or line.startswith("-"):
+def read(path: str, source: str) -> tuple[str, Out] | None:
+    """(kind, facts) of a file; None where no route fits. A reader that fails leaves what it had and says so."""
+    found = route(path)
+    if found is None:
         return None
-    return re.sub(r"[-_.]+", "-", m[1]).lower(), (m[2] or m[3] or "").strip().strip("()")
-
-
-def go_mod(text: str) -> list[Dep]:
-    out = []
-    for block, single in re.findall(r"^require\s*(?:\(([^)]*)\)|(\S.*))$", text, re.M):
-        for line in (block or single).split("\n"):
-            m = re.match(r"\s*(\S+)\s+(v\S+)(.*)", line)
-            if m:
-                out.append((m[1], m[2], "indirect" if "// indirect" in m[3] else "runtime", "go"))
-    return out
-
-
-def package_json(text: str) -> list[Dep]:
-    data = json.loads(text)
-    return [(k, str(v), scope, "npm") for section, scope in NPM.items() for k, v in (data.get(section) or {}).items()]
-
-
-def pyproject(text: str) -> list[Dep]:
-    data = tomllib.loads(text)
-    project, out = data.get("project", {}), []
-    groups = [(project.get("dependencies", []), "runtime"), *((v, "runtime") for v in project.get("optional-dependencies", {}).values()), *((v, "dev") for v in data.get("dependency-groups", {}).values())]
-    for lines, scope in groups:
-        out += [(*r, scope, "pypi") for line in lines if isinstance(line, str) and (r := requirement(line))]
-    poetry = data.get("tool", {}).get("poetry", {})
-    for section, scope in (("dependencies", "runtime"), ("dev-dependencies", "dev")):
-        out += [(re.sub(r"[-_.]+", "-", k).lower(), v if isinstance(v, str) else str(v.get("version", "")), scope, "pypi") for k, v in poetry.get(section, {}).items() if k != "python"]
-    return out
+    kind, reader = found
+    out = Out()
+    try:
+        reader(source, path, out)
+    except (ValueError, ET.ParseError, AttributeError, TypeError, KeyError, IndexError, RecursionError):
+        out.complete = False
+    return kind, merged(out)
 
 
-def requirements(text: str, name: str = "requirements.txt") -> list[Dep]:
-    scope = "dev" if re.search(DEV_NAMES, name) else "runtime"
-    return [(*r, scope, "pypi") for line in text.split("\n") if (r := requirement(line))]
+def merged(out: Out) -> Out:
+    """Sorted facts; equal ones once, at their first line; a dependency named twice in a scope keeps the spelled-out version."""
+    best: dict[tuple, Fact] = {}
+    for f in out:
+        key = (f.fact, f.name, f.scope, f.ecosystem, f.attrs.get("local", "")) if f.fact == "dep" else (f.fact, f.name, f.value, f.scope, f.ecosystem, tuple(f.items), tuple(sorted(f.attrs.items())), f.line if f.fact in ("step", "rule") else 0)
+        old = best.get(key)
+        if old is None:
+            best[key] = f
+        else:
+            old.value = old.value or f.value
+            old.line = min(old.line, f.line)
+            old.attrs = f.attrs | old.attrs
+    new = Out(sorted(best.values(), key=lambda f: (f.fact, f.scope if f.fact == "step" else "", f.line if f.fact in ("step", "rule") else 0, f.name, f.ecosystem, f.scope, f.value)))
+    new.complete = out.complete
+    return new
 
 
-def cargo(text: str) -> list[Dep]:
-    data, out = tomllib.loads(text), []
-    tables = [data, data.get("workspace", {}), *data.get("target", {}).values()]
-    for t in tables:
-        for section, scope in CARGO.items():
-            for k, v in t.get(section, {}).items():
-                table = v if isinstance(v, dict) else {"version": v}
-                version = "workspace" if table.get("workspace") else str(table.get("version", ""))
-                out.append((table.get("package", k), version, scope, "crates.io"))
-    return out
+SCHEMA = "path string, kind string, fact string, name string, value string, scope string, ecosystem string, line int, items array<string>, attrs map<string,string>, complete boolean"
+_ARROW = pa.schema([
+    *((c, pa.string()) for c in ("path", "kind", "fact", "name", "value", "scope", "ecosystem")), ("line", pa.int32()), ("items", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("complete", pa.bool_()),
+])
 
 
-def composer(text: str) -> list[Dep]:
-    data = json.loads(text)
-    return [(k, str(v), s, "composer") for section, s in (("require", "runtime"), ("require-dev", "dev")) for k, v in (data.get(section) or {}).items() if k != "php" and not k.startswith(("ext-", "lib-"))]
+def read_manifests(files: DataFrame) -> DataFrame:
+    """SCHEMA rows of the manifests among files (path, content): one per fact; a manifest without any gives one row with a null fact.
 
+    A null content counts as empty. Files that no route fits give no row (``unread`` counts them)."""
 
-def gemfile(text: str) -> list[Dep]:
-    out, groups = [], []
-    for line in text.split("\n"):
-        if re.match(r"\s*group\b.*\bdo\b", line):
-            groups.append(bool(re.search(r":(development|test|lint|doc|ci)\b", line)))
-        elif re.match(r"\s*\w+.*\bdo\b\s*(\|.*\|)?\s*$", line):
-            groups.append(False)
-        elif re.match(r"\s*end\b", line) and groups:
-            groups.pop()
-        elif m := re.match(r"\s*(?:gem|\w+\.add_(?:runtime_|development_)?dependency)\s*\(?\s*['\"]([^'\"]+)['\"](?:\s*,\s*['\"]([^'\"]+)['\"])?", line):
-            out.append((m[1], m[2] or "", "dev" if any(groups) or "development_dependency" in line else "runtime", "rubygems"))
-    return out
-
-
-def msbuild(text: str) -> list[Dep]:
-    out = []
-    for e in ET.fromstring(re.sub(r"\sxmlns=\"[^\"]*\"", "", text, count=1)).iter():
-        if e.tag in ("PackageReference", "PackageVersion") and (e.get("Include") or e.get("Update")):
-            private = (e.get("PrivateAssets") or e.findtext("PrivateAssets") or "").lower() == "all"
-            out.append((e.get("Include") or e.get("Update"), e.get("Version") or e.findtext("Version") or "", "build" if private else "runtime", "nuget"))
-    return out
+    def run(batches):
+        for b in batches:
+            cols: list[list] = [[] for _ in _ARROW.names]
 
+            def flush(cols=cols):
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
-def containerfile(text: str) -> list[Dep]:
-    """Base images that aren't earlier stages."""
-    stages, out = set(), []
-    for image, stage in re.findall(r"^\s*FROM\s+(?:--\S+\s+)*(\S+)(?:\s+AS\s+(\S+))?", text, re.M | re.I):
-        if image not in stages:
-            name, _, tag = image.partition(":") if "@" not in image else image.partition("@")
-            out.append((name, tag, "runtime", "image"))
-        stages.add(stage)
+            for path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got = read(path or "", content or "")
+                if got is None:
+                    continue
+                kind, facts = got
+                for f in facts or [Fact(None, None, None, None, None, None)]:
+                    row = (path, kind, f.fact, f.name, f.value, f.scope, f.ecosystem, f.line, f.items, sorted(f.attrs.items()), facts.complete)
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+            yield flush()
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def manifest_kind(path):
+    """The kind of manifest of a path as a Column; null where no route fits."""
+    out = None
+    for kind, pattern, _ in ROUTES:
+        out = F.when(path.rlike(pattern), kind) if out is None else out.when(path.rlike(pattern), kind)
     return out
 
 
-READERS = [
-    (r"(^|/)go\.mod$", go_mod), (r"(^|/)package\.json$", package_json), (r"(^|/)pyproject\.toml$", pyproject), (r"(^|/)Cargo\.toml$", cargo), (r"(^|/)composer\.json$", composer),
-    (r"(^|/)Gemfile$|\.gemspec$", gemfile), (r"\.(cs|fs|vb)proj$|(^|/)Directory\.(Build|Packages)\.props$", msbuild), (r"(?i)(^|/)(docker|container)file(\.[^/]*)?$", containerfile),
-]
-
-
-def dependencies(path: str, text: str) -> tuple[list[Dep], bool] | None:
-    """(dependencies, whether the file could be read in full); None where no reader takes the file."""
-    base = path.rsplit("/", 1)[-1]
-    reader = (lambda t: requirements(t, base)) if re.match(r"requirements.*\.txt$", base) else next((r for p, r in READERS if re.search(p, path)), None)
-    if reader is None:
-        return None
-    try:
-        return sorted(set(reader(text))), True
-    except (ValueError, ET.ParseError, AttributeError, TypeError):
-        return [], False
-
-
-def code_owners(text: str) -> list[tuple[str, list[str]]]:
-    """(pattern, owners) of lines that name an owner."""
-    rows = (re.sub(r"(^|\s)#.*$", "", line).split() for line in text.split("\n"))
-    return [(r[0], r[1:]) for r in rows if len(r) > 1]
-
+def unread(files: DataFrame, wanted: tuple[str, ...] = ("manifest", "infra", "contract")) -> DataFrame:
+    """key, n: files (path, class) of classes that ought to be read and that no route fits, by extension."""
+    from cartograph.functions import classify
 
-def make_targets(text: str) -> list[tuple[str, str]]:
-    """(target, first command) of a makefile."""
-    return [(m[1], m[2].strip()) for m in re.finditer(r"^([A-Za-z][\w.-]*)\s*:(?!=)[^\n]*\n?((?:\t[^\n]*)?)", text, re.M)]
+    ext = classify.extension(F.col("path"))
+    key = F.when(ext == "", classify.basename(F.col("path"))).otherwise(ext)
+    return files.where(F.col("class").isin(*wanted) & manifest_kind(F.col("path")).isNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def read_dependencies(files: DataFrame) -> DataFrame:
-    """path, name, version, scope, ecosystem, complete of manifests among files (path, content); a manifest without any gives a null name."""
+    """path, name, version, scope, ecosystem, complete of dependencies and base images among files; a manifest without any gives a null name."""
+    rows = read_manifests(files)
+    dep = F.col("fact").isin("dep", "image")
+    own = rows.where(dep).select("path", "name", F.col("value").alias("version"), F.when(F.col("fact") == "image", "runtime").otherwise(F.col("scope")).alias("scope"), F.when(F.col("fact") == "image", "image").otherwise(F.col("ecosystem")).alias("ecosystem"), "complete")
+    none = rows.groupBy("path", "complete").agg(F.count_if(dep).alias("n")).where("n = 0")
+    null = F.lit(None).cast("string")
+    return own.unionByName(none.select("path", null.alias("name"), null.alias("version"), null.alias("scope"), null.alias("ecosystem"), "complete"))
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got = dependencies(path or "", content or "")
-                if got:
-                    rows += [(path, *d, got[1]) for d in got[0] or [(None, None, None, None)]]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.string()] * 5 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["path", "name", "version", "scope", "ecosystem", "complete"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, name string, version string, scope string, ecosystem string, complete boolean")
