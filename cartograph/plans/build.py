@@ -1,8 +1,6 @@
-"""From a corpus to the graph: files and their facts become nodes, edges and counted gaps.
+"""From a corpus to the graph: files, manifests and a history become nodes, edges and counted gaps.
 
-Modules are directories with source; externals are declared dependencies; data nodes are tables of migrations.
-Imports resolve by ranked candidates: a directory or file of the corpus first, then a declared dependency under the
-spellings it is imported by; what neither explains is a gap, never a guess. Everything is a join on equal keys.
+Everything is a join on equal keys or an aggregation; what neither a file nor a manifest explains is a gap, never a guess.
 """
 
 from __future__ import annotations
@@ -10,97 +8,324 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartograph.functions import lineage
-from cartograph.operators import graph, resolve
-from cartograph.operators.history import directory
+from cartograph.functions import classify
+from cartograph.functions.text import capitalised, counted
+from cartograph.operators import graph, history, resolve
+from cartograph.plans import imports as I
+from cartograph.plans.imports import ancestors, folder_of, join_path, normal_path
+from cartograph.session import cut
 from cartograph.sources import extract, manifests
 
-MODULE, EXTERNAL, DATA = "/modules/", "/external/", "/data/"
-ECOSYSTEM = {"python": "pypi", "typescript": "npm", "javascript": "npm", "vue": "npm", "svelte": "npm", "astro": "npm", "go": "go", "rust": "crates.io", "csharp": "nuget", "php": "composer", "ruby": "rubygems"}
+# Prefixes of ids by kind.
+MODULE, SERVICE, INTERFACE, DATA, REFERENCE, PIPELINE = "/modules/", "/services/", "/interfaces/", "/data/", "/references/", "/pipelines/"
+#: Steps named in a pipeline's summary.
+STEPS = 8
 
+_NONE = "array<string>"
 
-def normal_path(path: Column) -> Column:
-    """A slash path without . and .. segments."""
-    steps = F.split(path, "/")
-    empty = F.array().cast("array<string>")
-    walked = F.aggregate(
-        steps, empty,
-        lambda acc, s: F.when(s.isin("", "."), acc).when((s == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
+
+def _empty() -> Column:
+    return F.array().cast(_NONE)
+
+
+def joined(values: Column, sep: str = ", ") -> Column:
+    """Distinct sorted values as text, '' for none."""
+    return F.array_join(graph.set_normalise(values), sep)
+
+
+def attributes(**values: Column) -> Column:
+    """A map of the values that aren't empty."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(v.cast("string"), F.lit("")).alias("v")) for k, v in values.items()])
+    return F.map_from_entries(F.filter(pairs, lambda x: x["v"] != ""))
+
+
+def tags(*values: Column | str) -> Column:
+    cols = [F.lit(v) if isinstance(v, str) else v for v in values]
+    return F.array_compact(F.array(*cols))
+
+
+def wanted(df: DataFrame, kind: str, prefix: str, key: Column, name: Column, **more: Column) -> DataFrame:
+    """Rows for ``assign_ids`` with a node's other columns."""
+    text = {c: more.get(c, F.lit("")).alias(c) for c in ("title", "description", "path", "lang")}
+    lists = {c: more.get(c, _empty()).alias(c) for c in ("tags", "files", "exports")}
+    attrs = more.get("attrs", F.create_map().cast("map<string,string>")).alias("attrs")
+    return df.select(F.lit(kind).alias("kind"), F.lit(prefix).alias("prefix"), key.alias("key"), name.alias("name"), *text.values(), *lists.values(), attrs)
+
+
+def module_nodes(source: DataFrame, facts: DataFrame) -> DataFrame:
+    """Directories with source. source(path, lang, folder, is_test), facts of extraction."""
+    f = source.join(facts.select("path", "package", "symbols", "entrypoints", "incomplete"), "path", "left")
+    shown = F.transform(F.filter(F.coalesce("symbols", F.array().cast(facts.schema["symbols"].dataType)), lambda s: s["exported"]), lambda s: F.when(s["recv"] != "", F.concat(s["recv"], F.lit("."), s["name"])).otherwise(s["name"]))
+    f = f.withColumn("shown", F.when(~F.col("is_test"), shown).otherwise(_empty()))
+    votes = f.withColumn("_header", (F.col("lang") == "c") & F.endswith("path", F.lit(".h")))
+    # The language of most files; headers count only where there is nothing else.
+    lang = votes.groupBy("folder", "lang").agg(F.count_if(~F.col("_header")).alias("n"), F.count(F.lit(1)).alias("k")).groupBy("folder").agg(F.min_by("lang", F.struct(-F.col("n"), F.when(F.col("n") == 0, F.lit(1)).otherwise(F.lit(0)), F.col("lang"))).alias("lang"))
+    g = f.groupBy("folder").agg(
+        graph.set_normalise(F.collect_list("path")).alias("files"), graph.set_normalise(F.flatten(F.collect_list("shown"))).alias("exports"),
+        joined(F.flatten(F.collect_list(F.coalesce("entrypoints", _empty())))).alias("eps"), F.coalesce(F.min_by(F.when(F.col("package") != "", F.col("package")), F.when(F.col("package") != "", F.col("path"))), F.lit("")).alias("package"), F.count_if("incomplete").alias("partial"),
+    ).join(lang, "folder")
+    base = F.regexp_extract("folder", "([^/]*)$", 1)
+    n, x = F.size("files"), F.size("exports")
+    what = F.concat_ws(
+        "; ", counted(n, F.concat("lang", F.lit(" file"))), F.when(x > 0, counted(x, F.lit("exported symbol"))), F.when(F.col("eps") != "", F.concat(F.lit("entrypoint "), "eps")), F.when((F.col("package") != "") & (F.col("package") != base), F.concat(F.lit("package "), "package"))
+    )
+    return wanted(
+        g, "Module", MODULE, F.col("folder"), F.when(F.col("folder") == "", "root").otherwise(base), title=F.when(F.col("folder") == "", "(repository root)").otherwise(F.col("folder")), path=F.col("folder"), lang=F.col("lang"), files=F.col("files"), exports=F.col("exports"),
+        description=F.concat(capitalised(what), F.lit(".")), tags=tags(F.when(F.col("eps") != "", F.lit("entrypoint")), F.when(F.col("partial") > 0, F.lit("partial-extraction"))),
+        attrs=attributes(package=F.col("package"), entrypoints=F.col("eps"), files=n, exported=x, incomplete_files=F.when(F.col("partial") > 0, F.col("partial"))),
     )
-    return F.array_join(walked, "/")
-
-
-def local_candidates(lang: Column, folder: Column, raw: Column) -> Column:
-    """Directories that an import may name, best first."""
-    dots = F.length(F.regexp_extract(raw, r"^(\.*)", 1))
-    dotted = F.translate(F.regexp_replace(raw, r"^\.+", ""), ".", "/")
-    up = F.concat_ws("/", folder, F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))))
-    beside = normal_path(F.concat_ws("/", folder, raw))
-    # An index or a module file stands for its directory; one step up is the file's own directory.
-    parent = F.regexp_extract(beside, "^(.*)/[^/]*$", 1)
-    python = F.when(dots > 0, F.array(normal_path(F.concat_ws("/", up, dotted)), normal_path(up))).otherwise(
-        F.flatten(F.transform(F.array(F.lit(""), F.lit("src/"), F.lit("lib/")), lambda r: F.array(F.concat(r, dotted), F.concat(r, F.regexp_extract(dotted, "^(.*)/[^/]*$", 1)))))
+
+
+def external_nodes(facts: DataFrame) -> DataFrame:
+    """Declared dependencies but for the corpus's own packages and targets."""
+    d = facts.where("fact = 'dep'")
+    siblings = facts.where("fact = 'module' AND ecosystem = 'npm'").select(F.lit("npm").alias("ecosystem"), "name").union(facts.where("kind = 'cmake' AND fact = 'target'").select(F.lit("cmake"), "name")).distinct()
+    local = d.where(F.try_element_at("attrs", F.lit("local")) == "true").select("ecosystem", "name").distinct()
+    source = F.coalesce(F.try_element_at("attrs", F.lit("source")), F.lit(""))
+    g = d.join(siblings.union(local), ["ecosystem", "name"], "left_anti").groupBy("ecosystem", "name").agg(
+        joined(F.collect_list("value")).alias("version"), graph.set_normalise(F.collect_list("scope")).alias("scopes"), joined(F.collect_list(source)).alias("source"), graph.set_normalise(F.collect_list("path")).alias("files")
     )
-    quoted = F.regexp_replace(raw, '[<>"]', "")
-    c = F.transform(F.array(F.concat_ws("/", folder, quoted), quoted, F.concat(F.lit("include/"), quoted), F.concat(F.lit("src/"), quoted)), lambda p: F.regexp_extract(normal_path(p), "^(.*)/[^/]*$", 1))
-    go = F.transform(resolve.prefixes(raw), lambda p: F.substr(raw, F.length(p) + 2))
-    none = F.array().cast("array<string>")
-    return (
-        F.when(lang == "python", python)
-        .when(lang.isin("typescript", "javascript", "vue", "svelte", "astro", "ruby", "shell"), F.when(raw.startswith("."), F.array(beside, parent)).otherwise(none))
-        .when(lang.isin("c", "cpp", "objc"), F.when(raw.startswith('"'), c).otherwise(none))
-        .when(lang == "go", go)
-        .otherwise(none)
+    direct = (F.size("scopes") > 1) | ~F.array_contains("scopes", "indirect")
+    return wanted(
+        g, "External", REFERENCE, F.concat_ws("/", "ecosystem", "name"), F.concat("ecosystem", F.lit("-"), "name"), title=F.col("name"), files=F.col("files"),
+        description=F.concat("ecosystem", F.lit(" dependency "), "name", F.when(F.col("version") != "", F.concat(F.lit(" ("), "version", F.lit(")"))).otherwise("")),
+        tags=tags("external", F.col("ecosystem"), F.when(direct, F.lit("direct")), F.when(F.col("source") != "", F.lit("unregistered-source"))), attrs=attributes(ecosystem=F.col("ecosystem"), name=F.col("name"), version=F.col("version"), scope=F.array_join("scopes", ", "), source=F.col("source")),
+    )
+
+
+def _attr(name: str) -> Column:
+    return F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
+
+
+def services(facts: DataFrame) -> DataFrame:
+    """Service facts that become nodes: values of a chart alone are none."""
+    return facts.where((F.col("fact") == "service") & (F.col("name") != "") & (_attr("kind") != "helm-values"))
+
+
+def service_nodes(facts: DataFrame) -> DataFrame:
+    """Services by name over all manifests, with the names of secrets that the same files give them."""
+    s = services(facts)
+    secrets = facts.where("fact = 'secret'").select("path", F.col("scope").alias("service"), F.col("name").alias("secret"))
+    per = s.select("path", F.col("name").alias("service")).distinct().join(secrets, ["path", "service"]).groupBy(F.col("service").alias("name")).agg(joined(F.collect_list("secret")).alias("secrets"))
+
+    def many(name: str) -> Column:
+        return joined(F.flatten(F.collect_list(F.split(_attr(name), ", ")))).alias(name)
+
+    g = s.groupBy("name").agg(
+        joined(F.flatten(F.collect_list(F.split("value", ", ")))).alias("image"), joined(F.flatten(F.collect_list("items"))).alias("ports"), many("env"), many("volumes"), many("kind"), many("namespace"), F.max(_attr("build")).alias("build"), F.max(_attr("replicas")).alias("replicas"), graph.set_normalise(F.collect_list("path")).alias("files")
     )
+    g = g.join(per, "name", "left").withColumn("secrets", F.coalesce("secrets", F.lit("")))
+    text = F.concat_ws(
+        "; ", F.concat(F.when(F.col("kind") == "", "Service").otherwise(F.replace("kind", F.lit(", "), F.lit("/"))), F.lit(" "), "name"), F.when(F.col("image") != "", F.concat(F.lit("image "), "image")).when(F.col("build") != "", F.concat(F.lit("built from "), "build")),
+        F.when(F.col("ports") != "", F.concat(F.lit("ports "), "ports")), F.when(F.col("secrets") != "", F.concat(F.lit("reads secrets "), "secrets")),
+    )
+    return wanted(
+        g, "Service", SERVICE, F.col("name"), F.col("name"), title=F.col("name"), files=F.col("files"), description=F.concat(text, F.lit(".")),
+        tags=tags(F.when(F.col("secrets") != "", F.lit("reads-secrets")), F.when(F.array_contains(F.split("kind", ", "), "Secret"), F.lit("secret"))),
+        attrs=attributes(image=F.col("image"), ports=F.col("ports"), env=F.col("env"), volumes=F.col("volumes"), workload=F.col("kind"), namespace=F.col("namespace"), build=F.col("build"), replicas=F.col("replicas"), secret_refs=F.col("secrets")),
+    )
+
+
+def interface_nodes(facts: DataFrame) -> DataFrame:
+    """One node per contract file, the names by kind as attributes."""
+    c = facts.where("kind IN ('proto', 'openapi', 'graphql')")
+    by_kind = c.where("fact = 'contract'").groupBy("path", "kind", "scope").agg(joined(F.collect_list("name")).alias("names"), F.count_distinct("name").alias("k"))
+    g = by_kind.groupBy("path", "kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("scope", "names")))).alias("by"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scope", "k"))), lambda x: counted(x["k"], x["scope"])), ", ").alias("said"))
+    g = g.join(c.where("fact = 'module'").groupBy("path").agg(F.first("name").alias("package")), "path", "left").join(c.groupBy("path").agg(F.every("complete").alias("whole")), "path")
+    base = F.regexp_extract("path", "([^/]*)$", 1)
+    name = F.when(F.coalesce("package", F.lit("")) != "", F.concat("package", F.lit(" ("), base, F.lit(")"))).otherwise(base)
+    return wanted(
+        g, "Interface", INTERFACE, F.col("path"), name, title=name, path=F.col("path"), files=F.array("path"), tags=tags(F.col("kind"), F.when(~F.col("whole"), F.lit("partial-extraction"))), attrs=F.map_concat(attributes(format=F.col("kind"), package=F.col("package")), "by"),
+        description=F.concat(capitalised(F.col("kind")), F.lit(" definition: "), "said", F.lit(".")),
+    )
+
+
+def data_nodes(facts: DataFrame) -> DataFrame:
+    """Tables that migrations name, with how many migrations and whether one of them takes away."""
+    m = facts.where("fact = 'migration'").select("path", F.trim(F.concat_ws(" ", "value", "name")).alias("label"), (_attr("destructive") == "true").alias("drops"), F.explode("items").alias("table"))
+    g = m.groupBy("table").agg(F.count(F.lit(1)).alias("n"), F.some("drops").alias("drops"), graph.set_normalise(F.collect_list("path")).alias("files"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "label"))), lambda x: x["label"]), "; ").alias("past"))
+    return wanted(
+        g, "Data", DATA, F.col("table"), F.col("table"), title=F.col("table"), files=F.col("files"), tags=tags("table", F.when(F.col("drops"), F.lit("destructive-history"))), attrs=attributes(table=F.col("table"), migrations=F.col("n"), history=F.col("past")),
+        description=F.concat(F.lit("Table "), "table", F.lit(", changed by "), counted(F.col("n"), F.lit("migration")), F.when(F.col("drops"), "; at least one of them takes away").otherwise("")),
+    )
 
 
-def package_names(lang: Column, raw: Column) -> Column:
-    """Spellings under which a dependency may declare what an import names, longest first."""
-    sep = F.when(lang.isin("python", "java", "kotlin", "csharp"), F.translate(raw, ".", "/")).when(lang == "rust", F.replace(raw, F.lit("::"), F.lit("/"))).otherwise(raw)
-    return F.flatten(F.transform(F.reverse(resolve.prefixes(sep)), lambda p: resolve.dependency_keys(p)))
-
-
-def build(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, gaps) of files (path, class, lang, content, is_test, vendored, fixture).
-
-    nodes: id, kind, title; edges: src, dst, kind, confidence, weight, source; gaps: what, name, n."""
-    own = files.where("NOT vendored AND NOT fixture")
-    source = own.where("class = 'source'")
-    facts = extract.extract(source.select("path", "lang", "content")).withColumn("folder", directory(F.col("path")))
-    modules = source.select(directory(F.col("path")).alias("folder")).distinct()
-    deps = manifests.read_dependencies(own.select("path", "content")).where("name IS NOT NULL")
-    externals = deps.select("ecosystem", "name").distinct()
-    moved = own.where("class = 'migration'").select("path", "content")
-    tables = lineage.sql_lineage(moved, "path", "content").where("object <> '' AND verb IN ('CREATE', 'ALTER', 'DROP', 'TRUNCATE', 'INSERT', 'DELETE', 'UPDATE')").select(F.col("object").alias("name")).distinct()
-
-    wanted = modules.select(F.col("folder").alias("key"), F.lit("Module").alias("kind"), F.lit(MODULE).alias("prefix"), F.col("folder").alias("name"))
-    wanted = wanted.union(externals.select(F.concat_ws("/", "ecosystem", "name"), F.lit("External"), F.lit(EXTERNAL), "name")).union(tables.select("name", F.lit("Data"), F.lit(DATA), "name"))
-    nodes = resolve.assign_ids(wanted)
-    module = nodes.where("kind = 'Module'").select(F.col("key").alias("folder"), "id")
-
-    imports = facts.select("path", "folder", "lang", F.posexplode("imports").alias("n", "i")).select("path", "folder", "lang", "n", F.col("i.raw").alias("raw"))
-    keyed = imports.withColumn("e", F.lit(None).cast("string"))
-    for lang, eco in ECOSYSTEM.items():
-        keyed = keyed.withColumn("e", F.when(F.col("lang") == lang, eco).otherwise(F.col("e")))
-    here = keyed.select("path", "n", F.posexplode(local_candidates(F.col("lang"), F.col("folder"), F.col("raw"))).alias("rank", "candidate")).withColumn("candidate", F.concat(F.lit("m:"), F.when(F.col("candidate") == "", ".").otherwise(F.col("candidate"))))
-    there = keyed.where("e IS NOT NULL").select("path", "n", "e", F.posexplode(package_names(F.col("lang"), F.col("raw"))).alias("rank", "k")).select("path", "n", (F.col("rank") + 1000).alias("rank"), F.concat("e", F.lit(":"), "k").alias("candidate"))
-    ext = nodes.where("kind = 'External'").select(F.col("id").alias("target"), F.split("key", "/", 2).alias("k"))
-    spelled = ext.select("target", F.col("k")[0].alias("e"), F.explode(resolve.dependency_keys(F.col("k")[1])).alias("s")).select(F.concat("e", F.lit(":"), "s").alias("candidate"), "target")
-    targets = module.select(F.concat(F.lit("m:"), "folder").alias("candidate"), F.col("id").alias("target")).union(spelled).groupBy("candidate").agg(F.min("target").alias("target"))
-    found = resolve.ranked(here.unionByName(there), ["path", "n"], targets)
-    linked = imports.join(found, ["path", "n"], "left").join(module.withColumnRenamed("id", "src"), "folder")
-
-    def edge(src, dst, kind, weight, path) -> list[Column]:
-        return [src.alias("src"), dst.alias("dst"), kind.alias("kind"), F.lit("extracted").alias("confidence"), weight.cast("long").alias("weight"), path.alias("source"), F.xxhash64(path).alias("ord")]
-
-    raw = linked.where("target IS NOT NULL").select(*edge(F.col("src"), F.col("target"), F.lit("imports"), F.lit(1), F.col("path")))
-    access = facts.select("path", "folder", F.explode("queries").alias("q")).select("path", "folder", F.col("q.table").alias("key"), "q.access").join(module.withColumnRenamed("id", "src"), "folder")
+def jobs(facts: DataFrame) -> DataFrame:
+    """Jobs with their node key and name: qualified by the workflow, or by its path where that has no plain name."""
+    name = F.when(F.contains("name", F.lit("${{")), F.col("value")).otherwise(F.col("name"))
+    flow = F.when((_attr("workflow") == "") | F.contains(_attr("workflow"), F.lit("${{")), F.col("path")).otherwise(_attr("workflow"))
+    j = facts.where("fact = 'job'").withColumn("title", F.concat(flow, F.lit(" "), name))
+    return j.withColumn("key", F.concat("path", F.lit("#"), "value"))
+
+
+def pipeline_nodes(facts: DataFrame) -> DataFrame:
+    """One node per job, its first steps' names in order."""
+    label = F.when(F.col("name") == _attr("uses"), F.regexp_replace("name", "@[^@]*$", "")).otherwise(F.col("name"))
+    steps = facts.where("fact = 'step' AND name <> ''").groupBy("path", F.col("scope").alias("value")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", label.alias("name")))), lambda x: x["name"]).alias("names"))
+    j = jobs(facts).join(steps, ["path", "value"], "left").withColumn("names", F.coalesce("names", _empty()))
+    more = F.size("names") - STEPS
+    runs = F.concat(F.array_join(F.slice("names", 1, STEPS), " → "), F.when(more > 0, F.concat(F.lit(" → +"), more.cast("string"), F.lit(" more"))).otherwise(""))
+    n = F.coalesce(_attr("steps").try_cast("int"), F.lit(0))
+    said = F.concat(
+        F.lit("CI job "), "name", F.when(_attr("workflow") != "", F.concat(F.lit(" in the "), _attr("workflow"), F.lit(" workflow"))).otherwise(""), F.when(_attr("uses") != "", F.concat(F.lit(", calling "), _attr("uses"))).when(n > 0, F.concat(F.lit(", "), counted(n, F.lit("step")))).otherwise(""),
+        F.when(_attr("gate") == "true", "; guards what is merged").otherwise(""),
+    )
+    return wanted(
+        j, "Pipeline", PIPELINE, F.col("key"), F.col("title"), title=F.col("title"), path=F.col("path"), files=F.array("path"), description=said, tags=tags(F.when(_attr("gate") == "true", F.lit("gate"))),
+        attrs=attributes(workflow=_attr("workflow"), job=F.col("name"), steps=n, runner=_attr("runner"), uses=_attr("uses"), permissions=_attr("permissions"), needs=F.array_join("items", ", "), runs=runs),
+    )
+
+
+def document_nodes(facts: DataFrame) -> DataFrame:
+    """Decision records and rules for agents that state a rule."""
+    d = facts.where("kind IN ('adr', 'agent-rules')")
+    g = d.where("fact = 'rule'").groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), joined(F.collect_list("name")).alias("sections"))
+    g = g.join(d.where("fact = 'module'").groupBy("path").agg(F.first("name").alias("named"), F.first("value").alias("number"), F.first(_attr("status")).alias("status")), "path", "left")
+    base = F.regexp_extract("path", "([^/]*)$", 1)
+    name = F.when((F.col("kind") == "adr") & (F.col("named") != ""), F.concat(F.lit("ADR"), F.when(F.col("number") != "", F.concat(F.lit(" "), "number")).otherwise(""), F.lit(": "), "named")).otherwise(base)
+    state = F.when(F.col("kind") == "adr", F.col("status"))
+    return wanted(
+        g, "Document", REFERENCE, F.col("path"), name, title=name, path=F.col("path"), files=F.array("path"), tags=tags(F.col("kind"), "constraint", F.lower(F.when(state != "", state))), attrs=attributes(rules=F.col("n"), status=state, number=F.when(F.col("kind") == "adr", F.col("number")), sections=F.col("sections")),
+        description=F.concat(F.when(F.col("kind") == "adr", F.concat(F.lit("Decision"), F.when(state != "", F.concat(F.lit(" ("), state, F.lit(")"))).otherwise(""))).otherwise("Constraints"), F.lit(", "), counted(F.col("n"), F.lit("rule")), F.lit(" in "), base, F.lit(".")),
+    )
+
+
+def edge(src: Column | str, dst: Column | str, kind: Column, path: Column, weight: int = 0) -> list[Column]:
+    src, dst = (F.col(c) if isinstance(c, str) else c for c in (src, dst))
+    return [src.alias("src"), dst.alias("dst"), kind.alias("kind"), F.lit("extracted").alias("confidence"), F.lit(weight).cast("long").alias("weight"), path.alias("source"), F.xxhash64(path).alias("ord")]
+
+
+def nearest(rows: DataFrame, folder: Column, modules: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the module of the nearest directory at or above ``folder`` (null where none)."""
+    dirs = rows.select(folder.alias("_at")).distinct()
+    hit = dirs.select("_at", F.posexplode(ancestors(F.col("_at"))).alias("_k", "folder")).join(modules, "folder").groupBy("_at").agg(F.min_by("id", "_k").alias(name))
+    return rows.withColumn("_at", folder).join(hit, "_at", "left").drop("_at")
+
+
+def dependency_edges(facts: DataFrame, externals: DataFrame, modules: DataFrame) -> DataFrame:
+    """From the module nearest to a manifest to each dependency: an external, else a package or target of the corpus, else the local directory."""
+    d = nearest(facts.where("fact = 'dep'"), folder_of(F.col("path")), modules, "src").where("src IS NOT NULL")
+    d = d.join(externals.select("ecosystem", "name", F.col("id").alias("ext")), ["ecosystem", "name"], "left")
+    own = facts.where("fact = 'module' AND ecosystem = 'npm'").select(F.lit("npm").alias("ecosystem"), "name", folder_of(F.col("path")).alias("home"))
+    own = own.union(facts.where("kind = 'cmake' AND fact = 'target'").select(F.lit("cmake"), "name", folder_of(F.col("path")))).groupBy("ecosystem", "name").agg(F.min("home").alias("home"))
+    d = d.join(own, ["ecosystem", "name"], "left")
+    at = F.coalesce("home", F.when(_attr("local") == "true", normal_path(F.when(F.col("ecosystem").isin("crates.io", "rubygems", "helm"), join_path(folder_of(F.col("path")), _attr("at"))).otherwise(_attr("at")))))
+    d = nearest(d.withColumn("_to", at), F.coalesce("_to", F.lit("\u0000")), modules, "_near")
+    dst = F.coalesce("ext", F.when(F.col("_to").isNotNull(), F.col("_near")))
+    return d.withColumn("_dst", dst).where("_dst IS NOT NULL").select(*edge("src", "_dst", F.lit("configures"), F.col("path")))
+
+
+def service_edges(facts: DataFrame, nodes: DataFrame, modules: DataFrame) -> DataFrame:
+    """What a service depends on, the module it is built from, and the one service's interfaces."""
+    s = nodes.where("kind = 'Service'").select(F.col("key").alias("name"), "id")
+    deps = facts.where("fact = 'service_dep'").join(s, "name").join(s.select(F.col("name").alias("value"), F.col("id").alias("to")), "value")
+    out = deps.select(*edge("id", "to", F.lit("deploys"), F.col("path")))
+    built = services(facts).where(_attr("build") != "").join(s, "name").withColumn("folder", normal_path(join_path(folder_of(F.col("path")), _attr("build"))))
+    # A context may name its container file.
+    spelled = built.select("path", F.col("id").alias("from"), F.explode(F.array_distinct(F.array("folder", folder_of(F.col("folder"))))).alias("folder"), F.col("folder").alias("given"))
+    met = spelled.join(modules, "folder").groupBy("path", "from", "given").agg(F.max_by("id", F.length("folder")).alias("id"))
+    out = out.unionByName(met.select(*edge("from", "id", F.lit("deploys"), F.col("path"))))
+    one = s.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("svc")).where("n = 1")
+    faces = nodes.where("kind = 'Interface'").select("id", "path").join(F.broadcast(one), F.lit(True))
+    return out.unionByName(faces.select(*edge("svc", "id", F.lit("implements"), F.col("path"))))
+
+
+def pipeline_edges(facts: DataFrame, nodes: DataFrame, externals: DataFrame) -> DataFrame:
+    """A needed job precedes; a job uses the actions of its steps."""
+    p = nodes.where("kind = 'Pipeline'").select("key", "id")
+    j = jobs(facts).join(p, "key")
+    need = j.select("path", F.col("id").alias("to"), F.explode("items").alias("need")).withColumn("key", F.concat("path", F.lit("#"), "need")).join(p, "key")
+    out = need.select(*edge("id", "to", F.lit("precedes"), F.col("path")))
+    uses = facts.where("fact = 'step'").select("path", F.col("scope").alias("value"), _attr("uses").alias("uses")).union(facts.where("fact = 'job'").select("path", "value", _attr("uses").alias("uses")))
+    uses = uses.where("uses <> '' AND NOT startswith(uses, './')").withColumn("name", F.regexp_replace("uses", "@[^@]*$", "")).withColumn("key", F.concat("path", F.lit("#"), "value"))
+    act = externals.where("ecosystem = 'github-actions'").select("name", F.col("id").alias("ext"))
+    return out.unionByName(uses.join(p, "key").join(act, "name").select(*edge("id", "ext", F.lit("configures"), F.col("path"))))
+
+
+def document_edges(nodes: DataFrame, modules: DataFrame) -> DataFrame:
+    """Rules for agents document the modules at and below their directory."""
+    d = nodes.where(F.array_contains("tags", "agent-rules")).select(F.col("id").alias("doc"), "path", folder_of(F.col("path")).alias("scope"))
+    below = modules.select("id", F.explode(ancestors(F.col("folder"))).alias("scope"))
+    return d.join(below, "scope").select(*edge("doc", "id", F.lit("documents"), F.col("path")))
+
+
+def owners(facts: DataFrame, modules: DataFrame) -> DataFrame:
+    """id, owners of modules at and below the literal directories of ownership rules; patterns are not approximated."""
+    p = F.trim("name")
+    o = facts.where("fact = 'owner'").where(~p.rlike(r"[*?\[\]!]")).select(F.regexp_replace(p, "^/|/$", "").alias("scope"), "items").where("scope <> ''")
+    below = modules.select("id", F.explode(ancestors(F.col("folder"))).alias("scope"))
+    return below.join(o, "scope").groupBy("id").agg(joined(F.flatten(F.collect_list("items"))).alias("owners"))
+
+
+def test_edges(source: DataFrame, facts: DataFrame, linked: DataFrame, modules: DataFrame) -> DataFrame:
+    """Modules that a directory of tests only imports (JVM tests: the module of their package) are tested by it."""
+    prod = source.where("NOT is_test").select("folder").distinct()
+    tests = source.where("is_test").join(prod, "folder", "left_anti").join(modules.withColumnRenamed("id", "test"), "folder")
+    named = facts.where("package <> ''").select("path", "package").join(tests.where(F.col("lang").isin(*I.JVM)), "path")
+    home = facts.where("package <> ''").select("path", "package").join(source.where(F.col("lang").isin(*I.JVM) & ~F.col("is_test")), "path").join(modules, "folder").groupBy("package").agg(F.min("id").alias("id"))
+    by_package = named.join(home, "package").where("id <> test").select("path", "test", "id")
+    rest = tests.select("path", "test").join(by_package.select("path"), "path", "left_anti")
+    by_import = linked.where("internal AND target IS NOT NULL").select("path", F.col("target").alias("id")).join(rest, "path").select("path", "test", "id")
+    return by_package.unionByName(by_import).select(*edge("id", "test", F.lit("tested_by"), F.col("path"), 1))
+
+
+def gap(df: DataFrame, what: str, name: Column) -> DataFrame:
+    return df.groupBy(F.lit(what).alias("what"), name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def build(files: DataFrame, changes: DataFrame | None = None, include_vendored: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, gaps) of files (path, class, lang, content, is_test) and, if given, of a history (``history`` changes).
+
+    nodes: id, kind, title, description, path, lang, tags, attrs, files, exports; edges: src, dst, kind, confidence, weight, source;
+    gaps: what, name, n."""
+    own = files.where(classify.analysed(F.col("path"), include_vendored))
+    source = own.where("class = 'source' AND content <> ''").select("path", "lang", folder_of(F.col("path")).alias("folder"), "is_test")
+    code = cut(extract.extract(own.where("class = 'source' AND content <> ''").select("path", "lang", "content")))
+    facts = cut(manifests.read_manifests(own.where("content IS NOT NULL").select("path", "content")).where("fact IS NOT NULL"))
+    parts = [module_nodes(source, code), external_nodes(facts), service_nodes(facts), interface_nodes(facts), data_nodes(facts), pipeline_nodes(facts), document_nodes(facts)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    nodes = cut(resolve.assign_ids(every))
+    modules = nodes.where("kind = 'Module'").select(F.col("path").alias("folder"), "id")
+    externals = nodes.where("kind = 'External'").select(F.col("attrs")["ecosystem"].alias("ecosystem"), F.col("attrs")["name"].alias("name"), "id")
+
+    imports = code.select("path", "lang", folder_of(F.col("path")).alias("folder"), F.posexplode("imports").alias("n", "i")).select("path", "lang", "folder", "n", F.col("i.raw").alias("raw"))
+    linked = cut(I.resolve_imports(imports, source, modules, externals, code.select("path", "package"), facts))
+    linked = linked.join(modules.withColumnRenamed("id", "src"), "folder")
+    edges = linked.where("target IS NOT NULL").select(*edge("src", "target", F.lit("imports"), F.col("path"), 1))
+    access = code.select("path", folder_of(F.col("path")).alias("folder"), F.explode("queries").alias("q")).select("path", "folder", F.col("q.table").alias("key"), "q.access").join(modules.withColumnRenamed("id", "src"), "folder")
     known = access.join(nodes.where("kind = 'Data'").select("key", "id"), "key", "left")
-    raw = raw.unionByName(known.where("id IS NOT NULL").select(*edge(F.col("src"), F.col("id"), F.col("access"), F.lit(0), F.col("path"))))
+    edges = edges.unionByName(known.where("id IS NOT NULL").select(*edge("src", "id", F.col("access"), F.col("path"))))
+    for more in (dependency_edges(facts, externals, modules), service_edges(facts, nodes, modules), pipeline_edges(facts, nodes, externals), document_edges(nodes, modules), test_edges(source, code, linked, modules)):
+        edges = edges.unionByName(more)
+    merged = graph.merge_edges(edges)
+
+    gaps = gap(linked.where("target IS NULL AND internal"), "unlinked import", F.concat_ws(" ", "lang", "raw")).unionByName(gap(linked.where("target IS NULL AND NOT internal AND NOT shipped"), "unresolved import", F.concat_ws(" ", "lang", "raw")))
+    gaps = gaps.unionByName(gap(known.where("id IS NULL"), "unknown table", F.col("key"))).unionByName(code.where("unnamed_queries > 0").select(F.lit("interpolated table").alias("what"), F.col("path").alias("name"), F.col("unnamed_queries").cast("long").alias("n")))
+    gaps = gaps.unionByName(gap(facts.where("NOT complete").select("path").distinct(), "incomplete manifest", F.col("path"))).unionByName(gap(code.where("incomplete"), "incomplete source", F.col("path")))
+    gaps = gaps.unionByName(manifests.unread(own).select(F.lit("unread manifest").alias("what"), F.col("key").alias("name"), "n"))
+
+    extra = owners(facts, modules).select("id", attributes(owners=F.col("owners")).alias("more"))
+    if changes is not None:
+        h, pairs = history_attributes(changes, modules)
+        extra = extra.unionByName(h)
+        merged = merged.unionByName(pairs)
+    extra = extra.groupBy("id").agg(F.map_from_entries(F.array_sort(F.flatten(F.collect_list(F.map_entries("more"))))).alias("more"))
+    out = nodes.join(extra, "id", "left").withColumn("attrs", F.when(F.col("more").isNotNull(), F.map_concat("attrs", "more")).otherwise(F.col("attrs")))
+    return out.select("id", "kind", "title", "description", "path", "lang", "tags", "attrs", "files", "exports"), merged, gaps
 
-    def gap(df: DataFrame, what: str, name: Column) -> DataFrame:
-        return df.groupBy(F.lit(what).alias("what"), name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
-    gaps = gap(linked.where("target IS NULL"), "unresolved import", F.col("raw")).unionByName(gap(known.where("id IS NULL"), "unknown table", F.col("key")))
-    gaps = gaps.unionByName(facts.where("unnamed_queries > 0").select(F.lit("interpolated table").alias("what"), F.col("path").alias("name"), F.col("unnamed_queries").cast("long").alias("n")))
-    return nodes.select("id", "kind", F.col("name").alias("title")), graph.merge_edges(raw), gaps
+def history_attributes(changes: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, more: what the history says of each module; co-change edges between nearest modules)."""
+    folder = folder_of(F.col("path"))
+    dirs = history.dir_history(changes, folder)
+    top = history.top_author(changes.select("ord", folder.alias("dir"), "author").distinct(), "dir")
+    h = dirs.join(top.select("dir", "author", "share_percent"), "dir").join(modules.withColumnRenamed("folder", "dir"), "dir")
+    share = F.concat(F.col("share_percent").cast("string"), F.lit("%"))
+    attrs = h.select("id", attributes(commits=F.col("commits"), lines_added=F.col("insertions"), lines_removed=F.col("deletions"), first_commit=F.col("first"), last_commit=F.col("last"), top_author=F.col("author"), top_author_share=share).alias("more"))
+    pairs, _ = history.co_change(changes, folder)
+    touched = changes.select(folder.alias("dir")).distinct()
+    module_of = nearest(touched, F.col("dir"), modules, "module").where("module IS NOT NULL")
+    co = history.co_change_edges(pairs, module_of)
+    return attrs, co.select("src", "dst", "kind", F.lit("extracted").alias("confidence"), F.col("weight").cast("long").alias("weight"), F.lit("").alias("source"))
