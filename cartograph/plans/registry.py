@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.functions import classify, lineage, text
+from cartograph.functions import classify, text
 from cartograph.operators import checks, diff, graph, history, resolve
+from cartograph.plans import corpora
 from cartograph.plans import lenses as L
-from cartograph.sources import extract, gitlog, manifests
 from cartograph.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,17 +54,17 @@ def degrees(spark, d):
     return graph.degrees(L.supply_nodes(spark, d), merged(spark, d))
 
 
-@query(f"SELECT * FROM ({DEGREES}) WHERE total > 0 ORDER BY total DESC, id LIMIT 20")
+@query(f"SELECT * FROM ({DEGREES}) ORDER BY total DESC, id LIMIT 20")
 def hubs_top20(spark, d):
     return graph.hubs(L.supply_nodes(spark, d), merged(spark, d), 20)
 
 
-@query("SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0) UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 5 <> 0")
 def orphans(spark, d):
     nodes = L.table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id")).union(
         L.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
     )
-    edges = L.table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"))
+    edges = L.table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"))
     return graph.orphans(nodes, edges)
 
 
@@ -149,16 +149,6 @@ def shortest_path(spark, d):
     return graph.shortest_path(L.trade_edges(spark, d), "c1", "s1")
 
 
-@query()
-def clusters(spark, d):
-    return graph.clusters(L.place_nodes(spark, d), L.place_edges(spark, d))
-
-
-@query()
-def bridges(spark, d):
-    return graph.bridges(L.place_edges(spark, d), graph.clusters(L.place_nodes(spark, d), L.place_edges(spark, d)))
-
-
 CHANGES = """ch AS (SELECT -o_orderkey AS ord, CAST(o_custkey AS VARCHAR) AS author, strftime(o_orderdate, '%Y-%m-%d') AS date,
  replace(p_brand, '#', '/') AS dir, replace(p_brand, '#', '/') || '/' || l_partkey AS path, CAST(l_quantity AS BIGINT) AS ins, CAST(l_linenumber AS BIGINT) AS del, l_tax > 0.07 AS bin
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
@@ -208,14 +198,6 @@ def conventions(spark, d):
     return history.conventions(L.table(spark, d, "conversations").select(F.col("text").alias("subject")))
 
 
-@query()
-def rename_fold(spark, d):
-    """Each part's history under the name of its last rename: parts are renamed to their brand once."""
-    c = L.changes(spark, d)
-    r = c.groupBy(F.col("path").alias("old")).agg(F.min("ord").alias("ord")).select("ord", F.lit(0).alias("pos"), "old", F.concat(F.lit("moved/"), "old").alias("new"))
-    return history.path_history(history.fold_renames(c, r))
-
-
 @query("""SELECT p_partkey AS key, p_type AS path, max_by(t, length(t)) AS module FROM part LEFT JOIN
 (SELECT DISTINCT p_type AS t FROM part UNION SELECT DISTINCT split_part(p_type, ' ', 1) FROM part WHERE p_size < 25) m ON p_type = t OR starts_with(p_type, t || ' ') GROUP BY p_partkey, p_type""")
 def nearest_module(spark, d):
@@ -236,10 +218,10 @@ def resolve_ranked(spark, d):
     return resolve.ranked(a.union(b), ["k"], n)
 
 
-@query("""SELECT c_custkey AS key, '/m/' || regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-+$', '') AS id FROM customer""")
+@query("""SELECT c_custkey AS key, '/m/' || trim(regexp_replace('@' || lower(c_name) || '!', '[^a-z0-9]+', '-', 'g'), '-') AS id FROM customer""")
 def slug_ids(spark, d):
     c = L.table(spark, d, "customer")
-    w = c.select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.lit("/m/").alias("prefix"))
+    w = c.select(F.col("c_custkey").cast("string").alias("key"), F.concat(F.lit("@"), "c_name", F.lit("!")).alias("name"), F.lit("/m/").alias("prefix"))
     return resolve.assign_ids(w).select(F.col("key").cast("long").alias("key"), "id")
 
 
@@ -292,16 +274,6 @@ def elide(spark, d):
     return L.table(spark, d, "documents").select("doc_id", text.elide(F.col("text"), 6).alias("text"))
 
 
-@query()
-def first_sentence(spark, d):
-    return L.table(spark, d, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("sentence"))
-
-
-@query()
-def defang(spark, d):
-    return L.table(spark, d, "conversations").select("conv_id", "turn", text.defang(F.col("text")).alias("text"))
-
-
 SNAPS = """o AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, CASE WHEN l_returnflag = 'R' THEN 'co_changes' ELSE 'imports' END AS kind FROM lineitem WHERE l_shipdate < DATE '1996-01-01'),
 n AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, CASE WHEN l_returnflag = 'R' THEN 'co_changes' ELSE 'imports' END AS kind FROM lineitem WHERE l_shipdate >= DATE '1995-06-01')"""
 
@@ -353,14 +325,6 @@ def score_f1(spark, d):
     return s.select("tp", "fp", "fn", F.round(F.col("f1") * 1000000).cast("long").alias("f1_millionths"))
 
 
-@query("""SELECT 'nations' AS topic, true AS declared, count(*) || ' nations' AS text FROM nation UNION ALL SELECT 'overdrawn', count(*) FILTER (s_acctbal < -2000) > 0,
- CASE WHEN count(*) FILTER (s_acctbal < -2000) > 0 THEN 'some suppliers' ELSE 'no supplier is overdrawn so far' END FROM supplier""")
-def practice_findings(spark, d):
-    n = checks.finding(L.table(spark, d, "nation"), "nations", F.lit(True), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" nations")), "no nations")
-    s = checks.finding(L.table(spark, d, "supplier"), "overdrawn", F.col("s_acctbal") < -2000, F.max(F.lit("some suppliers")), "no supplier is overdrawn so far")
-    return n.unionByName(s)
-
-
 @query("""WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT p_brand, n, greatest((SELECT count(*) FROM c) - 10, 0) AS more FROM c ORDER BY n DESC, p_brand LIMIT 10""")
 def topk_more(spark, d):
     return checks.top_counts(L.table(spark, d, "part"), "p_brand", 10)
@@ -388,74 +352,6 @@ def cache_keys(spark, d):
     return L.table(spark, d, "conversations").select("conv_id", "turn", checks.cache_key([F.col("role"), F.col("text")]).alias("key"))
 
 
-STATEMENTS = (
-    "INSERT INTO orders (id) VALUES ($1)",
-    "SELECT o.id FROM orders o JOIN customers c ON c.id = o.customer_id",
-    "INSERT INTO archive SELECT * FROM orders WHERE created_at < now()",
-    "UPDATE counters SET n = (SELECT count(*) FROM orders)",
-    "SELECT 1 FROM public.orders",
-    "TRUNCATE TABLE sessions",
-    "SELECT 1",
-    "SELECT * FROM %s",
-    "DELETE FROM ",
-    "ALTER TABLE audit.things DROP COLUMN actor",
-)
-
-
-@query("""SELECT * FROM (VALUES (0, 'INSERT', 'orders', 'writes', false, false), (1, 'SELECT', 'orders', 'reads', false, false), (1, 'SELECT', 'customers', 'reads', false, false),
-(2, 'INSERT', 'archive', 'writes', false, false), (2, 'INSERT', 'orders', 'reads', false, false), (3, 'UPDATE', 'counters', 'writes', false, false), (3, 'UPDATE', 'orders', 'reads', false, false),
-(4, 'SELECT', 'public.orders', 'reads', false, false), (5, 'TRUNCATE', 'sessions', 'writes', true, false), (6, 'SELECT', NULL, NULL, false, false), (7, 'SELECT', NULL, NULL, false, true),
-(8, 'DELETE', NULL, NULL, true, true), (9, 'ALTER', 'audit.things', 'writes', true, false)) t(id, verb, "table", access, destructive, gap)""")
-def sql_lineage(spark, d):
-    rows = spark.createDataFrame(list(enumerate(STATEMENTS)), "id int, text string")
-    return lineage.sql_lineage(rows, "id", "text").select("id", "verb", "table", "access", "destructive", "gap")
-
-
-FILES = (
-    ("go.mod", None, "module x\n\nrequire (\n\tgithub.com/a/b v1.2.0\n\tgolang.org/x/c v0.3.0 // indirect\n)\n"),
-    ("package.json", None, '{"dependencies": {"react": "19.0.0"}, "devDependencies": {"vitest": "^2"}}'),
-    ("dev-requirements.txt", None, "pytest\n"),
-    ("requirements-dev.txt", None, "# tools\npytest>=8 ; python_version > '3'\nMy_Lib[extra]==1.0\n-r other.txt\n"),
-    ("Dockerfile", None, "FROM golang:1.23 AS build\nFROM build\nFROM scratch\n"),
-    ("a.py", "python", "import os\nfrom . import b\n\ndef run():\n    db('SELECT id FROM orders')\n\nclass _X:\n    def go(self): pass\n"),
-    ("m.go", "go", 'package main\n\nimport (\n\t"fmt"\n)\n\n// func Hidden() {}\nfunc (s *Svc) Run() {}\nfunc main() { fmt.Println("func No() {}") }\n'),
-    ("w.ts", "typescript", "import { a } from './a'\nexport class W {}\nconst q = `UPDATE t SET x = 1`\n"),
-)
-
-
-def _files(spark):
-    return spark.createDataFrame(list(FILES), "path string, lang string, content string")
-
-
-@query("""SELECT * FROM (VALUES ('go.mod', 'github.com/a/b', 'v1.2.0', 'runtime', 'go'), ('go.mod', 'golang.org/x/c', 'v0.3.0', 'indirect', 'go'), ('package.json', 'react', '19.0.0', 'runtime', 'npm'),
-('package.json', 'vitest', '^2', 'dev', 'npm'), ('requirements-dev.txt', 'my-lib', '==1.0', 'dev', 'pypi'), ('requirements-dev.txt', 'pytest', '>=8', 'dev', 'pypi'),
-('Dockerfile', 'golang', '1.23', 'runtime', 'image'), ('Dockerfile', 'scratch', '', 'runtime', 'image')) t(path, name, version, scope, ecosystem)""")
-def manifest_dependencies(spark, d):
-    return manifests.read_dependencies(_files(spark)).select("path", "name", "version", "scope", "ecosystem")
-
-
-@query("""SELECT * FROM (VALUES ('a.py', 'run', 'func', '', true), ('a.py', '_X', 'type', '', false), ('a.py', 'go', 'method', '_X', false), ('m.go', 'Run', 'method', 'Svc', true), ('m.go', 'main', 'func', '', false),
-('w.ts', 'W', 'type', '', true), ('w.ts', 'q', 'const', '', false)) t(path, name, kind, recv, exported)""")
-def source_symbols(spark, d):
-    return extract.extract(_files(spark)).select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.recv", "s.exported")
-
-
-@query("SELECT * FROM (VALUES ('a.py', 'import', 'os', ''), ('a.py', 'import', '.', ''), ('m.go', 'import', 'fmt', ''), ('w.ts', 'import', './a', ''), ('a.py', 'table', 'orders', 'reads'), ('w.ts', 'table', 't', 'writes')) t(path, what, name, access)")
-def source_references(spark, d):
-    f = extract.extract(_files(spark))
-    i = f.select("path", F.lit("import").alias("what"), F.explode("imports.raw").alias("name"), F.lit("").alias("access"))
-    return i.union(f.select("path", F.lit("table"), F.explode("queries").alias("q")).select("path", "table", "q.table", "q.access"))
-
-
-LOG = "h1\x1f2026-01-02\x1fAnn\x1ffix: a\x1f\n3\t1\ta/x.go\0-\t-\tb.png\0h0\x1f2026-01-01\x1fBob\x1fmv\x1f\n1\t0\t\0old.go\0new.go\0"
-
-
-@query("""SELECT * FROM (VALUES (0, 'h1', 'Ann', '2026-01-02', 'a/x.go', NULL, 3, 1, false), (0, 'h1', 'Ann', '2026-01-02', 'b.png', NULL, 0, 0, true), (1, 'h0', 'Bob', '2026-01-01', 'new.go', 'old.go', 1, 0, false))
-t(ord, hash, author, date, path, old_path, ins, del, "binary")""")
-def git_log(spark, d):
-    return gitlog.read_log(spark, LOG).select("ord", "hash", "author", "date", "path", "old_path", "ins", "del", "binary")
-
-
 @query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents FROM events GROUP BY ALL""")
 def event_windows(spark, d):
     w = events.windowed_counts(L.table(spark, d, "events"))
@@ -463,8 +359,8 @@ def event_windows(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | corpora.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | corpora.ORACLE

@@ -28,12 +28,14 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one is set only where none is."""
+    """The cluster's shared checkpoint folder; a local one is set only in a local session that has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(tempfile.gettempdir(), f"cartograph-ckpt-{os.getpid()}")
         sc.setCheckpointDir(path)
         atexit.register(shutil.rmtree, path, True)
