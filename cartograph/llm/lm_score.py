@@ -9,8 +9,8 @@ counts, so that a text's score is a full log10 probability over words.
 
 Training is truncated backpropagation in numpy. The training documents are dealt into shards of about
 ``shard_docs`` documents each by a hash of the id; every shard fits the current network on its windows
-of ``WINDOW`` tokens (state carried from window to window, gradients cut there), and the shards' networks
-are averaged, weighted by tokens. The training documents are dealt into ``rounds`` equal parts by a hash
+of ``WINDOW`` tokens (state carried from window to window, gradients cut there) in lanes side by side, and the
+shards' networks are averaged, weighted by tokens. The training documents are dealt into ``rounds`` equal parts by a hash
 of the id, and each round fits on the next part: one pass over all of them, whatever the table's size.
 
 Scoring reads whole texts, state carried across windows to the end sign. Documents are taken in blocks
@@ -21,7 +21,7 @@ words of each document go through a join by hash, so the corpus's vocabulary is
 
 Defined results: null and empty texts are one end sign. With no training document the base is
 log10 of (0.1 / 0.1) = 0 a token and the network is its uniform start. Repeated rows count and are
-scored each; extra columns are not read.
+scored each; an empty table gives an empty result; texts of any length are read whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -45,10 +45,16 @@ END, UNKNOWN = 0, 1
 #: The end sign's place among word hashes.
 END_HASH = 1
 LANES = 1024
+#: Lanes of a shard's fit at most, and windows (steps of the fit) that each lane has at least.
+FIT_LANES = 512
+STEPS = 24
 TABLE = 1_000_000
 #: Tokens scored as one block, and predictions worked out at once.
 BLOCK_TOKENS = 3_000_000
 AT_ONCE = 32_768
+#: Columns of a softmax worked out at once.
+BLOCK = 1024
+_PLACES = np.arange(BLOCK)
 _LOG10 = float(np.log(10.0))
 
 
@@ -90,7 +96,27 @@ def start(vocab: Vocabulary, seed: int = 5) -> Params:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(np.minimum(x, 60.0, out=x), out=x)
+    x += 1.0
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by the exponential (which numpy works out many at a time)."""
+    x *= -2.0
+    _sigmoid_of_negative(x)
+    x *= 2.0
+    x -= 1.0
+    return x
+
+
+def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)) in place."""
+    np.exp(np.minimum(x, 60.0, out=x), out=x)
+    x += 1.0
+    return np.reciprocal(x, out=x)
 
 
 def forward(p: Params, tokens: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +125,19 @@ def forward(p: Params, tokens: np.ndarray, state: np.ndarray, keep: list | None
     ``tokens`` (T x B) are inputs; the prediction at step t sees inputs up to t."""
     h = HIDDEN
     out = np.empty((*tokens.shape, h), np.float32)
+    given = p["x"][tokens] + p["b"]
+    fresh = (tokens != END)[:, :, None]  # a document starts afresh
+    u_gates, u_new = np.ascontiguousarray(p["u"][:, : 2 * h]), np.ascontiguousarray(p["u"][:, 2 * h :])
     for t in range(len(tokens)):
-        state = state * (tokens[t] != END)[:, None]  # a document starts afresh
-        g = p["x"][tokens[t]] + p["b"]
-        zr = _sigmoid(g[:, : 2 * h] + state @ p["u"][:, : 2 * h])
+        state = state * fresh[t]
+        zr = state @ u_gates
+        zr += given[t, :, : 2 * h]
+        _sigmoid(zr)
         z, r = zr[:, :h], zr[:, h:]
         rs = r * state
-        n = np.tanh(g[:, 2 * h :] + rs @ p["u"][:, 2 * h :])
+        n = rs @ u_new
+        n += given[t, :, 2 * h :]
+        _tanh(n)
         if keep is not None:
             keep.append((state, z, r, n, rs))
         state = state + z * (n - state)
@@ -113,86 +145,126 @@ def forward(p: Params, tokens: np.ndarray, state: np.ndarray, keep: list | None
     return out, state
 
 
-def _by_class(targets: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(class, places) of flat targets."""
-    cls = targets // CLASS_SIZE
+def _by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """(places in the order of their classes, a class and its part of that order each)."""
+    cls = (targets // CLASS_SIZE).astype(np.uint16)
     order = np.argsort(cls, kind="stable")
-    seen, first = np.unique(cls[order], return_index=True)
-    return list(zip(seen.tolist(), np.split(order, first[1:]), strict=True))
+    ends = np.cumsum(np.bincount(cls, minlength=1))
+    return order, [(c, slice(int(ends[c - 1]) if c else 0, int(ends[c]))) for c in range(len(ends)) if ends[c] > (ends[c - 1] if c else 0)]
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Column shares, in place (columns, so that sums run over whole rows of numbers)."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_shares(weights: np.ndarray, bias: np.ndarray, own: np.ndarray, y: np.ndarray, at: slice, found: np.ndarray) -> None:
+    """Adds the log share of each column's ``y`` to ``found``."""
+    turned, column = np.ascontiguousarray(weights.T), bias[:, None]
+    for i in range(at.start, at.stop, BLOCK):
+        part = slice(i, min(i + BLOCK, at.stop))
+        x = turned @ own[:, part]
+        x += column
+        x -= x.max(0)
+        found[part] += x[y[part], _PLACES[: part.stop - i]]
+        found[part] -= np.log(np.exp(x, out=x).sum(0))
 
 
 def log_probs(p: Params, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log chances of flat ``targets`` from flat ``states`` (N x H)."""
-    cls = targets // CLASS_SIZE
-    logits = states @ p["cw"] + p["cb"]
-    top = logits.max(1)
-    out = logits[np.arange(len(cls)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-    for c, at in _by_class(targets):
-        inner = states[at] @ p["ww"][c] + p["wb"][c]
-        top = inner.max(1)
-        out[at] += inner[np.arange(len(at)), targets[at] % CLASS_SIZE] - top - np.log(np.exp(inner - top[:, None]).sum(1))
+    order, parts = _by_class(targets)
+    own, y = np.ascontiguousarray(states[order].T), targets[order]
+    found = np.zeros(len(y), np.result_type(own, p["cw"]))
+    _log_shares(p["cw"], p["cb"], own, y // CLASS_SIZE, slice(0, len(y)), found)
+    y = y % CLASS_SIZE
+    for c, at in parts:
+        _log_shares(p["ww"][c], p["wb"][c], own, y, at, found)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
+def _descend(weights: np.ndarray, bias: np.ndarray, own: np.ndarray, y: np.ndarray, w: np.ndarray, at: slice, dw: np.ndarray, db: np.ndarray, dh: np.ndarray, chance: np.ndarray, first: bool) -> None:
+    """Gradients of one softmax over the columns ``at`` of states ``own`` (H x N), added to dw, db and dh; block by block, so that numbers stay near."""
+    turned, column = np.ascontiguousarray(weights.T), bias[:, None]
+    for i in range(at.start, at.stop, BLOCK):
+        part = slice(i, min(i + BLOCK, at.stop))
+        k = _PLACES[: part.stop - i]
+        d = turned @ own[:, part]
+        d += column
+        _softmax(d)
+        got = d[y[part], k]
+        d[y[part], k] = got - 1
+        d *= w[part]
+        dw += own[:, part] @ d.T
+        db += d.sum(1)
+        if first:
+            dh[:, part] = weights @ d
+            chance[part] = got
+        else:
+            dh[:, part] += weights @ d
+            chance[part] *= got
+
+
 def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, state: np.ndarray) -> tuple[Params, np.ndarray, float]:
     """Gradients of the summed loss over a window, the state after it, and the loss."""
     h = HIDDEN
     kept: list = []
     out, last = forward(p, inputs, state, kept)
-    flat, y, w = out.reshape(-1, h), targets.ravel(), weight.ravel().astype(np.float32)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    lc = _log_softmax(flat @ p["cw"] + p["cb"])
-    rows = np.arange(len(y))
-    cls = y // CLASS_SIZE
-    loss = -float((lc[rows, cls] * w).sum())
-    d = np.exp(lc)
-    d[rows, cls] -= 1
-    d *= w[:, None]
-    g["cw"], g["cb"] = flat.T @ d, d.sum(0)
-    dh = d @ p["cw"].T
-    for c, at in _by_class(y):
-        lw = _log_softmax(flat[at] @ p["ww"][c] + p["wb"][c])
-        k = y[at] % CLASS_SIZE
-        loss -= float((lw[np.arange(len(at)), k] * w[at]).sum())
-        d = np.exp(lw)
-        d[np.arange(len(at)), k] -= 1
-        d *= w[at][:, None]
-        g["ww"][c], g["wb"][c] = flat[at].T @ d, d.sum(0)
-        dh[at] += d @ p["ww"][c].T
-    dh = dh.reshape(out.shape)
+    g = {k: np.zeros_like(v) for k, v in p.items() if k in ("u", "ww", "wb")}
+    order, parts = _by_class(targets.ravel())
+    own, w = np.ascontiguousarray(out.reshape(-1, h)[order].T), weight.ravel().astype(np.float32)[order]
+    y = targets.ravel()[order]
+    cls, y = y // CLASS_SIZE, y % CLASS_SIZE
+    kind = np.result_type(own, p["cw"])
+    chance, dh = np.empty(len(y), kind), np.empty(own.shape, kind)
+    g["cw"], g["cb"] = np.zeros_like(p["cw"]), np.zeros_like(p["cb"])
+    every = slice(0, len(y))
+    _descend(p["cw"], p["cb"], own, cls, w, every, g["cw"], g["cb"], dh, chance, True)
+    for c, at in parts:
+        _descend(p["ww"][c], p["wb"][c], own, y, w, at, g["ww"][c], g["wb"][c], dh, chance, False)
+    loss = -float((np.log(chance + np.float32(1e-37)) * w).sum())
+    back = np.empty((len(y), h), dh.dtype)
+    back[order] = dh.T
+    dh = back.reshape(out.shape)
     ds = np.zeros_like(state)
     dx = np.empty((*inputs.shape, 3 * h), np.float32)
+    fresh = (inputs != END)[:, :, None]
+    u_gates, u_new = np.ascontiguousarray(p["u"][:, : 2 * h].T), np.ascontiguousarray(p["u"][:, 2 * h :].T)
     for t in range(len(inputs) - 1, -1, -1):
         s, z, r, n, rs = kept[t]
         ds = ds + dh[t]
-        dn = ds * z * (1 - n * n)
-        dz = ds * (n - s) * z * (1 - z)
-        drs = dn @ p["u"][:, 2 * h :].T
-        dr = drs * s * r * (1 - r)
-        gate = np.concatenate([dz, dr], 1)
-        g["u"][:, 2 * h :] += rs.T @ dn
-        g["u"][:, : 2 * h] += s.T @ gate
-        dx[t] = np.concatenate([gate, dn], 1)
-        ds = (ds * (1 - z) + drs * r + gate @ p["u"][:, : 2 * h].T) * (inputs[t] != END)[:, None]
+        dzs = ds * z
+        gate = dx[t]
+        dn = gate[:, 2 * h :]
+        np.multiply(dzs, 1 - n * n, out=dn)
+        np.multiply(ds * (n - s), z * (1 - z), out=gate[:, :h])
+        drs = dn @ u_new
+        np.multiply(drs * s, r * (1 - r), out=gate[:, h : 2 * h])
+        ds = (ds - dzs + drs * r + gate[:, : 2 * h] @ u_gates) * fresh[t]
+    states = np.concatenate([k[0] for k in kept])
+    resets = np.concatenate([k[4] for k in kept])
     flat_x = dx.reshape(-1, 3 * h)
+    g["u"][:, : 2 * h] = states.T @ flat_x[:, : 2 * h]
+    g["u"][:, 2 * h :] = resets.T @ flat_x[:, 2 * h :]
     g["b"] = flat_x.sum(0)
-    order = np.argsort(inputs.ravel(), kind="stable")
+    # Input weights of the tokens seen only, summed by token.
+    order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
     seen, first = np.unique(inputs.ravel()[order], return_index=True)
-    g["x"][seen] = np.add.reduceat(flat_x[order], first, axis=0)
+    g["x"] = np.add.reduceat(flat_x[order], first, axis=0)
+    g["seen"] = seen
     return g, last, loss
 
 
-def fit_shard(p: Params, streams: list[np.ndarray], rate: float = 0.4) -> tuple[Params, int, float]:
+def fit_shard(p: Params, streams: list[np.ndarray], rate: float = 0.6) -> tuple[Params, int, float]:
     """One pass over token streams (each document's tokens, END last) with Adagrad: (network, tokens, loss).
 
-    The streams are laid end to end and cut into lanes of equal length."""
+    The streams are laid end to end and cut into lanes of equal length: as many as leave ``STEPS`` windows each, up to ``FIT_LANES``."""
     flat = np.concatenate(streams)
-    lanes = max(1, min(64, len(flat) // (2 * WINDOW)))
+    lanes = max(1, min(FIT_LANES, len(flat) // (STEPS * WINDOW)))
     longest = -(-len(flat) // lanes)
     p = {k: v.copy() for k, v in p.items()}
     speed = {k: np.full_like(v, 1e-3) for k, v in p.items()}
@@ -205,13 +277,13 @@ def fit_shard(p: Params, streams: list[np.ndarray], rate: float = 0.4) -> tuple[
         part = slice(t, t + WINDOW)
         g, state, loss = gradients(p, x[part], y[part], w[part], state)
         total += loss
-        n = max(1.0, float(w[part].sum()))
-        seen = np.unique(x[part])
+        n = np.float32(max(1.0, float(w[part].sum())))
         for k in p:
-            rows = seen if k == "x" else slice(None)  # other tokens' input weights have no gradient
-            d = np.clip(g[k][rows] / n, -0.05, 0.05)
-            speed[k][rows] += d * d
-            p[k][rows] -= rate * d / np.sqrt(speed[k][rows])
+            rows = g["seen"] if k == "x" else slice(None)  # other tokens' input weights have no gradient
+            d = np.clip(g[k] / n, -0.05, 0.05)
+            now = speed[k][rows] + d * d
+            speed[k][rows] = now
+            p[k][rows] -= rate * d / np.sqrt(now)
     return p, int(w.sum()), total
 
 
@@ -228,11 +300,37 @@ def unpack(data: bytes, like: Params) -> Params:
     return out
 
 
-def encode(vocab: Vocabulary, hashes: np.ndarray) -> np.ndarray:
-    if not len(vocab.hashes):
-        return np.full(len(hashes), UNKNOWN, np.int64)
-    at = np.minimum(np.searchsorted(vocab.hashes, hashes), len(vocab.hashes) - 1)
-    return np.where(vocab.hashes[at] == hashes, vocab.ids[at], UNKNOWN).astype(np.int64)
+class Lookup:
+    """Places of 64-bit hashes in a sorted list of distinct ones: the leading bits say where to look, so that a lookup is a step or two."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        bits = max(8, min(22, int(len(hashes)).bit_length() + 2))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((hashes >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it isn't in the list."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        part = (h >> self.shift).astype(np.int64)
+        at, end = self.first[part], self.first[part + 1]
+        open_ = np.flatnonzero(at < end)
+        at, end = at[open_], end[open_]
+        while len(open_):
+            met = self.hashes[at] == h[open_]
+            out[open_[met]] = at[met]
+            at += 1
+            on = ~met & (at < end)
+            open_, at, end = open_[on], at[on], end[on]
+        return out
+
+
+def encode(vocab: Vocabulary, hashes: np.ndarray, table: Lookup | None = None) -> np.ndarray:
+    """Token ids of word hashes."""
+    at = (table or Lookup(vocab.hashes)).find(hashes)
+    return np.where(at >= 0, vocab.ids[at] if len(vocab.ids) else UNKNOWN, UNKNOWN).astype(np.int64)
 
 
 def score_documents(p: Params, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -336,7 +434,7 @@ def vocabulary(counts: DataFrame, total: int) -> tuple[Vocabulary, np.ndarray, n
     return Vocabulary(h[order], ids[order], np.concatenate([[ends, total - ends - c.sum()], c]).astype(np.int64)), th[place], tc[place]
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, id_col: str, text: str, rounds: int = 3, shard_docs: int = 400) -> Params:
+def fit(docs: DataFrame, vocab: Vocabulary, id_col: str, text: str, rounds: int = 3, shard_docs: int = 6400) -> Params:
     """Average of networks fitted on shards of the training documents ``docs``, in ``rounds`` rounds over a part of them each."""
     spark = docs.sparkSession
     p = start(vocab)
@@ -344,28 +442,28 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str, text: str, rounds: int
     shared_vocab = spark.sparkContext.broadcast(vocab)
 
     def streams(batches):
+        table = Lookup(shared_vocab.value.hashes)
         for batch in batches:
             for i, j, w, h in _hash_rows(batch, "text"):
-                ids = encode(shared_vocab.value, h)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(w.row_words.astype(np.int32)), pa.array(ids.astype(np.int32)))],
-                    ["o", "ids"],
-                )
+                # Whole documents as bytes (two a token, the end sign last): cheaper to write and deal out than lists of numbers.
+                ids = np.insert(encode(shared_vocab.value, h, table), w.row_words[1:], END).astype(np.uint16)
+                ends = (w.row_words + np.arange(len(w.row_words))) * 2
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), packed.cast(pa.binary())], ["o", "ids"])
 
-    tokens = cut(chosen.mapInArrow(streams, "o bigint, ids array<int>"))
+    tokens = cut(chosen.mapInArrow(streams, "o bigint, ids binary"))
     turn = F.pmod(F.xxhash64(F.lit("round"), "o"), F.lit(rounds))
     sizes = {r[0]: r[1] for r in tokens.groupBy(turn.alias("k")).count().collect()}
     for k, n in sorted(sizes.items()):
         shards = max(1, round(n / shard_docs))
-        dealt = cut(tokens.where(turn == k).repartition(shards, "o"))
+        # One task a shard (a written table's files would be packed into fewer), a shard's documents in a fixed order.
+        dealt = tokens.where(turn == k).repartition(shards, "o")
         shared = spark.sparkContext.broadcast(p)
 
         def run(batches, shared=shared):
             docs_ = []
             for b in batches:
-                off = b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py()
-                flat = b.column(1).flatten().to_numpy()
-                docs_ += [(o, np.append(flat[off[i] : off[i + 1]], END).astype(np.int64)) for i, o in enumerate(b.column(0).to_pylist())]
+                docs_ += [(o, np.frombuffer(x, np.uint16).astype(np.int64)) for o, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             docs_.sort(key=lambda d: d[0])
             if docs_:
                 q, seen, _ = fit_shard(shared.value, [d for _, d in docs_])
@@ -388,6 +486,8 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str, text: str, rounds: int
         weight = sum(r[1] for r in rows)
         mean = sum(np.frombuffer(bytes(r[0]), np.float32).astype(np.float64) * (r[1] / weight) for r in rows)
         p = unpack(mean.astype(np.float32).tobytes(), p)
+        shared.destroy()  # the round's networks are written
+    shared_vocab.destroy()
     return p
 
 
@@ -420,11 +520,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out_
 
     def run(batches):
         vocab, table_h, table_c, p = shared.value
-        known = np.log10(vocab.counts + 0.1)
+        known, own, more = np.log10(vocab.counts + 0.1), Lookup(vocab.hashes), Lookup(table_h)
         block, held = [], 0
         for batch in batches:
             for i, j, w, h in _hash_rows(batch, "text"):
-                rows, ids = j - i, encode(vocab, h)
+                rows, ids = j - i, encode(vocab, h, own)
                 sizes = np.diff(w.row_words) + 1
                 tokens = np.insert(ids, w.row_words[1:], END).astype(np.uint16)
                 inside = ids != UNKNOWN
@@ -433,8 +533,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out_
                 uh, ur = h[~inside], w.row[~inside]
                 n_out = np.bincount(ur, minlength=rows)
                 if len(table_h) and len(uh):
-                    at = np.minimum(np.searchsorted(table_h, uh), len(table_h) - 1)
-                    met = table_h[at] == uh
+                    at = more.find(uh)
+                    met = at >= 0
                     lg = np.bincount(ur[met], np.log10(table_c[at[met]] + 0.1), rows)
                     n_known = n_known + np.bincount(ur[met], minlength=rows)
                     uh, ur = uh[~met], ur[~met]

@@ -214,14 +214,14 @@ def test_token_counts_match_greedy_pieces(docs, texts):
     def greedy(word):
         s, i, n = token_counts.symbols_of(word), 0, 0
         while i < len(s):
-            k = next(k for k in range(min(most, len(s) - i), 0, -1) if s[i : i + k] in pieces)
+            k = next(k for k in range(min(most, len(s) - i), 0, -1) if tuple(s[i : i + k]) in pieces)
             i, n = i + k, n + 1
         return n
 
     got = by_id(token_counts.token_counts(docs))
     for i, t in enumerate(texts):
-        if len(t or "") < 3000:
-            assert got[i].n_tokens == sum(greedy(w) for x in (t or "").lower().split() for w in token_counts.WORDS.findall(x))
+        assert got[i].n_tokens == sum(greedy(w) for x in (t or "").lower().split() for w in token_counts.WORDS.findall(x))
+    assert token_counts.token_counts(docs.limit(0)).isEmpty()
 
 
 def test_automaton_on_random_vocabularies():
@@ -269,7 +269,15 @@ def test_languages_held_out(spark, docs):
     assert np.mean([got[i].lang_pred == k for i, _, k in rows if i % 4 == 0]) > 0.97
     odd = by_id(lang_id.predict(docs, model))
     assert odd[0].lang_pred == odd[1].lang_pred == odd[7].lang_pred == "und" and odd[8].lang_pred != "und"
-    assert {r.lang_pred for r in lang_id.predict(docs, lang_id.train(docs.limit(0))).collect()} == {"und"}
+    assert {r.lang_pred for r in lang_id.predict(docs, lang_id.train(docs.limit(0))).collect()} == {"und"} and lang_id.predict(docs.limit(0), model).isEmpty()
+    long = spark.createDataFrame([(i, (k + " ") * 9000, k) for i, k in enumerate(["eau", "sch"] * 6)], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.text[:3]) for r in lang_id.predict(long, lang_id.train(long)).join(long, "doc_id").collect()} == {("eau", "eau"), ("sch", "sch")}
+    # Decoding against its own definition: the least weighted logistic loss.
+    f = np.random.default_rng(2).standard_normal((20, model.code.shape[1])) * 3
+    best, share, margin = lang_id.decode(model, f)
+    for k in range(20):
+        loss = [sum(w * np.log1p(np.exp(-c * x)) for c, x, w in zip(code, f[k], model.bit_weight, strict=True)) / model.bit_weight.sum() for code in model.code]
+        assert best[k] == int(np.argmin(loss)) and margin[k] == pytest.approx(sorted(loss)[1] - min(loss)) and 0 <= share[k] <= 1
     lang_id.predict(docs, lang_id.train(docs)).collect()
     assert len({tuple(c) for c in lang_id.codewords(9)}) == 9
 
@@ -313,6 +321,9 @@ def test_language_model_base_and_gradients(docs, texts, monkeypatch):
     p = {k: x.astype(float) + 0.1 * rng.standard_normal(x.shape) for k, x in lm_score.start(vocab).items()}
     x, y, w, s = rng.integers(0, 12, (6, 3)), rng.integers(0, 12, (6, 3)), np.ones((6, 3)), rng.standard_normal((3, 4))
     g = lm_score.gradients(p, x, y, w, s)[0]
+    given = np.zeros_like(p["x"])
+    given[g["seen"]] = g["x"]
+    g["x"] = given
     for k in p:
         at = tuple(rng.integers(0, m) for m in p[k].shape)
         losses = []
@@ -323,6 +334,44 @@ def test_language_model_base_and_gradients(docs, texts, monkeypatch):
         assert g[k][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, abs=1e-3)
     probs = sum(np.exp(lm_score.log_probs(p, rng.standard_normal((1, 4)) * 0 + 0.3, np.array([t]))[0]) for t in range(12))
     assert probs == pytest.approx(1.0, abs=1e-6)
+    # Documents scored in lanes and windows are what a step at a time gives.
+    for width in (2, 5, 1024):
+        monkeypatch.setattr(lm_score, "LANES", width)
+        monkeypatch.setattr(lm_score, "WINDOW", 3)
+        texts_ = [np.append(rng.integers(1, 12, n), 0) for n in (0, 1, 7, 2, 11, 3)]
+        got = lm_score.score_documents(p, np.concatenate(texts_), np.concatenate([[0], np.cumsum([len(t) for t in texts_])]))
+        for t, total in zip(texts_, got, strict=True):
+            state, before, want = np.zeros((1, 4)), 0, 0.0
+            for y_ in t:
+                out, state = lm_score.forward(p, np.array([[before]]), state)
+                logits = out[0] @ p["cw"] + p["cb"]
+                inner = out[0] @ p["ww"][y_ // 4] + p["wb"][y_ // 4]
+                want += float(logits[0, y_ // 4] - np.log(np.exp(logits).sum()) + inner[0, y_ % 4] - np.log(np.exp(inner).sum()))
+                before = y_
+            assert total == pytest.approx(want, rel=1e-3)
+
+
+def test_language_model_beats_word_counts_on_text_it_has_not_seen(spark):
+    rng = random.Random(21)
+    follow = {w: rng.sample(range(60), 3) for w in range(60)}
+    rows = []
+    for i in range(1500):
+        w, t = rng.randrange(60), []
+        for _ in range(60):
+            t.append(f"w{w}")
+            w = rng.choice(follow[w])
+        rows.append((i, " ".join(t)))
+    r = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > 0.8 * r[1]
+
+
+def test_lookup_finds_what_is_there():
+    rng = np.random.default_rng(4)
+    h = np.unique(np.concatenate([rng.integers(0, 2**63, 3000).astype(np.uint64), np.arange(50, dtype=np.uint64)]))
+    asked = np.concatenate([h, rng.integers(0, 2**63, 500).astype(np.uint64), np.arange(100, dtype=np.uint64)])
+    at = lm_score.Lookup(h).find(asked)
+    assert (h[at[at >= 0]] == asked[at >= 0]).all() and ((at >= 0) == np.isin(asked, h)).all()
+    assert (lm_score.Lookup(h[:0]).find(asked) == -1).all()
 
 
 def test_language_model_learns_from_every_training_document(spark):
