@@ -42,6 +42,7 @@ MAX_DISTANCE = 26
 BITS = 1024
 #: Members of a bucket (about) in a piece, where a bucket holds several components.
 PIECE = 256
+SALTS = 64
 #: Ids broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -284,8 +285,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         comp = cut(nodes.join(top, "comp", "left").select("cid", F.coalesce("top", "comp").alias("comp")))
 
     named = classes.select("n", "fp1", "fp2", "rep", "cid").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select(F.col("n").alias("n_shingles"), "fp1", "fp2", "component_id")
+    # Components of several classes only; a large one's rows are dealt over SALTS keys where it can't be broadcast.
+    least = cut(named.where("comp <> cid").select("comp", "rep").union(named.where("comp = cid").join(comp.select("comp").distinct(), "comp", "left_semi").select("comp", "rep")).groupBy("comp").agg(F.min("rep").alias("component_id")))
+    if least.count() <= BROADCAST_IDS:
+        named = named.join(F.broadcast(least), "comp", "left")
+    else:
+        salted = least.select("comp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        named = named.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(salted, ["comp", "salt"], "left")
+    named = named.select(F.col("n").alias("n_shingles"), "fp1", "fp2", F.coalesce("component_id", "rep").alias("component_id"))
     out = sigs.drop("sig").join(named, ["n_shingles", "fp1", "fp2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
