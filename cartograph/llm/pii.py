@@ -9,8 +9,9 @@ The patterns are run from anchors (an at sign, a plus sign, the start of a run o
 each text is read in time linear in its length, and matches of a kind stay leftmost and
 non-overlapping.
 
-Defined results: a null text counts as empty and has no spans. Repeated rows are scored each
-on its own; extra columns are not read.
+Defined results: a null text counts as empty and has no spans. Repeated rows are scored each on its own;
+an empty table gives an empty result; texts of any length are read whole; extra columns are not read by
+``find_pii`` and pass through ``redact``. Spans of two kinds may overlap, both are reported.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban")
 CONTEXT = 40
+#: Spans that score less are left in a text that is redacted: an address whose neighbours say that it is a version or section.
+MIN_SCORE = 0.3
 
 # Patterns of the base kinds, read with their left bound made explicit.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -109,10 +112,17 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.span()
+    """The longest run of groups that passes; a word after the number may look like a group."""
+    at = 0
+    while m := IBAN.search(text, at):
+        end = m.end()
+        while end > m.start():
+            code = text[m.start() : end].replace(" ", "")
+            if 15 <= len(code) <= 34 and mod97(code):
+                yield m.start(), end
+                break
+            end = text.rfind(" ", m.start(), end)
+        at = max(end, m.start() + 4) if end > m.start() else m.end()
 
 
 FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans}
@@ -166,7 +176,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, text: str = "text", min_score: float = 0.0) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` with spans scored at least ``min_score`` replaced in ``text``; null stays null."""
     names = docs.columns
     k = names.index(text)
@@ -187,7 +197,7 @@ def redact(docs: DataFrame, text: str = "text", min_score: float = 0.0) -> DataF
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts by base kind, sha256 of the base spans and all spans as text."""
+    """Counts by kind, sha256 of the base spans, all spans as text, their scores in the same order, and how many score ``MIN_SCORE`` or more."""
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -196,7 +206,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
-    return found.select(id_col, *[of(k) for k in BASE_KINDS], of("iban"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(id_col, *[of(k) for k in BASE_KINDS], of("iban"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"), F.size(F.filter("spans", lambda x: x["score"] >= MIN_SCORE)).cast("long").alias("n_sure"))
 
 
 def sha_of(spans: list[tuple[str, int, int]]) -> str:
