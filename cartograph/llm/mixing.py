@@ -24,7 +24,8 @@ every run. Documents with 0 copies leave the mix.
 
 Defined results: null and empty texts have 0 tokens, keep rate 1 and one copy, and have no weight in
 the fit. Without labels all posteriors are equal. Targets are scaled to sum to 1; domains
-without a target get 0. Repeated rows are rated alike; extra columns pass through ``mix``.
+without a target get 0. Repeated rows are rated alike; texts of any length are read whole; an empty table gives an
+empty result. Extra columns pass through ``mix``, but for columns named mix_rate and mix_copies, which it replaces.
 """
 
 from __future__ import annotations
@@ -105,25 +106,17 @@ def posteriors_of(model: DomainModel, x: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], domain: np.ndarray, prior: np.ndarray, rounds: int = 300) -> DomainModel:
-    """Evidence words, then softmax regression with classes weighted back to ``prior``."""
-    k = len(DOMAINS)
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    size = 1 << BUCKET_BITS
-    docs_with = np.zeros((k, size))
-    for i, _, data, bounds in textvec.slices(batch, "text"):
-        w = textvec.split_words(data, bounds, textvec.SPACES_PUNCT)
-        key = np.unique((w.row.astype(np.int64) << BUCKET_BITS) | (w.hashes() >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-        row, bucket = key >> BUCKET_BITS, key & (size - 1)
-        for d in range(k):
-            docs_with[d] += np.bincount(bucket[domain[row + i] == d], minlength=size)
-    n = np.bincount(domain, minlength=k)
+def evidence_of(docs_with: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Evidence by bucket from the numbers of documents (domains x buckets) and of all documents by domain."""
     toxic, other = docs_with[2], docs_with[0] + docs_with[1]
     odds = np.log((toxic + 0.5) / (n[2] + 1)) - np.log((other + 0.5) / (n[0] + n[1] + 1))
-    evidence = np.where((toxic >= max(3, 0.01 * n[2])) & (odds > 2), 1.0, 0.0).astype(np.float32)
-    x = np.zeros((len(texts), DENSE))
-    for i, j, data, bounds in textvec.slices(batch, "text"):
-        x[i:j] = dense_features(data, bounds, evidence)[1]
+    return np.where((toxic >= max(3, 0.01 * n[2])) & (odds > 2), 1.0, 0.0).astype(np.float32)
+
+
+def fit(evidence: np.ndarray, x: np.ndarray, domain: np.ndarray, prior: np.ndarray, rounds: int = 300) -> DomainModel:
+    """Softmax regression on dense features ``x`` with classes weighted back to ``prior``."""
+    k = len(DOMAINS)
+    n = np.bincount(domain, minlength=k)
     mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(DENSE), np.ones(DENSE))
     weights = np.zeros((DENSE + 1, k))
     if len(x):
@@ -140,17 +133,51 @@ def fit(texts: list[str], domain: np.ndarray, prior: np.ndarray, rounds: int = 3
     return DomainModel(evidence, mean, scale, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 6000, max_train_chars: int = 20_000) -> DomainModel:
-    """Fit on a bounded sample of ``labels`` (key, quality, toxic); the sample is broadcast to find texts."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 6000) -> DomainModel:
+    """Fit on a bounded sample of ``labels`` (key, quality, toxic): about ``max_rows`` ids, one label each (the worst), whatever their texts' length.
+
+    The sample's ids are broadcast to find texts; texts stay on the workers, which send back counts by word and a row of features."""
     domain = F.when(F.col("toxic") > 0, 2).when(F.col("quality") == 0, 1).otherwise(0)
-    known = labels.where(F.col(key).isNotNull() & (F.col("toxic").isNotNull() | F.col("quality").isNotNull())).select(key, domain.alias("_d"))
+    known = labels.where(F.col(key).isNotNull() & (F.col("toxic").isNotNull() | F.col("quality").isNotNull())).groupBy(key).agg(F.max(domain).alias("_d"))
     counts = {r[0]: r[1] for r in known.groupBy("_d").count().collect()}
     n = np.array([counts.get(d, 0) for d in range(len(DOMAINS))], float)
     share = F.xxhash64(F.lit("mixing"), F.col(key)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
     most = F.coalesce(*[F.when(F.col("_d") == d, F.lit(max_rows / len(DOMAINS) / max(1.0, c))) for d, c in enumerate(n)])
-    own = docs.select(key, F.col(text).alias("_t")).where(F.col("_t").isNotNull() & (F.length("_t") <= max_train_chars))
-    rows = own.join(F.broadcast(known.where(share < most)), key).select("_t", "_d").collect()
-    return fit([r[0] for r in rows], np.array([r[1] for r in rows], int), n / max(1.0, n.sum()))
+    own = docs.select(key, F.col(text).alias("text")).where(F.col("text").isNotNull())
+    chosen = cut(own.join(F.broadcast(known.where(share < most)), key).select("text", F.col("_d").cast("int").alias("d")))
+    size = 1 << BUCKET_BITS
+
+    def words(batches):
+        """Documents by domain and bucket, summed by task."""
+        total = np.zeros((len(DOMAINS), size), np.int64)
+        for b in batches:
+            d = b.column(1).to_numpy()
+            for i, j, data, bounds in textvec.slices(b, "text"):
+                w = textvec.split_words(data, bounds, textvec.SPACES_PUNCT)
+                seen = np.unique((w.row.astype(np.int64) << BUCKET_BITS) | (w.hashes() >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+                np.add.at(total, (d[i:j][seen >> BUCKET_BITS], seen & (size - 1)), 1)
+        at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(total[at])], ["d", "bucket", "n"])
+
+    with_ = chosen.mapInArrow(words, "d int, bucket int, n bigint").groupBy("d", "bucket").agg(F.sum("n").alias("n")).toArrow()  # domains x buckets rows at most
+    docs_with = np.zeros((len(DOMAINS), size))
+    docs_with[with_["d"].to_numpy(), with_["bucket"].to_numpy()] = with_["n"].to_numpy()
+    drawn = {r[0]: r[1] for r in chosen.groupBy("d").count().collect()}
+    evidence = evidence_of(docs_with, np.array([drawn.get(d, 0) for d in range(len(DOMAINS))]))
+    used = np.flatnonzero(evidence)
+
+    def features(batches):
+        table = np.zeros(size, np.float32)
+        table[used] = 1.0
+        for b in batches:
+            for i, j, data, bounds in textvec.slices(b, "text"):
+                x = dense_features(data, bounds, table)[1]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), *[pa.array(c) for c in x.T.copy()]], ["d", *[f"x{k}" for k in range(DENSE)]])
+
+    # About max_rows rows; in a fixed order, so that the fit is the same on every run.
+    rows = chosen.mapInArrow(features, "d int, " + ", ".join(f"x{k} double" for k in range(DENSE))).toArrow().sort_by([(f"x{k}", "ascending") for k in range(DENSE)] + [("d", "ascending")])
+    x = np.stack([rows[f"x{k}"].to_numpy() for k in range(DENSE)], 1) if rows.num_rows else np.zeros((0, DENSE))
+    return fit(evidence, x, rows["d"].to_numpy().astype(int), n / max(1.0, n.sum()))
 
 
 def _rates(p: np.ndarray, multipliers: list[float]) -> np.ndarray:
@@ -259,8 +286,6 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     model = train(docs, labels, id_col, text)
     multipliers = fit_rates(cut(posteriors(docs, model, id_col, text)), target, ridge)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.withColumn("mix_hash_", F.xxhash64(id_col))
-    k, h = docs.columns.index(text), len(docs.columns)
 
     def run(batches):
         for batch in batches:
@@ -271,13 +296,13 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 rate = np.where(n > 0, np.round(_rates(p, multipliers), 9), 1.0)
                 part = batch.slice(i, j - i)
                 copies = copies_of(part.column(h).to_numpy(), rate)
-                out = pa.RecordBatch.from_arrays([*part.columns[:h], pa.array(rate), pa.array(copies)], [*part.schema.names[:h], "mix_rate", "mix_copies"])
+                out = pa.RecordBatch.from_arrays([*part.columns[:h], pa.array(rate), pa.array(copies)], [*[f.name for f in fields], "mix_rate", "mix_copies"])
                 yield out.filter(pa.array(copies > 0))
 
     from pyspark.sql import types as T
 
     fields = [f for f in docs.schema.fields if f.name not in ("mix_rate", "mix_copies")]
-    src = src.select(*[f.name for f in fields], "mix_hash_")
+    src = docs.select(*[f.name for f in fields], F.xxhash64(id_col))
     k, h = [f.name for f in fields].index(text), len(fields)
     schema = T.StructType([*fields, T.StructField("mix_rate", T.DoubleType()), T.StructField("mix_copies", T.LongType())])
     return src.mapInArrow(run, schema)
