@@ -11,11 +11,14 @@ Where labels only say toxic or not, ``graded`` derives grades from them: words t
 toxic texts and almost never in others are counted, and toxic texts are cut into mild, strong
 and severe at ``GRADE_CUTS`` such words.
 
-The fit uses a bounded sample of labelled rows (``max_rows``, by hash of the id, the classes
-evened out; texts over ``max_train_chars`` are not chosen). Scoring reads every whole text.
+A label column that holds grades of its own (values over 1) is taken as it is.
+
+The fit uses a bounded sample of labelled rows (``max_rows`` ids, by hash of the id, one label each (the highest), the
+classes evened out, whatever their texts' length); workers send back features and no texts. Scoring reads every whole text.
 
 Defined results: null and empty texts have severity 0 and grade 0. With no label or one grade
-only, every text has that grade (0 where there is none).
+only, every text has that grade (0 where there is none). Repeated rows are scored each; an empty table gives an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -51,10 +54,30 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1), np.log1p(n)
 
 
-def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    parts = [(r + i, b, v) for i, _, data, bounds in textvec.slices(batch, "text") for r, b, v in [features(data, bounds)]]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+def text_features(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of all features of ``chosen`` (text, y), worked out by the workers, and y by row; rows in a fixed order."""
+
+    def run(batches):
+        for b in batches:
+            for i, j, data, bounds in textvec.slices(b, "text"):
+                rows, buckets, values = features(data, bounds)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=j - i))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (buckets.astype(np.int32), values.astype(np.float32))]
+                key = np.array([hash_of(buckets[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1).slice(i, j - i), *lists], ["k", "y", "b", "v"])
+
+    got = chosen.mapInArrow(run, "k bigint, y int, b array<int>, v array<float>").toArrow().sort_by([("k", "ascending"), ("y", "ascending")]).combine_chunks()
+    y = got["y"].to_numpy().astype(int)
+    if not got.num_rows:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), y
+    lists = got["b"].combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(len(y)), n), lists.flatten().to_numpy().astype(np.int64), got["v"].combine_chunks().flatten().to_numpy().astype(float), y
+
+
+def hash_of(x: np.ndarray) -> int:
+    """A number for a list of buckets, the same on every run."""
+    return int(textvec.mix(np.array([np.bitwise_xor.reduce(textvec.mix(x.astype(np.uint64) + np.uint64(1)), initial=np.uint64(len(x)))], np.uint64)).view(np.int64)[0])
 
 
 def graded(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -100,20 +123,18 @@ def fit(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, grade: np.nda
     return GradeModel(table, cuts)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 6000, max_train_chars: int = 20_000) -> GradeModel:
-    """Fit on a bounded sample of ``labels`` (key, 0/1 label), about half of it positive if there are enough.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 6000) -> GradeModel:
+    """Fit on a bounded sample of ``labels`` (key, 0/1 label or grades), about half of it positive if there are enough.
 
     The sampled labels (about ``max_rows`` rows by construction) are broadcast to find their texts."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("_y"))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("_y"))
     counts = {r[0]: r[1] for r in known.groupBy((F.col("_y") > 0).cast("int")).count().collect()}
     share = F.xxhash64(F.lit("toxicity"), F.col(key)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
     most = F.when(F.col("_y") > 0, max_rows / 2 / max(1, counts.get(1, 0))).otherwise(max_rows / 2 / max(1, counts.get(0, 0)))
     chosen = known.where(share < most)
-    own = docs.select(key, F.col(text).alias("_t")).where(F.col("_t").isNotNull() & (F.length("_t") <= max_train_chars))
-    rows = own.join(F.broadcast(chosen), key).select("_t", "_y").collect()
-    toxic = np.array([r[1] for r in rows], int)
-    r, b, v = text_features([x[0] for x in rows])
-    return fit(r, b, v, graded(r, b, toxic) if len(toxic) else toxic)
+    own = docs.select(key, F.col(text).alias("text")).where(F.col("text").isNotNull())
+    r, b, v, y = text_features(own.join(F.broadcast(chosen), key).select("text", F.col("_y").alias("y")))
+    return fit(r, b, v, y if y.max(initial=0) > 1 or not len(y) else graded(r, b, y))
 
 
 def predict(docs: DataFrame, model: GradeModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
