@@ -2,12 +2,14 @@
 
 Each language has a codeword; one linear classifier on byte 2- and 3-grams per bit is
 fitted by logistic regression on a bounded labelled sample (``per_lang`` rows a language,
-chosen by a hash of the id; texts over ``max_train_chars`` are not chosen). A text gets the
-codeword of the least weighted logistic loss over all its n-grams; a small margin to the next
-codeword is flagged as ambiguous. Prediction reads whole texts and nothing but the text.
+chosen by a hash of the id, whatever their length). Bits weigh by how far they beat chance on a fifth of that
+sample that a first fit leaves out. A text gets the codeword of the least weighted logistic loss over all its
+n-grams; a small margin to the next codeword is flagged as ambiguous. Prediction reads whole texts and nothing
+but the text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0. With one
-learned language every text with a letter gets it; with none, all are ``und``.
+learned language every text with a letter gets it; with none, all are ``und``. Of languages at the same loss the
+first by name wins. Repeated rows are read each; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -95,22 +97,46 @@ def _has_letter(data: np.ndarray, bounds: np.ndarray, text) -> np.ndarray:
     return found
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 60) -> LanguageModel:
-    """Fit all bits at once by gradient steps with momentum on mean n-gram features."""
+Grams = list[tuple[np.ndarray, np.ndarray]]  # of a text: features and their mean counts
+
+
+def gram_means(text: bytes, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(features, counts over half of all grams) of a whole text, read in overlapping pieces."""
+    total = np.zeros(2 * BUCKETS, np.int64)
+    for at in range(0, max(1, len(text)), step):
+        data = np.frombuffer(text[at : at + step], np.uint8)
+        idx, _ = grams(data, np.array([0, len(data)]))
+        total += np.bincount(idx[idx < 2 * BUCKETS], minlength=2 * BUCKETS)
+    f = np.flatnonzero(total)
+    return f, total[f] / max(1, total[f].sum() / 2)
+
+
+def fit(texts: Grams, labels: list[str], rounds: int = 60) -> LanguageModel:
+    """A model of all texts, its bits weighed by a first model that leaves every fifth text out."""
     langs = sorted(set(labels))
     code = codewords(len(langs))
-    bits = code.shape[1]
     if len(langs) < 2:
         return LanguageModel(langs, code, np.ones(1), np.zeros((2 * BUCKETS + 1, 1), np.float32), np.ones(1))
-    rows, cols, vals = [], [], []
-    for i, t in enumerate(texts):
-        data = np.frombuffer(t.encode(), np.uint8)
-        idx, _ = grams(data, np.array([0, len(data)]))
-        f, c = np.unique(idx[idx < 2 * BUCKETS], return_counts=True)
-        rows.append(np.full(len(f), i))
-        cols.append(f)
-        vals.append(c / max(1, c.sum() / 2))
-    row, col, val = (np.concatenate(x) for x in (rows, cols, vals))
+    out = np.arange(len(texts)) % 5 == 4
+    kept = [i for i in range(len(texts)) if not out[i]]
+    y = code[[langs.index(x) for x in labels]].astype(np.float64)
+    weight = np.ones(code.shape[1])
+    if out.any() and {labels[i] for i in kept} == set(langs):
+        first = _fit([texts[i] for i in kept], y[kept], langs, code, rounds)
+        f = np.stack([(first.weights[texts[i][0]] * texts[i][1][:, None]).sum(0) + first.bias for i in np.flatnonzero(out)])
+        weight = np.maximum(((f * y[out]) > 0).mean(0) - 0.5, 0.01)
+    model = _fit(texts, y, langs, code, rounds)
+    model.bit_weight = weight
+    return model
+
+
+def _fit(texts: Grams, y: np.ndarray, langs: list[str], code: np.ndarray, rounds: int) -> LanguageModel:
+    """Fit all bits at once by gradient steps with momentum on mean n-gram features."""
+    bits = code.shape[1]
+    rows = [np.full(len(f), i) for i, (f, _) in enumerate(texts)]
+    row, col, val = np.concatenate(rows), np.concatenate([f for f, _ in texts]), np.concatenate([c for _, c in texts])
+    if not len(row):
+        return LanguageModel(langs, code, np.ones(bits), np.zeros((2 * BUCKETS + 1, bits), np.float32), np.zeros(bits))
     order = np.argsort(col, kind="stable")
     row_of, val_of = row[order], val[order]
     used, first_col = np.unique(col[order], return_index=True)
@@ -119,7 +145,6 @@ def fit(texts: list[str], labels: list[str], rounds: int = 60) -> LanguageModel:
     val, val_of = val / rare[local], val_of / rare[np.searchsorted(used, col[order])]
     first_row = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     have = row[first_row]
-    y = code[[langs.index(x) for x in labels]].astype(np.float64)
     w, b = np.zeros((len(used), bits)), np.zeros(bits)
     v, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(rounds):
@@ -129,12 +154,9 @@ def fit(texts: list[str], labels: list[str], rounds: int = 60) -> LanguageModel:
         gw = np.add.reduceat(g[row_of] * val_of[:, None], first_col, axis=0) + 1e-5 * w
         v, vb = 0.9 * v - 2.0 * gw, 0.9 * vb - 2.0 * g.sum(0)
         w, b = w + v, b + vb
-    f = np.tile(b, (len(texts), 1))
-    f[have] += np.add.reduceat(w[local] * val[:, None], first_row, axis=0)
-    right = ((f * y) > 0).mean(0)
     table = np.zeros((2 * BUCKETS + 1, bits), np.float32)
     table[used] = w / rare[:, None]
-    return LanguageModel(langs, code, np.maximum(right - 0.5, 0.01), table, b)
+    return LanguageModel(langs, code, np.ones(bits), table, b)
 
 
 def decode(m: LanguageModel, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,16 +170,30 @@ def decode(m: LanguageModel, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return best, p[np.arange(len(p)), best], margin
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 500, max_train_chars: int = 20_000) -> LanguageModel:
-    """Fit on a bounded sample of ``labelled``: about ``per_lang`` rows a language by hash of the key."""
-    ok = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_train_chars))
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 500) -> LanguageModel:
+    """Fit on a bounded sample of ``labelled``: about ``per_lang`` rows a language by hash of the key (a null key counts as one id).
+
+    Workers count the n-grams of whole texts; texts don't leave them."""
+    ok = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in ok.groupBy(lang).count().collect()}
     if not counts:
         return fit([], [])
     share = F.xxhash64(F.lit("language"), F.col(key)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
     most = F.coalesce(*[F.when(F.col(lang) == k, F.lit(per_lang / n)) for k, n in sorted(counts.items())])
-    rows = ok.where(share < most).select(text, lang).collect()
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    chosen = ok.where(share < most).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text).alias("k"))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                got = [gram_means(t.encode()) for t in part.column(0).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(f) for f, _ in got])]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in ([f.astype(np.int32) for f, _ in got], [c.astype(np.float32) for _, c in got])]
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), *lists], ["k", "lang", "f", "c"])
+
+    rows = chosen.mapInArrow(run, "k bigint, lang string, f array<int>, c array<float>").toArrow().sort_by([("k", "ascending"), ("lang", "ascending")])
+    pairs = [(f.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(float)) for f, c in zip(rows["f"], rows["c"], strict=True)]
+    return fit(pairs, rows["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text: str = "text", ambiguous_margin: float = 0.1) -> DataFrame:
