@@ -15,7 +15,8 @@ fixed size, broadcast; it only spares work), so rows are made for windows that m
 Defined results: null and empty texts or items match nothing. Items with under ``MIN_WORDS`` words
 cannot be told from ordinary text and are not used; items
 shorter than a window are one window. Rows that share an id count as one document; an item id
-that repeats is one item with the windows of all its rows.
+that repeats is one item with the windows of all its rows. Empty tables give an empty result; texts of any length are
+read whole; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ Symbols are the bytes of a word; the last byte of a word is a symbol of its own
 vocabulary marks word ends), so a piece that ends a word and one that does not differ.
 
 Defined results: null and empty texts have 0 tokens. A word with a symbol that the vocabulary
-lacks counts as one token (an unknown word). Ties cannot arise: the longest match is unique.
+lacks counts as one token (an unknown word). Ties cannot arise: the longest match is unique. Repeated rows are counted
+each; an empty table gives an empty result; texts of any length are read whole; extra columns are not read. A vocabulary
+that can't be read raises an error before any work starts.
 """
 
 from __future__ import annotations
