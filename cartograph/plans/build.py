@@ -278,9 +278,11 @@ def build(files: DataFrame, changes: DataFrame | None = None, include_vendored:
 
     nodes: id, kind, title, description, path, lang, tags, attrs, files, exports; edges: src, dst, kind, confidence, weight, source;
     gaps: what, name, n."""
-    own = files.where(classify.analysed(F.col("path"), include_vendored))
+    # Written once: classes are worked out once, and every reader below reads what it needs.
+    own = cut(files.select("path", "class", "lang", "content", "is_test", *[c for c in ("truncated",) if c in files.columns]))
+    own = own.where(classify.analysed(F.col("path"), include_vendored))
     source = own.where("class = 'source' AND content <> ''").select("path", "lang", folder_of(F.col("path")).alias("folder"), "is_test")
-    code = cut(extract.extract(own.where("class = 'source' AND content <> ''").select("path", "lang", "content")))
+    code = cut(extract.extract(own.where("class = 'source' AND content <> ''").drop("class", "is_test")))
     facts = cut(manifests.read_manifests(own.where("content IS NOT NULL").select("path", "content")).where("fact IS NOT NULL"))
     parts = [module_nodes(source, code), external_nodes(facts), service_nodes(facts), interface_nodes(facts), data_nodes(facts), pipeline_nodes(facts), document_nodes(facts)]
     every = parts[0]

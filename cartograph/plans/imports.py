@@ -180,7 +180,7 @@ def alias_candidates(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     m = m.select("path", "n", F.length("scope").alias("depth"), F.length("pre").alias("len"), F.col("pattern"), F.posexplode("targets").alias("k", "t"), part.alias("part"))
     to = normal_path(F.when(F.contains("t", F.lit("*")), F.replace("t", F.lit("*"), F.col("part"))).otherwise(F.col("t")))
     keys = F.array(F.concat(F.lit("s:"), stem(to)), F.concat(F.lit("s:"), to), F.concat(F.lit("s:"), join_path(to, "index")), F.concat(F.lit("m:"), to))
-    ranked = m.select("path", "n", (100_000 - F.col("depth") * 200 - F.col("len")).alias("base"), "k", "pattern", F.posexplode(keys).alias("j", "candidate"))
+    ranked = m.select("path", "n", (100_000 - F.col("depth") * 200 - F.col("len")).alias("base"), "k", "pattern", F.posexplode_outer(keys).alias("j", "candidate")).where("candidate IS NOT NULL")
     return ranked.select("path", "n", (F.col("base") * 100 + F.col("k") * 4 + F.col("j")).cast("long").alias("rank"), "candidate", (F.col("pattern") != "*").alias("internal"))
 
 
@@ -197,7 +197,7 @@ def root_candidates(imports: DataFrame, roots: DataFrame) -> DataFrame:
         .when(F.col("grp") == "rust", F.concat(keyed("s", F.array(join_path(F.col("dir"), "src", F.col("rest")), join_path(F.col("dir"), "src", "lib"))), keyed("m", F.array(join_path(F.col("dir"), "src")))))
         .otherwise(F.concat(keyed("s", F.array(stem(to), to, join_path(F.col("dir"), "src", F.col("rest")), join_path(to, "index"), join_path(to, "src", "index"))), keyed("m", F.array(to, join_path(to, "src"), F.col("dir"), join_path(F.col("dir"), "src")))))
     )
-    m = m.select("path", "n", F.length("prefix").alias("len"), "internal", F.posexplode(keys).alias("j", "candidate"))
+    m = m.select("path", "n", F.length("prefix").alias("len"), "internal", F.posexplode_outer(keys).alias("j", "candidate")).where("candidate IS NOT NULL")
     return m.select("path", "n", ((10_000 - F.col("len")) * 100 + F.col("j")).cast("long").alias("rank"), "candidate", "internal")
 
 
@@ -248,12 +248,13 @@ def resolve_imports(imports: DataFrame, source: DataFrame, modules: DataFrame, e
     for lang, e in ECOSYSTEM.items():
         eco = F.when(F.col("lang") == lang, e).otherwise(eco)
     lang, folder, raw = F.col("lang"), F.col("folder"), F.col("raw")
-    parts = [imports.where(lang.isin(*langs)).select("path", "n", F.posexplode(own_candidates(group, folder, raw)).alias("rank", "candidate")).withColumn("tier", F.lit(0)).withColumn("internal", F.lit(False)) for group, langs in GROUPS.items()]
+    # The outer form keeps Spark from testing each list's size first, which would work the list out twice.
+    parts = [imports.where(lang.isin(*langs)).select("path", "n", F.posexplode_outer(own_candidates(group, folder, raw)).alias("rank", "candidate")).where("candidate IS NOT NULL").withColumn("tier", F.lit(0)).withColumn("internal", F.lit(False)) for group, langs in GROUPS.items()]
     parts += [
         alias_candidates(imports, effective_aliases(facts)).withColumn("tier", F.lit(1)),
         root_candidates(imports, named_roots(facts)).withColumn("tier", F.lit(2)),
         package_candidates(imports).withColumn("tier", F.lit(3)).withColumn("internal", F.lit(False)),
-        imports.where(~own_form(lang, raw)).select("path", "n", F.posexplode(dependency_candidates(lang, raw, eco)).alias("rank", "candidate")).withColumn("tier", F.lit(4)).withColumn("internal", F.lit(False)),
+        imports.where(~own_form(lang, raw)).select("path", "n", F.posexplode_outer(dependency_candidates(lang, raw, eco)).alias("rank", "candidate")).where("candidate IS NOT NULL").withColumn("tier", F.lit(4)).withColumn("internal", F.lit(False)),
     ]
     cand = None
     for p in parts:
