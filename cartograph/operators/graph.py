@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.operators.components import connected_components
@@ -362,12 +362,60 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return pa.table({"id": ids, "lead": [least[c] for c in labels]})
 
     grouped = parts.groupBy("component").applyInArrow(run, "id string, lead string")
-    out = cut(nodes.select("id").join(grouped, "id", "left").withColumn("lead", F.coalesce("lead", "id")))
-    # Dense numbers need one order over cluster leads only.
-    from pyspark.sql import Window
-
-    leads = out.select("lead").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("lead")).cast("long") - 1)
-    return out.join(leads, "lead").select("id", "cluster")
+    return _numbered(nodes, grouped)
+
+
+def _numbered(nodes: DataFrame, leads: DataFrame) -> DataFrame:
+    """(id, cluster) of (id, lead: the lowest member of its cluster): dense numbers in the leads' order; a node without a lead is its own.
+
+    Only the leads are put in one order: sorted by ranges, numbered in each, and the ranges' sizes added up."""
+    out = cut(nodes.select("id").join(leads, "id", "left").withColumn("lead", F.coalesce("lead", "id")))
+    ranged = cut(out.select("lead").distinct().repartitionByRange("lead").withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    numbers = ranged.join(F.broadcast(before), "_p").withColumn("cluster", (F.row_number().over(Window.partitionBy("_p").orderBy("lead")) - 1 + F.col("_b")).cast("long"))
+    return out.join(numbers.select("lead", "cluster"), "lead").select("id", "cluster")
+
+
+def spread_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, cluster) by local moves on the cluster, for components too large for one task.
+
+    In a round every node sees the communities of its neighbours and half of the nodes (by a hash that changes with the round) move
+    to the best strictly better one, ties to the lowest. Moves of a round don't see each other and communities aren't contracted, so clusters may
+    differ from ``clusters``; ``modularity`` says by how much. Ends after four rounds without a move, or ``rounds``."""
+    e = with_both_ends(edges, nodes).where("src <> dst")
+    both = cut(e.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(e.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct())
+    twice_m = float(both.count())
+    degree = both.groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
+    labels = cut(degree.select(F.col("u").alias("id"), "deg", F.col("u").alias("c")))
+    still = 0
+    for r in range(rounds):
+        total = labels.groupBy("c").agg(F.sum("deg").alias("tot"))
+        links = both.join(labels.select(F.col("id").alias("v"), F.col("c").alias("to")), "v").groupBy("u", "to").agg(F.count(F.lit(1)).alias("k"))
+        # A node's own community is always among the choices, with no link if need be.
+        choices = links.unionByName(labels.select(F.col("id").alias("u"), F.col("c").alias("to"), F.lit(0).cast("long").alias("k"))).groupBy("u", "to").agg(F.max("k").alias("k"))
+        choices = choices.join(labels.withColumnRenamed("id", "u"), "u").join(total.withColumnRenamed("c", "to"), "to")
+        own = F.col("to") == F.col("c")
+        gain = F.col("k") - (F.col("tot") - F.when(own, F.col("deg")).otherwise(0)) * F.col("deg") / F.lit(twice_m)
+        best = choices.withColumn("gain", gain).groupBy("u").agg(F.max(F.when(own, F.col("gain"))).alias("stay"), F.max("gain").alias("top"), F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("to"))
+        moves = best.where((F.col("top") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64(F.lit(r), "u"), F.lit(2)) == 0)).select(F.col("u").alias("id"), "to")
+        moves = cut(moves)
+        still = still + 1 if moves.isEmpty() else 0
+        if still == 4:
+            break
+        labels = cut(labels.join(moves, "id", "left").select("id", "deg", F.coalesce("to", "c").alias("c")))
+    leads = labels.groupBy("c").agg(F.min("id").alias("lead"))
+    return _numbered(nodes, labels.join(leads, "c").select("id", "lead"))
+
+
+def modularity(edges: DataFrame, cluster: DataFrame) -> DataFrame:
+    """One row: the modularity of clusters (id, cluster) on the simple undirected graph."""
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    c = cluster.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), cluster.select(F.col("id").alias("b"), F.col("cluster").alias("cb"))
+    j = pairs.join(c[0], "a").join(c[1], "b")
+    ends = j.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("d"))
+    inner = j.agg(F.count_if(F.col("ca") == F.col("cb")).alias("inside"), F.count(F.lit(1)).alias("m"))
+    return ends.agg(F.sum(F.col("d").cast("double") * F.col("d")).alias("sq")).join(F.broadcast(inner), F.lit(True)).select((F.col("inside") / F.col("m") - F.col("sq") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
 def bridges(edges: DataFrame, cluster: DataFrame) -> DataFrame:

@@ -45,155 +45,154 @@ def facts_query(name: str, path: str, content: str, rows: list[tuple[str, str, s
 
     run.__name__ = name
     QUERIES[name] = run
-    where = path.replace("concat(", "concat(")
-    ORACLE[name] = " UNION ALL ".join(f"SELECT {where} AS path, '{fact}' AS fact, {n} AS name, {v} AS value, {s} AS scope, {i} AS items FROM {SUPPLIERS} WHERE {c}" for fact, n, v, s, i, c in rows)
+    ORACLE[name] = " UNION ALL ".join(f"SELECT {path} AS path, '{fact}' AS fact, {n} AS name, {v} AS value, {s} AS scope, {i} AS items FROM {SUPPLIERS} WHERE {c}" for fact, n, v, s, i, c in rows)
 
 
-E_ = "''"
+#: SQL of an empty text.
+NONE = "''"
 facts_query(
     "facts_go_mod", "concat('r', k, '/go.mod')",
     r"concat('module ex.org/m', k, '\n\ngo 1.', k % 5 + 18, '\n\nrequire (\n\tex.org/a', k % 7, ' v1.', k % 3, '.0\n\tex.org/b v0.1.0 // indirect\n)\n', if(k % 2 = 0, 'replace ex.org/b => ../b\n', ''))",
-    [("module", "'ex.org/m' || k", "'1.' || (k % 5 + 18)", E_, E_, "true"), ("dep", "'ex.org/a' || (k % 7)", "'v1.' || (k % 3) || '.0'", "'runtime'", E_, "true"), ("dep", "'ex.org/b'", "'v0.1.0'", "'indirect'", E_, "true"), ("workspace", "'../b'", "'ex.org/b'", E_, E_, "k % 2 = 0")],
+    [("module", "'ex.org/m' || k", "'1.' || (k % 5 + 18)", NONE, NONE, "true"), ("dep", "'ex.org/a' || (k % 7)", "'v1.' || (k % 3) || '.0'", "'runtime'", NONE, "true"), ("dep", "'ex.org/b'", "'v0.1.0'", "'indirect'", NONE, "true"), ("workspace", "'../b'", "'ex.org/b'", NONE, NONE, "k % 2 = 0")],
 )
 facts_query(
     "facts_package_json", "concat('p', k, '/package.json')",
     """concat('{"name": "@s/p', k, '", "version": "1.', n, '.0", "dependencies": {"lib', k % 5, '": "^', k % 3, '", "near": "file:../near"}, "devDependencies": {"vitest": "2"}, "scripts": {"test": "vitest", "build": "tsc -p ', k, '"}, "workspaces": ["packages/*"]}')""",
     [
-        ("module", "'@s/p' || k", "'1.' || n || '.0'", E_, E_, "true"), ("dep", "'lib' || (k % 5)", "'^' || (k % 3)", "'runtime'", E_, "true"), ("dep", "'near'", E_, "'runtime'", E_, "true"), ("dep", "'vitest'", "'2'", "'dev'", E_, "true"),
-        ("script", "'test'", "'vitest'", E_, E_, "true"), ("script", "'build'", "'tsc -p ' || k", E_, E_, "true"), ("workspace", "'packages/*'", E_, E_, E_, "true"),
+        ("module", "'@s/p' || k", "'1.' || n || '.0'", NONE, NONE, "true"), ("dep", "'lib' || (k % 5)", "'^' || (k % 3)", "'runtime'", NONE, "true"), ("dep", "'near'", NONE, "'runtime'", NONE, "true"), ("dep", "'vitest'", "'2'", "'dev'", NONE, "true"),
+        ("script", "'test'", "'vitest'", NONE, NONE, "true"), ("script", "'build'", "'tsc -p ' || k", NONE, NONE, "true"), ("workspace", "'packages/*'", NONE, NONE, NONE, "true"),
     ],
 )
 facts_query(
     "facts_pyproject", "concat('p', k, '/pyproject.toml')",
     r"concat('[project]\nname = \"app', k, '\"\nversion = \"0.', n, '\"\ndependencies = [\"Req_A', k % 4, '>=1.', k % 9, '\", \"bare; python_version > \'3\'\"]\n[project.optional-dependencies]\nextra = [\"opt[x]==2\"]\n[dependency-groups]\ndev = [\"pytest\"]\n[project.scripts]\nrun', k, ' = \"app:main\"\n')",
     [
-        ("module", "'app' || k", "'0.' || n", E_, E_, "true"), ("dep", "'req-a' || (k % 4)", "'>=1.' || (k % 9)", "'runtime'", E_, "true"), ("dep", "'bare'", E_, "'runtime'", E_, "true"), ("dep", "'opt'", "'==2'", "'runtime'", E_, "true"),
-        ("dep", "'pytest'", E_, "'dev'", E_, "true"), ("entrypoint", "'run' || k", "'app:main'", E_, E_, "true"),
+        ("module", "'app' || k", "'0.' || n", NONE, NONE, "true"), ("dep", "'req-a' || (k % 4)", "'>=1.' || (k % 9)", "'runtime'", NONE, "true"), ("dep", "'bare'", NONE, "'runtime'", NONE, "true"), ("dep", "'opt'", "'==2'", "'runtime'", NONE, "true"),
+        ("dep", "'pytest'", NONE, "'dev'", NONE, "true"), ("entrypoint", "'run' || k", "'app:main'", NONE, NONE, "true"),
     ],
 )
 facts_query(
     "facts_requirements", "concat('p', k, if(k % 2 = 0, '/requirements.txt', '/requirements-dev.txt'))", r"concat('# note\nTool.Box', k % 6, '~=', n, '.1  # why\n-r other.txt\ngit+https://ex.org/x.git#egg=Pinned_', k % 3, '\n')",
-    [("dep", "'tool-box' || (k % 6)", "'~=' || n || '.1'", "CASE WHEN k % 2 = 0 THEN 'runtime' ELSE 'dev' END", E_, "true"), ("dep", "'pinned-' || (k % 3)", E_, "CASE WHEN k % 2 = 0 THEN 'runtime' ELSE 'dev' END", E_, "true")],
+    [("dep", "'tool-box' || (k % 6)", "'~=' || n || '.1'", "CASE WHEN k % 2 = 0 THEN 'runtime' ELSE 'dev' END", NONE, "true"), ("dep", "'pinned-' || (k % 3)", NONE, "CASE WHEN k % 2 = 0 THEN 'runtime' ELSE 'dev' END", NONE, "true")],
 )
-ORACLE["facts_requirements"] = ORACLE["facts_requirements"].replace("if(k % 2 = 0,", "if(k % 2 = 0,")
 facts_query(
     "facts_cargo", "concat('c', k, '/Cargo.toml')", r"concat('[package]\nname = \"crate', k, '\"\nversion = \"0.', n, '.0\"\n[dependencies]\nserde = { version = \"1.', k % 4, '\", package = \"serde-x\" }\nshared = { workspace = true }\n[build-dependencies]\ncc = \"1\"\n[target.\"cfg(unix)\".dependencies]\nnix = \"0.', k % 30, '\"\n')",
     [
-        ("module", "'crate' || k", "'0.' || n || '.0'", E_, E_, "true"), ("dep", "'serde-x'", "'1.' || (k % 4)", "'runtime'", E_, "true"), ("dep", "'shared'", "'workspace'", "'runtime'", E_, "true"), ("dep", "'cc'", "'1'", "'build'", E_, "true"), ("dep", "'nix'", "'0.' || (k % 30)", "'runtime'", E_, "true"),
+        ("module", "'crate' || k", "'0.' || n || '.0'", NONE, NONE, "true"), ("dep", "'serde-x'", "'1.' || (k % 4)", "'runtime'", NONE, "true"), ("dep", "'shared'", "'workspace'", "'runtime'", NONE, "true"), ("dep", "'cc'", "'1'", "'build'", NONE, "true"), ("dep", "'nix'", "'0.' || (k % 30)", "'runtime'", NONE, "true"),
     ],
 )
 facts_query(
     "facts_gem", "concat('g', k, '/Gemfile')", r"concat('source \"x\"\ngem \"rails\", \"~> ', k % 8, '\", \">= 1\"\ngroup :test do\n  gem \"rspec', k % 3, '\"\nend\ngem \"near\", path: \"../near\"\n')",
-    [("dep", "'rails'", "'~> ' || (k % 8) || ', >= 1'", "'runtime'", E_, "true"), ("dep", "'rspec' || (k % 3)", E_, "'dev'", E_, "true"), ("dep", "'near'", E_, "'runtime'", E_, "true")],
+    [("dep", "'rails'", "'~> ' || (k % 8) || ', >= 1'", "'runtime'", NONE, "true"), ("dep", "'rspec' || (k % 3)", NONE, "'dev'", NONE, "true"), ("dep", "'near'", NONE, "'runtime'", NONE, "true")],
 )
 facts_query(
     "facts_composer", "concat('h', k, '/composer.json')", r"""concat('{"name": "v/p', k, '", "require": {"php": ">=8", "ext-json": "*", "v/q', k % 5, '": "^', n, '"}, "autoload": {"psr-4": {"App', k, '\\\\": "src/"}}}')""",
-    [("module", "'v/p' || k", E_, E_, E_, "true"), ("dep", "'v/q' || (k % 5)", "'^' || n", "'runtime'", E_, "true"), ("alias", "'App' || k || '\\'", E_, "'psr-4'", "'src'", "true")],
+    [("module", "'v/p' || k", NONE, NONE, NONE, "true"), ("dep", "'v/q' || (k % 5)", "'^' || n", "'runtime'", NONE, "true"), ("alias", "'App' || k || '\\'", NONE, "'psr-4'", "'src'", "true")],
 )
 facts_query(
     "facts_msbuild", "concat('n', k, '/App.csproj')", """concat('<Project><PropertyGroup><OutputType>Exe</OutputType></PropertyGroup><ItemGroup><PackageReference Include="Pkg', k % 6, '" Version="', n, '.0" /><PackageReference Include="Gen" PrivateAssets="all"><Version>1</Version></PackageReference><ProjectReference Include="..\\\\Lib', k, '\\\\Lib.csproj" /></ItemGroup></Project>')""",
-    [("dep", "'Pkg' || (k % 6)", "n || '.0'", "'runtime'", E_, "true"), ("dep", "'Gen'", "'1'", "'build'", E_, "true"), ("dep", "'Lib'", E_, "'runtime'", E_, "true"), ("entrypoint", "'App'", E_, E_, E_, "true")],
+    [("dep", "'Pkg' || (k % 6)", "n || '.0'", "'runtime'", NONE, "true"), ("dep", "'Gen'", "'1'", "'build'", NONE, "true"), ("dep", "'Lib'", NONE, "'runtime'", NONE, "true"), ("entrypoint", "'App'", NONE, NONE, NONE, "true")],
 )
 facts_query(
     "facts_solution", "concat('n', k, '/All.sln')", r"""concat('Project("{FAE0}") = "App', k, '", "app\\App', k, '.csproj", "{1}"\nEndProject\nProject("{2150}") = "docs", "docs", "{2}"\nEndProject\n')""",
-    [("workspace", "'app/App' || k || '.csproj'", "'App' || k", E_, E_, "true")],
+    [("workspace", "'app/App' || k || '.csproj'", "'App' || k", NONE, NONE, "true")],
 )
 facts_query(
     "facts_cmake", "concat('m', k, '/CMakeLists.txt')", r"concat('project(P', k, ' VERSION 1.', n, ')\nadd_executable(tool', k, ' main.c)\nadd_library(core STATIC a.c) # c\nfind_package(ZLIB ', k % 3 + 1, '.2 REQUIRED)\ntarget_link_libraries(tool', k, ' PRIVATE core ZLIB::ZLIB fmt', k % 4, ')\nadd_test(NAME unit', k, ' COMMAND tool', k, ' --all)\n')",
     [
-        ("module", "'P' || k", "'1.' || n", E_, E_, "true"), ("entrypoint", "'tool' || k", E_, E_, E_, "true"), ("dep", "'ZLIB'", "(k % 3 + 1) || '.2'", "'build'", E_, "true"), ("dep", "'fmt' || (k % 4)", E_, "'build'", E_, "true"),
-        ("script", "'unit' || k", "'tool' || k || ' --all'", "'test'", E_, "true"),
+        ("module", "'P' || k", "'1.' || n", NONE, NONE, "true"), ("entrypoint", "'tool' || k", NONE, NONE, NONE, "true"), ("dep", "'ZLIB'", "(k % 3 + 1) || '.2'", "'build'", NONE, "true"), ("dep", "'fmt' || (k % 4)", NONE, "'build'", NONE, "true"),
+        ("script", "'unit' || k", "'tool' || k || ' --all'", "'test'", NONE, "true"),
     ],
 )
 facts_query(
     "facts_bazel", "concat('b', k, '/BUILD')", r"concat('load(\"@r//:d.bzl\", \"x\")\ngo_binary(\n    name = \"bin', k, '\",\n    deps = [\":own\", \"//lib/n', n, ':t\", \"@dep', k % 5, '//:all\"],\n)\ngo_test(name = \"t', k, '\")\n')",
-    [("entrypoint", "'bin' || k", E_, E_, E_, "true"), ("script", "'t' || k", E_, "'test'", E_, "true"), ("dep", "'//lib/n' || n || ':t'", E_, "'build'", E_, "true"), ("dep", "'dep' || (k % 5)", E_, "'build'", E_, "true")],
+    [("entrypoint", "'bin' || k", NONE, NONE, NONE, "true"), ("script", "'t' || k", NONE, "'test'", NONE, "true"), ("dep", "'//lib/n' || n || ':t'", NONE, "'build'", NONE, "true"), ("dep", "'dep' || (k % 5)", NONE, "'build'", NONE, "true")],
 )
 facts_query(
     "facts_tsconfig", "concat('t', k, '/tsconfig.json')", """concat('{ // note ', k, '\n "extends": "./base.json", "compilerOptions": {"baseUrl": ".", "paths": {"@a', k % 4, '/*": ["./src/n', n, '/*", "../shared/*",],},},}')""",
-    [("alias", "'*'", E_, "'base'", "'t' || k || '/*'", "true"), ("alias", "'@a' || (k % 4) || '/*'", E_, "'paths'", "'t' || k || '/src/n' || n || '/*,shared/*'", "true"), ("extends", "'t' || k || '/base.json'", E_, E_, E_, "true")],
+    [("alias", "'*'", NONE, "'base'", "'t' || k || '/*'", "true"), ("alias", "'@a' || (k % 4) || '/*'", NONE, "'paths'", "'t' || k || '/src/n' || n || '/*,shared/*'", "true"), ("extends", "'t' || k || '/base.json'", NONE, NONE, NONE, "true")],
 )
 facts_query(
     "facts_makefile", "concat('k', k, '/Makefile')", r"concat('.PHONY: build', if(k % 2 = 0, ' test', ''), '\nX := 1\nbuild: dep\n\t@go build ./n', n, '\ntest:\n\tgo test\n')",
-    [("target", "'build'", "'go build ./n' || n", E_, E_, "true"), ("target", "'test'", "'go test'", E_, E_, "true"), ("entrypoint", "'make build'", E_, E_, E_, "true"), ("entrypoint", "'make test'", E_, E_, E_, "k % 2 = 0")],
+    [("target", "'build'", "'go build ./n' || n", NONE, NONE, "true"), ("target", "'test'", "'go test'", NONE, NONE, "true"), ("entrypoint", "'make build'", NONE, NONE, NONE, "true"), ("entrypoint", "'make test'", NONE, NONE, NONE, "k % 2 = 0")],
 )
 facts_query(
     "facts_containerfile", "concat('d', k, '/Dockerfile')", r"concat('ARG V=1.', n, '\nFROM golang:', char(36), '{V} AS build\nENV API_TOKEN=x MODE=y\nFROM build AS mid\nFROM reg.ex/base', k % 5, ':', k, '\nCOPY --from=build /a /a\nEXPOSE ', 8000 + k, ' 9/udp\n')",
     [
-        ("image", "'golang'", "'1.' || n", "'build'", E_, "true"), ("image", "'reg.ex/base' || (k % 5)", "CAST(k AS VARCHAR)", E_, E_, "true"), ("port", "CAST(8000 + k AS VARCHAR)", E_, E_, E_, "true"), ("port", "'9/udp'", E_, E_, E_, "true"), ("env", "'API_TOKEN'", E_, E_, E_, "true"),
-        ("env", "'MODE'", E_, E_, E_, "true"), ("secret", "'API_TOKEN'", E_, "'env'", E_, "true"),
+        ("image", "'golang'", "'1.' || n", "'build'", NONE, "true"), ("image", "'reg.ex/base' || (k % 5)", "CAST(k AS VARCHAR)", NONE, NONE, "true"), ("port", "CAST(8000 + k AS VARCHAR)", NONE, NONE, NONE, "true"), ("port", "'9/udp'", NONE, NONE, NONE, "true"), ("env", "'API_TOKEN'", NONE, NONE, NONE, "true"),
+        ("env", "'MODE'", NONE, NONE, NONE, "true"), ("secret", "'API_TOKEN'", NONE, "'env'", NONE, "true"),
     ],
 )
 facts_query(
     "facts_compose", "concat('d', k, '/compose.yml')",
     r"concat('x-base: &base\n  image: base:', n, '\nservices:\n  web', k, ':\n    <<: *base\n    build: ./web\n    ports:\n      - \"', 8000 + k, ':80\"\n    environment:\n      DB_PASSWORD: hidden\n      MODE: a\n    depends_on:\n      db:\n        condition: x\n  db: {image: \"pg:', k % 9, '\", volumes: [data:/v]}\n')",
     [
-        ("service", "'web' || k", "'base:' || n", E_, "(8000 + k) || ':80'", "true"), ("service", "'db'", "'pg:' || (k % 9)", E_, E_, "true"), ("service_dep", "'web' || k", "'db'", E_, E_, "true"), ("secret", "'DB_PASSWORD'", "'env'", "'web' || k", E_, "true"),
+        ("service", "'web' || k", "'base:' || n", NONE, "(8000 + k) || ':80'", "true"), ("service", "'db'", "'pg:' || (k % 9)", NONE, NONE, "true"), ("service_dep", "'web' || k", "'db'", NONE, NONE, "true"), ("secret", "'DB_PASSWORD'", "'env'", "'web' || k", NONE, "true"),
     ],
 )
 facts_query(
     "facts_workflow", "concat('.github/workflows/w', k, '.yml')",
     r"concat('name: Flow ', k, '\non:\n  ', if(k % 3 = 0, 'push:\n    tags: [v1]', if(k % 3 = 1, 'pull_request:', 'push:\n    branches: [main]')), '\njobs:\n  lint:\n    runs-on: linux\n    steps:\n      - uses: actions/checkout@v', n, '\n      - name: Lint\n        run: |\n          make lint\n          echo ${{ secrets.KEY', k % 2, ' }}\n  test:\n    needs: [lint]\n    runs-on: linux\n    steps: []\n')",
     [
-        ("job", "'lint'", "'lint'", E_, E_, "true"), ("job", "'test'", "'test'", E_, "'lint'", "true"), ("step", "'actions/checkout@v' || n", "'actions/checkout@v' || n", "'lint'", E_, "true"), ("step", "'Lint'", "'make lint'", "'lint'", E_, "true"),
-        ("dep", "'actions/checkout'", "'v' || n", "'build'", E_, "true"), ("secret", "'KEY' || (k % 2)", E_, "'lint'", E_, "true"),
+        ("job", "'lint'", "'lint'", NONE, NONE, "true"), ("job", "'test'", "'test'", NONE, "'lint'", "true"), ("step", "'actions/checkout@v' || n", "'actions/checkout@v' || n", "'lint'", NONE, "true"), ("step", "'Lint'", "'make lint'", "'lint'", NONE, "true"),
+        ("dep", "'actions/checkout'", "'v' || n", "'build'", NONE, "true"), ("secret", "'KEY' || (k % 2)", NONE, "'lint'", NONE, "true"),
     ],
 )
 facts_query(
     "facts_kubernetes", "concat('k8s/a', k, '.yaml')",
     r"concat('apiVersion: apps/v1\nkind: Deployment\nmetadata:\n  name: web', k, '\nspec:\n  replicas: ', n, '\n  template:\n    spec:\n      containers:\n        - name: c\n          image: img:', k % 7, '\n          ports: [{containerPort: ', 80 + k, '}]\n          env:\n            - name: PW\n              valueFrom: {secretKeyRef: {name: sec', k % 3, ', key: pw}}\n---\napiVersion: v1\nkind: Service\nmetadata: {name: svc', k, '}\nspec:\n  selector: {app: web', k, '}\n  ports: [{port: 80}]\n---\napiVersion: v1\nkind: Secret\nmetadata: {name: sec', k % 3, '}\ndata: {pw: aGlkZGVu}\n')",
     [
-        ("service", "'web' || k", "'img:' || (k % 7)", E_, "CAST(80 + k AS VARCHAR)", "true"), ("service", "'svc' || k", E_, E_, "'80'", "true"), ("service", "'sec' || (k % 3)", E_, E_, E_, "true"), ("service_dep", "'svc' || k", "'app=web' || k", E_, E_, "true"),
-        ("secret", "'sec' || (k % 3)", "'pw'", "'web' || k", E_, "true"), ("secret", "'sec' || (k % 3)", "'pw'", "'sec' || (k % 3)", E_, "true"),
+        ("service", "'web' || k", "'img:' || (k % 7)", NONE, "CAST(80 + k AS VARCHAR)", "true"), ("service", "'svc' || k", NONE, NONE, "'80'", "true"), ("service", "'sec' || (k % 3)", NONE, NONE, NONE, "true"), ("service_dep", "'svc' || k", "'app=web' || k", NONE, NONE, "true"),
+        ("secret", "'sec' || (k % 3)", "'pw'", "'web' || k", NONE, "true"), ("secret", "'sec' || (k % 3)", "'pw'", "'sec' || (k % 3)", NONE, "true"),
     ],
 )
 facts_query(
     "facts_helm_chart", "concat('h', k, '/Chart.yaml')", r"concat('apiVersion: v2\nname: chart', k, '\nversion: 0.', n, '.0\ndependencies:\n  - name: redis\n    version: ~', k % 9, '\n    repository: https://charts.ex\n')",
-    [("module", "'chart' || k", "'0.' || n || '.0'", E_, E_, "true"), ("dep", "'redis'", "'~' || (k % 9)", "'runtime'", E_, "true")],
+    [("module", "'chart' || k", "'0.' || n || '.0'", NONE, NONE, "true"), ("dep", "'redis'", "'~' || (k % 9)", "'runtime'", NONE, "true")],
 )
 facts_query(
     "facts_helm_values", "concat('h', k, '/values.yaml')", r"concat('image:\n  repository: reg.ex/app', k % 4, '\n  tag: \"', n, '\"\ndb:\n  password: hidden\n')",
-    [("image", "'reg.ex/app' || (k % 4)", "CAST(n AS VARCHAR)", "'image'", E_, "true"), ("secret", "'db.password'", E_, "'values'", E_, "true"), ("service", "'h' || k", E_, E_, E_, "true")],
+    [("image", "'reg.ex/app' || (k % 4)", "CAST(n AS VARCHAR)", "'image'", NONE, "true"), ("secret", "'db.password'", NONE, "'values'", NONE, "true"), ("service", "'h' || k", NONE, NONE, NONE, "true")],
 )
 facts_query(
     "facts_terraform", "concat('f', k, '/main.tf')",
     r"concat('terraform {\n  required_providers {\n    aws = {\n      source = \"hashicorp/aws\"\n      version = \"~> ', n, '\"\n    }\n  }\n}\nprovider \"aws\" {}\nprovider \"random\" {}\nresource \"aws_instance\" \"web', k, '\" {\n  ami = data.x.id\n}\nresource \"aws_db_instance\" \"d\" {}\nmodule \"net\" {\n  source = \"../net', k % 3, '\"\n}\nvariable \"db_password\" {\n  type = string\n}\n')",
     [
-        ("dep", "'hashicorp/aws'", "'~> ' || n", "'build'", E_, "true"), ("dep", "'random'", E_, "'build'", E_, "true"), ("dep", "'net'", E_, "'build'", E_, "true"), ("service", "'web' || k", E_, E_, E_, "true"), ("variable", "'db_password'", "'string'", E_, E_, "true"), ("secret", "'db_password'", E_, "'variable'", E_, "true"),
+        ("dep", "'hashicorp/aws'", "'~> ' || n", "'build'", NONE, "true"), ("dep", "'random'", NONE, "'build'", NONE, "true"), ("dep", "'net'", NONE, "'build'", NONE, "true"), ("service", "'web' || k", NONE, NONE, NONE, "true"), ("variable", "'db_password'", "'string'", NONE, NONE, "true"), ("secret", "'db_password'", NONE, "'variable'", NONE, "true"),
     ],
 )
 facts_query(
     "facts_proto", "concat('a/p', k, '.proto')", r"concat('syntax = \"proto3\"; // s\npackage pkg.n', n, ';\nimport \"x/y', k % 5, '.proto\";\nmessage Outer', k, ' {\n  message Inner { int32 a = 1; }\n}\nservice Api', k, ' {\n  rpc Get (Outer', k, ') returns (Outer', k, ') {}\n}\n')",
     [
-        ("module", "'pkg.n' || n", E_, E_, E_, "true"), ("dep", "'x/y' || (k % 5) || '.proto'", E_, "'build'", E_, "true"), ("contract", "'Outer' || k", E_, "'message'", E_, "true"), ("contract", "'Outer' || k || '.Inner'", E_, "'message'", E_, "true"), ("contract", "'Api' || k", E_, "'service'", E_, "true"),
-        ("contract", "'Api' || k || '.Get'", E_, "'rpc'", E_, "true"),
+        ("module", "'pkg.n' || n", NONE, NONE, NONE, "true"), ("dep", "'x/y' || (k % 5) || '.proto'", NONE, "'build'", NONE, "true"), ("contract", "'Outer' || k", NONE, "'message'", NONE, "true"), ("contract", "'Outer' || k || '.Inner'", NONE, "'message'", NONE, "true"), ("contract", "'Api' || k", NONE, "'service'", NONE, "true"),
+        ("contract", "'Api' || k || '.Get'", NONE, "'rpc'", NONE, "true"),
     ],
 )
 facts_query(
     "facts_openapi", "concat('api', k, '/openapi.yaml')", r"concat('openapi: 3.1.0\ninfo: {title: Api ', k, ', version: \"', n, '\"}\npaths:\n  /things/{id}:\n    get: {operationId: get', k, '}\n    parameters: []\n    delete: {}\ncomponents:\n  schemas:\n    Thing', k % 4, ': {type: object}\n  securitySchemes:\n    key: {type: apiKey}\n')",
     [
-        ("module", "'Api ' || k", "CAST(n AS VARCHAR)", E_, E_, "true"), ("contract", "'GET /things/{id}'", "'get' || k", "'endpoint'", E_, "true"), ("contract", "'DELETE /things/{id}'", E_, "'endpoint'", E_, "true"), ("contract", "'Thing' || (k % 4)", E_, "'schema'", E_, "true"), ("secret", "'key'", E_, "'security'", E_, "true"),
+        ("module", "'Api ' || k", "CAST(n AS VARCHAR)", NONE, NONE, "true"), ("contract", "'GET /things/{id}'", "'get' || k", "'endpoint'", NONE, "true"), ("contract", "'DELETE /things/{id}'", NONE, "'endpoint'", NONE, "true"), ("contract", "'Thing' || (k % 4)", NONE, "'schema'", NONE, "true"), ("secret", "'key'", NONE, "'security'", NONE, "true"),
     ],
 )
 facts_query(
     "facts_graphql", "concat('q', k, '/s.graphql')", r"concat('# s\ntype Query {\n  thing', k, '(id: ID!): Thing\n  all: [Thing]\n}\n\"\"\"type Hidden {}\"\"\"\ntype Thing implements Node {\n  n', n, ': Int\n}\nenum E', k % 3, ' { A B }\n')",
-    [("contract", "'Query.thing' || k", E_, "'query'", E_, "true"), ("contract", "'Query.all'", E_, "'query'", E_, "true"), ("contract", "'Thing'", E_, "'type'", E_, "true"), ("contract", "'E' || (k % 3)", E_, "'enum'", E_, "true")],
+    [("contract", "'Query.thing' || k", NONE, "'query'", NONE, "true"), ("contract", "'Query.all'", NONE, "'query'", NONE, "true"), ("contract", "'Thing'", NONE, "'type'", NONE, "true"), ("contract", "'E' || (k % 3)", NONE, "'enum'", NONE, "true")],
 )
 facts_query(
     "facts_migration", "concat('s', n, '/migrations/V', k, '__add_things', if(k % 2 = 0, '.up', ''), '.sql')", r"concat('-- DROP TABLE no;\nCREATE TABLE IF NOT EXISTS things', k, ' (id int);\nINSERT INTO log VALUES (\'; x\');\n', if(k % 3 = 0, 'DROP TABLE old;\n', ''))",
     [("migration", "'add things'", "CAST(k AS VARCHAR)", "CASE WHEN k % 2 = 0 THEN 'up' ELSE '' END", "'things' || k || ',log' || CASE WHEN k % 3 = 0 THEN ',old' ELSE '' END", "true")],
 )
 facts_query(
-    "facts_codeowners", "concat('r', k, '/CODEOWNERS')", r"concat('# own\n/src/n', n, '/ @a', k % 5, ' @b # why\n*.go @g', k, '\nnobody\n')", [("owner", "'/src/n' || n || '/'", E_, E_, "'@a' || (k % 5) || ',@b'", "true"), ("owner", "'*.go'", E_, E_, "'@g' || k", "true")],
+    "facts_codeowners", "concat('r', k, '/CODEOWNERS')", r"concat('# own\n/src/n', n, '/ @a', k % 5, ' @b # why\n*.go @g', k, '\nnobody\n')", [("owner", "'/src/n' || n || '/'", NONE, NONE, "'@a' || (k % 5) || ',@b'", "true"), ("owner", "'*.go'", NONE, NONE, "'@g' || k", "true")],
 )
 facts_query(
     "facts_decision", "concat('docs/adr/', lpad(k, 4, '0'), '-x.md')", r"concat('# ', k, '. Choose n', n, '\n\n## Status\n\nAccepted\n\n## Decision\n\n- First part\n  goes on.\n- Second ', k, '.\n\n```\n- not a rule\n```\n')",
     [
-        ("module", "'Choose n' || n", "CAST(k AS VARCHAR)", "'adr'", E_, "true"), ("rule", "k || '. Choose n' || n || ' > Status'", "'Accepted'", E_, E_, "true"), ("rule", "k || '. Choose n' || n || ' > Decision'", "'First part goes on.'", E_, E_, "true"), ("rule", "k || '. Choose n' || n || ' > Decision'", "'Second ' || k || '.'", E_, E_, "true"),
+        ("module", "'Choose n' || n", "CAST(k AS VARCHAR)", "'adr'", NONE, "true"), ("rule", "k || '. Choose n' || n || ' > Status'", "'Accepted'", NONE, NONE, "true"), ("rule", "k || '. Choose n' || n || ' > Decision'", "'First part goes on.'", NONE, NONE, "true"), ("rule", "k || '. Choose n' || n || ' > Decision'", "'Second ' || k || '.'", NONE, NONE, "true"),
     ],
 )
 ORACLE["facts_decision"] = ORACLE["facts_decision"].replace("lpad(k, 4, '0')", "lpad(CAST(k AS VARCHAR), 4, '0')")
-facts_query("facts_lock", "concat('l', k, if(k % 2 = 0, '/go.sum', '/poetry.lock'))", "'anything: ['", [("lock", "CASE WHEN k % 2 = 0 THEN 'go.sum' ELSE 'poetry.lock' END", E_, E_, E_, "true")])
+facts_query("facts_lock", "concat('l', k, if(k % 2 = 0, '/go.sum', '/poetry.lock'))", "'anything: ['", [("lock", "CASE WHEN k % 2 = 0 THEN 'go.sum' ELSE 'poetry.lock' END", NONE, NONE, NONE, "true")])
 
 
 ROUTED = "CASE k % 6 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'web/package.json' WHEN 2 THEN 'k8s/a.yml' WHEN 3 THEN 'x.tfvars' WHEN 4 THEN 'conf/odd.xyz' ELSE 'deploy.cfg' END"
@@ -553,3 +552,29 @@ def source_imports(spark, d):
 def source_queries(spark, d):
     f = suppliers(spark, d, path="concat('q', k, '.py')", lang="'python'", content=r"concat('def f():\n    run(\'', if(k % 2 = 0, concat('SELECT a FROM bin', n, ' WHERE b = 1'), concat('INSERT INTO bin', n, ' (a) VALUES (1)')), '\')\n    log(\'select one of the rows from here\')\n    run(\'SELECT * FROM %s\')\n')")
     return extract.extract(f).select("path", F.explode("queries").alias("q")).select("path", "q.table", "q.access", "q.line")
+
+
+@query("""WITH t AS (SELECT doc_id, text, (SELECT max(n) FROM range(0, 101) r(n) WHERE strlen(left(text, n)) <= 100) AS h, (SELECT max(n) FROM range(0, 101) r(n) WHERE strlen(right(text, n)) <= 100) AS t FROM documents)
+SELECT doc_id, left(text, h) AS head, right(text, t) AS tail FROM t""")
+def text_caps(spark, d):
+    raw = F.col("text").cast("binary")
+    return L.table(spark, d, "documents").select("doc_id", files.head_bytes(raw, 100).alias("head"), files.tail_bytes(raw, 100).alias("tail"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(text, chr(10), chr(13) || chr(10)), '. ', '.' || chr(13)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents")
+def newline_normal(spark, d):
+    mixed = F.replace(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit(". "), F.lit(".\r"))
+    return L.table(spark, d, "documents").select("doc_id", text.newlines(mixed).alias("text"))
+
+
+@query("""WITH r AS (SELECT n_regionkey AS r, count(*) AS k FROM nation GROUP BY 1), m AS (SELECT sum(k * (k - 1) / 2) + count(*) - 1 AS m FROM r), d AS (SELECT r, k * (k - 1) + CASE WHEN r IN ((SELECT min(r) FROM r), (SELECT max(r) FROM r)) THEN 1 ELSE 2 END AS deg, k FROM r)
+SELECT CAST(round(1000000 * (sum(k * (k - 1) / 2) / m - sum(deg * deg) / (4.0 * m * m))) AS BIGINT) AS millionths FROM d, m GROUP BY m""")
+def cluster_modularity(spark, d):
+    nodes, edges = nation_cliques(spark, d)
+    return graph.modularity(edges, graph.clusters(nodes, edges)).select(F.round(F.col("modularity") * 1000000).cast("long").alias("millionths"))
+
+
+@query(f"""WITH x AS ({NEAR}) SELECT id, CAST(dense_rank() OVER (ORDER BY low) - 1 AS BIGINT) AS cluster FROM (SELECT id, min(id) OVER (PARTITION BY r) AS low FROM x)""")
+def spread_clusters(spark, d):
+    nodes, edges = nation_cliques(spark, d)
+    return graph.spread_clusters(nodes, edges)

@@ -255,10 +255,10 @@ def classify_files(spark, d):
     return classify.with_classes(_paths(spark, d)).select("p_partkey", "path", "class", F.col("is_test").alias("test"), "vendored")
 
 
-@query(f"WITH {PATHS} SELECT regexp_extract(f, '\\.([^.]*)$', 1) AS key, count(*) AS n FROM f WHERE {CLASSIFY} = 'other' GROUP BY 1")
+@query(f"WITH {PATHS}, g AS (SELECT f FROM f UNION ALL SELECT 'odd' || p_partkey % 4 || '/Oddfile' FROM f) SELECT CASE WHEN contains(f, '/Oddfile') THEN 'Oddfile' ELSE regexp_extract(f, '\\.([^.]*)$', 1) END AS key, count(*) AS n FROM g WHERE {CLASSIFY} = 'other' GROUP BY 1")
 def census(spark, d):
-    p = F.col("path")
-    return _paths(spark, d).where(classify.file_class(p) == "other").groupBy(classify.extension(p).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    p = _paths(spark, d)
+    return classify.census(p.select("path").unionByName(p.select(F.concat(F.lit("odd"), (F.col("p_partkey") % 4).cast("string"), F.lit("/Oddfile")).alias("path"))))
 
 
 @query("""SELECT lang, CAST(sum(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END) AS BIGINT) AS lines,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from cartograph.functions.text import SENSITIVE
+
 
 @dataclass
 class Fact:
@@ -63,11 +65,5 @@ def keys_of(v) -> list[str]:
     return [str(k) for k in v] if isinstance(v, dict) else [re.split(r"[=:]", x, maxsplit=1)[0].strip() if isinstance(x, str) else next(iter(x), "") if isinstance(x, dict) else "" for x in listing(v)]
 
 
-# Words that make a name sensitive; 15 of them, matched anywhere in the lower-cased name.
-SENSITIVE = (
-    "password", "passwd", "secret", "token", "apikey", "api_key", "credential", "private_key", "privatekey", "access_key", "accesskey", "auth", "cert", "signing", "session_key",
-)
-
-
 def sensitive(name: str) -> bool:
     return any(w in name.lower() for w in SENSITIVE)

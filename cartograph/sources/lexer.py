@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from cartograph.functions.text import ABBREVIATIONS
+
 
 @dataclass(frozen=True)
 class Syntax:
@@ -58,9 +60,6 @@ class Scan:
         return first_sentence(re.sub(r"(?m)^[\s/*!#]+|[\s*/]+$", " ", "\n".join(reversed(parts))))
 
 
-ABBREVIATIONS = ("e.g", "i.e", "etc", "cf", "vs", "approx", "resp", "viz", "al", "Mr", "Ms", "Mrs", "Dr", "Inc", "Ltd", "No", "vol", "fig", "ref")
-
-
 def first_sentence(text: str, clip: int = 240) -> str:
     """As the Column of that name in ``functions.text``, for one text."""
     words = text.split()

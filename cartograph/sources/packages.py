@@ -310,8 +310,3 @@ def makefile(source: str, path: str, out: Out) -> None:
             out.add("target", name, re.sub(r"^[@+-]+", "", m[2].strip()), line=line, phony=name in phony)
             if name in phony:
                 out.add("entrypoint", f"make {name}", line=line)
-
-
-def maven(source: str, path: str, out: Out) -> None:
-    """Not among the manifests that become dependencies: the file is known and left unread."""
-    out.complete = False

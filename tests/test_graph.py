@@ -96,6 +96,17 @@ def test_two_triangles_are_two_clusters_with_one_bridge(spark):
         groups[r.cluster].add(r.id)
     assert dict(groups) == {0: {"a1", "a2", "a3"}, 1: {"b1", "b2", "b3"}}
     assert [(r.src, r.dst) for r in graph.bridges(e, c).collect()] == [("a1", "b1")]
+    spread = graph.spread_clusters(nodes(spark, ["a1", "a2", "a3", "b1", "b2", "b3", "z"]), e)
+    assert {r.id: r.cluster for r in spread.collect()} == {"a1": 0, "a2": 0, "a3": 0, "b1": 1, "b2": 1, "b3": 1, "z": 2}
+    assert graph.modularity(e, c).first()[0] == pytest.approx(6 / 7 - 2 * (7 / 14) ** 2)
+
+
+def test_spread_clusters_come_near_the_sequential_ones(spark):
+    rng = random.Random(12)
+    pairs = [(f"n{i:03}", f"n{j:03}") for i in range(60) for j in range(i) if rng.random() < (0.5 if i // 15 == j // 15 else 0.02)]
+    e, n = edges(spark, pairs), nodes(spark, [f"n{i:03}" for i in range(60)])
+    one, two = (graph.modularity(e, c).first()[0] for c in (graph.clusters(n, e), graph.spread_clusters(n, e)))
+    assert two > 0.9 * one
 
 
 def test_degrees_hubs_dangling(spark):
