@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 #: Words hashed at once.
 HASH_WORDS = 200_000
 
