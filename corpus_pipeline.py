@@ -5,6 +5,11 @@ DataFrame; stages are written as Parquet and read again in between. All but the
 columns of documents: quality rules drop rejected documents, near-dedup keeps one document of each
 group, decontamination drops documents that carry a benchmark item, personal data are replaced in
 the text (n_chars follows), and mixing adds mix_rate and mix_copies and drops documents without a copy.
+
+Defined results: a null or empty text fails the quality rules. Rows that repeat a doc_id stay or go together in near-dedup and
+decontamination, where decisions are by id; quality rules and mixing decide by row. A null doc_id is kept by near-dedup unless another row has its
+text, and by decontamination. Empty tables give empty results; texts of any length are read whole; further columns pass through all stages
+(mix_rate and mix_copies are replaced by the last).
 """
 
 from __future__ import annotations
