@@ -100,14 +100,14 @@ def show(a: Analysis, top: int = 10) -> str:
     return "\n".join([*out, "gaps", *[f"  {x}" for x in report.lines(report.coverage(a.gaps))]]) + "\n"
 
 
-def compare(spark: SparkSession, root: str, old: str, new: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def compare(spark: SparkSession, root: str, old: str, new: str, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(changes of nodes, changes of edges, one row of counts) between two revisions; both are looked up before any tree is checked out.
 
-    Without a table of renames a move shows as a removal and an addition."""
+    Trees are checked out below ``folder``, which the workers read. Without a table of renames a move shows as a removal and an addition."""
     shas = [gitlog.revision(root, r) for r in (old, new)]
     found = []
     for sha in shas:
-        with gitlog.snapshot(root, sha) as tree:
+        with gitlog.snapshot(root, sha, folder) as tree:
             found.append(analyse(spark, tree, config.Config(no_history=True)))
     try:
         moved = gitlog.renames(spark, root, *shas)
