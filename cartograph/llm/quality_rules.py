@@ -26,6 +26,8 @@ SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
 #: Bits of a packed entry that hold a window's position (any place of an array); the others hold its hash.
 POSITION_BITS = 31
+#: Verdicts (one row per host) broadcast to the documents; more are joined by shuffle.
+BROADCAST_HOSTS = 500_000
 
 
 @dataclass(frozen=True)
@@ -176,9 +178,10 @@ def _judged(measured: DataFrame, name: str, host: str, rules: HostRules) -> Data
     """``measured`` (read twice, so a written table) with host_verdict and kept in the struct ``name``."""
     c, v = F.col(name), f"{name}v"
     failures = measured.select(F.col(host).alias("host"), (c["base_failed"] | c["soft_failed"]).alias("failed"))
-    # Hosts may be many (one row each): Spark picks broadcast or a skew-split sort-merge join by size.
-    verdicts = host_verdicts(failures, rules).select(F.col("host").alias(f"{v}h"), F.col("verdict").alias(v))
-    m = measured.join(verdicts, F.col(host).eqNullSafe(F.col(f"{v}h")), "left")
+    # A row per host: broadcast after a count, so that texts aren't shuffled; many hosts meet them in a skew-split sort-merge join.
+    verdicts = cut(host_verdicts(failures, rules).select(F.col("host").alias(f"{v}h"), F.col("verdict").alias(v)))
+    few = verdicts.count() <= BROADCAST_HOSTS
+    m = measured.join(F.broadcast(verdicts) if few else verdicts, F.col(host).eqNullSafe(F.col(f"{v}h")), "left")
     kept = ~c["base_failed"] & (F.col(v) != "reject") & ~((F.col(v) == "suspect") & c["soft_failed"])
     return m.withColumn(name, c.withField("host_verdict", F.col(v)).withField("kept", kept)).drop(v, f"{v}h")
 
