@@ -21,7 +21,7 @@ read whole; extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.session import cut
@@ -90,6 +90,19 @@ def hash_map(windows: DataFrame) -> DataFrame:
     return every.select(F.col("x.bits").alias("map"))
 
 
+def rarest(windows: DataFrame, totals: DataFrame, min_share: float) -> DataFrame:
+    """h, item_id: of an item's n windows the n - m + 1 that fewest items have, m being the fewest windows that contaminate.
+
+    Any m windows of the item hold one of these, so they find every pair."""
+    run = RUN_WORDS - WINDOW + 1
+    common = windows.groupBy("h").agg(F.count_distinct(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items"))
+    w = Window.partitionBy("item_id").orderBy("items", "h", "bpos")
+    ranked = windows.join(common, "h").withColumn("rank", F.row_number().over(w))
+    own = totals.withColumnRenamed("item_id", "_item")
+    least = F.least(F.ceil(F.col("n_windows") * min_share), F.when(F.col("n_plain") > 0, F.ceil(F.col("n_plain") * min_share)).otherwise(F.col("n_windows")), F.lit(run))
+    return ranked.join(own, F.col("item_id").eqNullSafe(F.col("_item"))).where(F.col("rank") <= F.col("n_windows") - F.greatest(least, F.lit(1)) + 1).select("h", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_share: float = 0.5) -> DataFrame:
     """One row per document and item that contaminates it: id, item_id, matched, n_windows, share, n_slots, verbatim."""
     windows, totals = (cut(x) for x in item_windows(items, item_id, item_text))
@@ -115,8 +128,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     d = d.join(F.broadcast(hash_map(windows)), F.lit(True))
     # The outer form keeps Spark from testing the array's size first, which would work it out twice.
     d = d.select("id", F.explode_outer(hits(F.col("w"), F.col("hashes"))).alias("x")).where("x IS NOT NULL").select("id", "x.*")
-    right = windows.withColumnRenamed("h", "bh")
-    met = d.join(F.broadcast(right) if small else right, (F.col("h") == F.col("bh")) & (~F.col("exact") | (F.col("bwords") == F.col("dwords"))))
+    # Only windows that an item has are written; the map lets others through.
+    own = windows.select("h").distinct()
+    d = cut(d.join(F.broadcast(own) if small else own, "h", "left_semi"))
+    # A text that an item contaminates holds so many of its windows that one of them is among the item's rarest; windows that many
+    # items share so make no pairs.
+    keys = rarest(windows, totals, min_share)
+    pairs = d.select("id", "h").distinct().join(F.broadcast(keys) if small else keys, "h").select("id", "item_id").distinct()
+    right = windows.select(F.col("item_id").alias("bitem"), F.col("h").alias("bh"), "size", "bpos", "bwords", "exact")
+    wanted = pairs.join(F.broadcast(right) if small else right, F.col("item_id").eqNullSafe(F.col("bitem"))).withColumnRenamed("id", "bid").drop("bitem")
+    met = d.join(wanted, F.col("id").eqNullSafe(F.col("bid")) & (F.col("h") == F.col("bh")) & (~F.col("exact") | (F.col("bwords") == F.col("dwords")))).drop("bid", "bh")
 
     filled = F.filter(
         F.arrays_zip("bwords", "dwords"), lambda x: x["bwords"].rlike(f"^[{NUMBER}-{UNIT}]")
