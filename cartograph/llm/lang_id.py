@@ -171,16 +171,16 @@ def decode(m: LanguageModel, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 500) -> LanguageModel:
-    """Fit on a bounded sample of ``labelled``: about ``per_lang`` rows a language by hash of the key (a null key counts as one id).
+    """Fit on a bounded sample of ``labelled``: about ``per_lang`` rows a language by hash of key and text, equal rows once.
 
     Workers count the n-grams of whole texts; texts don't leave them."""
     ok = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in ok.groupBy(lang).count().collect()}
     if not counts:
         return fit([], [])
-    share = F.xxhash64(F.lit("language"), F.col(key)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
+    share = F.xxhash64(F.lit("language"), F.col(key), F.col(text)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
     most = F.coalesce(*[F.when(F.col(lang) == k, F.lit(per_lang / n)) for k, n in sorted(counts.items())])
-    chosen = ok.where(share < most).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text).alias("k"))
+    chosen = ok.where(share < most).groupBy(F.xxhash64(key, text).alias("k"), F.col(lang).alias("lang")).agg(F.min(text).alias("text")).select("text", "lang", "k")
 
     def run(batches):
         for b in batches:

@@ -144,7 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = F.xxhash64(F.lit("mixing"), F.col(key)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
     most = F.coalesce(*[F.when(F.col("_d") == d, F.lit(max_rows / len(DOMAINS) / max(1.0, c))) for d, c in enumerate(n)])
     own = docs.select(key, F.col(text).alias("text")).where(F.col("text").isNotNull())
-    chosen = cut(own.join(F.broadcast(known.where(share < most)), key).select("text", F.col("_d").cast("int").alias("d")))
+    # An id counts once, however many rows repeat it (the least text).
+    chosen = own.join(F.broadcast(known.where(share < most)), key).groupBy(key).agg(F.min("text").alias("text"), F.max("_d").cast("int").alias("d"))
+    chosen = cut(chosen.select("text", "d"))
     size = 1 << BUCKET_BITS
 
     def words(batches):

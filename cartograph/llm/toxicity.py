@@ -133,7 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     most = F.when(F.col("_y") > 0, max_rows / 2 / max(1, counts.get(1, 0))).otherwise(max_rows / 2 / max(1, counts.get(0, 0)))
     chosen = known.where(share < most)
     own = docs.select(key, F.col(text).alias("text")).where(F.col("text").isNotNull())
-    r, b, v, y = text_features(own.join(F.broadcast(chosen), key).select("text", F.col("_y").alias("y")))
+    # An id counts once, however many rows repeat it (the least text).
+    once = own.join(F.broadcast(chosen), key).groupBy(key).agg(F.min("text").alias("text"), F.max("_y").alias("y"))
+    r, b, v, y = text_features(once.select("text", "y"))
     return fit(r, b, v, y if y.max(initial=0) > 1 or not len(y) else graded(r, b, y))
 
 
