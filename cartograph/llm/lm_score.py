@@ -478,7 +478,8 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str, text: str, rounds: int
             if weight:
                 yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()), pa.array([weight])], ["p", "n"])
 
-        merged, parts = cut(dealt.mapInArrow(run, "p binary, n bigint")), shards
+        merged = cut(dealt.mapInArrow(run, "p binary, n bigint"))
+        parts = merged.count()  # not the shards asked for: a session may deal into more
         while parts > 8:  # averages of up to 32 at a time, then of those
             parts = -(-parts // 32)
             merged = cut(merged.coalesce(parts).mapInArrow(average, "p binary, n bigint"))
