@@ -456,8 +456,9 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str, text: str, rounds: int
     sizes = {r[0]: r[1] for r in tokens.groupBy(turn.alias("k")).count().collect()}
     for k, n in sorted(sizes.items()):
         shards = max(1, round(n / shard_docs))
-        # One task a shard (a written table's files would be packed into fewer), a shard's documents in a fixed order.
-        dealt = tokens.where(turn == k).repartition(shards, "o")
+        # One task a shard (a written table's files would be packed into fewer), a shard's documents in a fixed order. A session
+        # that deals into more partitions than asked for still makes as many shards.
+        dealt = tokens.where(turn == k).repartition(shards, "o").coalesce(shards)
         shared = spark.sparkContext.broadcast(p)
 
         def run(batches, shared=shared):
