@@ -5,6 +5,8 @@ Everything is a join on equal keys or an aggregation; what neither a file nor a
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +54,16 @@ def wanted(df: DataFrame, kind: str, prefix: str, key: Column, name: Column, **m
     return df.select(F.lit(kind).alias("kind"), F.lit(prefix).alias("prefix"), key.alias("key"), name.alias("name"), *text.values(), *lists.values(), attrs)
 
 
-def module_nodes(source: DataFrame, facts: DataFrame) -> DataFrame:
-    """Directories with source. source(path, lang, folder, is_test), facts of extraction."""
-    f = source.join(facts.select("path", "package", "symbols", "entrypoints", "incomplete"), "path", "left")
-    shown = F.transform(F.filter(F.coalesce("symbols", F.array().cast(facts.schema["symbols"].dataType)), lambda s: s["exported"]), lambda s: F.when(s["recv"] != "", F.concat(s["recv"], F.lit("."), s["name"])).otherwise(s["name"]))
+def named_module(folders: DataFrame, **more: Column) -> DataFrame:
+    """Rows for ``assign_ids`` of directories with source."""
+    folder = F.col("folder")
+    return wanted(folders, "Module", MODULE, folder, F.when(folder == "", "root").otherwise(F.regexp_extract(folder, "([^/]*)$", 1)), path=folder, **more)
+
+
+def module_nodes(code: DataFrame) -> DataFrame:
+    """Directories with source. code: extraction's facts (null where no reader is) with folder and is_test."""
+    f = code.select("path", "lang", "folder", "is_test", "package", "symbols", "entrypoints", "incomplete")
+    shown = F.transform(F.filter(F.coalesce("symbols", F.array().cast(code.schema["symbols"].dataType)), lambda s: s["exported"]), lambda s: F.when(s["recv"] != "", F.concat(s["recv"], F.lit("."), s["name"])).otherwise(s["name"]))
     f = f.withColumn("shown", F.when(~F.col("is_test"), shown).otherwise(_empty()))
     votes = f.withColumn("_header", (F.col("lang") == "c") & F.endswith("path", F.lit(".h")))
     # The language of most files; headers count only where there is nothing else.
@@ -69,8 +77,8 @@ def module_nodes(source: DataFrame, facts: DataFrame) -> DataFrame:
     what = F.concat_ws(
         "; ", counted(n, F.concat("lang", F.lit(" file"))), F.when(x > 0, counted(x, F.lit("exported symbol"))), F.when(F.col("eps") != "", F.concat(F.lit("entrypoint "), "eps")), F.when((F.col("package") != "") & (F.col("package") != base), F.concat(F.lit("package "), "package"))
     )
-    return wanted(
-        g, "Module", MODULE, F.col("folder"), F.when(F.col("folder") == "", "root").otherwise(base), title=F.when(F.col("folder") == "", "(repository root)").otherwise(F.col("folder")), path=F.col("folder"), lang=F.col("lang"), files=F.col("files"), exports=F.col("exports"),
+    return named_module(
+        g, title=F.when(F.col("folder") == "", "(repository root)").otherwise(F.col("folder")), lang=F.col("lang"), files=F.col("files"), exports=F.col("exports"),
         description=F.concat(capitalised(what), F.lit(".")), tags=tags(F.when(F.col("eps") != "", F.lit("entrypoint")), F.when(F.col("partial") > 0, F.lit("partial-extraction"))),
         attrs=attributes(package=F.col("package"), entrypoints=F.col("eps"), files=n, exported=x, incomplete_files=F.when(F.col("partial") > 0, F.col("partial"))),
     )
@@ -257,65 +265,169 @@ def owners(facts: DataFrame, modules: DataFrame) -> DataFrame:
     return below.join(o, "scope").groupBy("id").agg(joined(F.flatten(F.collect_list("items"))).alias("owners"))
 
 
-def test_edges(source: DataFrame, facts: DataFrame, linked: DataFrame, modules: DataFrame) -> DataFrame:
+def test_edges(code: DataFrame, resolved: DataFrame, modules: DataFrame) -> DataFrame:
     """Modules that a directory of tests only imports (JVM tests: the module of their package) are tested by it."""
+    source = code.select("path", "lang", "folder", "is_test")
     prod = source.where("NOT is_test").select("folder").distinct()
     tests = source.where("is_test").join(prod, "folder", "left_anti").join(modules.withColumnRenamed("id", "test"), "folder")
-    named = facts.where("package <> ''").select("path", "package").join(tests.where(F.col("lang").isin(*I.JVM)), "path")
-    home = facts.where("package <> ''").select("path", "package").join(source.where(F.col("lang").isin(*I.JVM) & ~F.col("is_test")), "path").join(modules, "folder").groupBy("package").agg(F.min("id").alias("id"))
+    named = code.where("package <> ''").select("path", "package").join(tests.where(F.col("lang").isin(*I.JVM)), "path")
+    home = code.where("package <> ''").where(F.col("lang").isin(*I.JVM) & ~F.col("is_test")).select("package", "folder").join(modules, "folder").groupBy("package").agg(F.min("id").alias("id"))
     by_package = named.join(home, "package").where("id <> test").select("path", "test", "id")
     rest = tests.select("path", "test").join(by_package.select("path"), "path", "left_anti")
-    by_import = linked.where("internal AND target IS NOT NULL").select("path", F.col("target").alias("id")).join(rest, "path").select("path", "test", "id")
+    imports = code.where("is_test").select("path", "lang", "folder", F.explode("imports.raw").alias("raw")).join(rest, "path")
+    by_import = imports.join(resolved.where("internal AND target IS NOT NULL"), [*I.KEY]).select("path", "test", F.col("target").alias("id"))
     return by_package.unionByName(by_import).select(*edge("id", "test", F.lit("tested_by"), F.col("path"), 1))
 
 
-def gap(df: DataFrame, what: str, name: Column) -> DataFrame:
-    return df.groupBy(F.lit(what).alias("what"), name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+def gap(df: DataFrame, what: str, name: Column, n: Column | None = None) -> DataFrame:
+    """Rows, or what ``n`` counts of them, by name."""
+    return df.groupBy(F.lit(what).alias("what"), name.alias("name")).agg((F.count(F.lit(1)) if n is None else F.sum(n)).alias("n"))
+
+
+class Build:
+    """The graph of files (path, class, lang, content, is_test) and, if given, of a history (``history`` changes).
+
+    Each part is worked out when it is asked for, and what parts share once: ids and nodes need no imports, gaps no edges. Parts for kinds of manifests,
+    languages or tests that the corpus doesn't have are left out of the plans."""
+
+    def __init__(self, files: DataFrame, changes: DataFrame | None = None, include_vendored: bool = False):
+        # Written once: classes are worked out once, and every reader below reads what it needs.
+        kept = files.where(classify.analysed(F.col("path"), include_vendored))
+        self.own = cut(kept.select("path", "class", "lang", "content", "is_test", *[c for c in ("truncated",) if c in files.columns]))
+        self.changes = changes
+
+    @cached_property
+    def code(self) -> DataFrame:
+        """Every source file with folder, is_test and extraction's facts, null where its language has no reader."""
+        source = self.own.where("class = 'source' AND content <> ''").withColumn("folder", folder_of(F.col("path")))
+        return cut(extract.extract(source.drop("class"), carry=("folder string", "is_test boolean")))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return cut(manifests.read_manifests(self.own.where("content IS NOT NULL").select("path", "content")).where("fact IS NOT NULL"))
+
+    @cached_property
+    def said(self) -> set[tuple[str, str]]:
+        """Kinds and facts of the manifests."""
+        return {(r.kind, r.fact) for r in self.facts.select("kind", "fact").distinct().collect()}
+
+    def has(self, fact: str = "", *kinds: str) -> bool:
+        return any((not fact or f == fact) and (not kinds or k in kinds) for k, f in self.said)
+
+    @cached_property
+    def seen(self):
+        """Whether the source has tests, files not read in full, and queries of unknown tables."""
+        return self.code.agg(F.coalesce(F.bool_or("is_test"), F.lit(False)).alias("tests"), F.coalesce(F.bool_or("incomplete"), F.lit(False)).alias("partial"), F.coalesce(F.bool_or(F.col("unnamed_queries") > 0), F.lit(False)).alias("unnamed")).first()
+
+    def others(self) -> list[DataFrame]:
+        """Nodes of manifests."""
+        f = self.facts
+        made = (
+            ((("dep",),), external_nodes), ((("service",),), service_nodes), ((("", "proto", "openapi", "graphql"),), interface_nodes), ((("migration",),), data_nodes), ((("job",),), pipeline_nodes), ((("", "adr", "agent-rules"),), document_nodes),
+        )
+        return [nodes(f) for needs, nodes in made if all(self.has(*n) for n in needs)]
+
+    @cached_property
+    def full(self) -> DataFrame:
+        every = module_nodes(self.code)
+        for p in self.others():
+            every = every.unionByName(p)
+        return cut(resolve.assign_ids(every))
+
+    @cached_property
+    def ids(self) -> DataFrame:
+        """The nodes' ids without what modules hold, unless the whole nodes are there."""
+        if "full" in self.__dict__:
+            return self.full
+        every = named_module(self.code.select("folder").distinct())
+        for p in self.others():
+            every = every.unionByName(p)
+        return cut(resolve.assign_ids(every.select("kind", "prefix", "key", "name", "path", "tags", "attrs")))
+
+    @property
+    def modules(self) -> DataFrame:
+        return self.ids.where("kind = 'Module'").select(F.col("path").alias("folder"), "id")
+
+    @property
+    def externals(self) -> DataFrame:
+        return self.ids.where("kind = 'External'").select(F.col("attrs")["ecosystem"].alias("ecosystem"), F.col("attrs")["name"].alias("name"), "id")
+
+    @cached_property
+    def refs(self) -> DataFrame:
+        """what (imports, reads, writes), lang, folder, raw: what the files of a directory name, how often (n), and the first file by ``ord`` that does."""
+        named = F.concat(
+            F.transform(F.coalesce("imports.raw", _empty()), lambda x: F.struct(F.lit("imports").alias("what"), F.col("lang").alias("lang"), x.alias("raw"))),
+            F.transform(F.coalesce("queries", F.array().cast(self.code.schema["queries"].dataType)), lambda q: F.struct(q["access"].alias("what"), F.lit("").alias("lang"), q["table"].alias("raw"))),
+        )
+        r = self.code.select("path", "folder", F.explode(named).alias("r")).select("path", "folder", "r.*").withColumn("ord", F.xxhash64("path"))
+        return cut(r.groupBy("what", *I.KEY).agg(F.count(F.lit(1)).alias("n"), F.min_by("path", "ord").alias("source"), F.min("ord").alias("ord")))
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        names = self.refs.where("what = 'imports'").select(*I.KEY)
+        return cut(I.resolve_names(names, self.code.select("path", "lang", "folder", "is_test"), self.modules, self.externals, self.code.select("path", "package"), self.facts, self.said))
+
+    @property
+    def linked(self) -> DataFrame:
+        return self.refs.where("what = 'imports'").join(self.resolved, [*I.KEY])
+
+    @property
+    def known(self) -> DataFrame:
+        """Uses of tables with the table's id, null for unknown ones."""
+        return self.refs.where("what <> 'imports'").withColumnRenamed("raw", "key").join(self.ids.where("kind = 'Data'").select("key", "id"), "key", "left")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """src, dst, kind, confidence, weight, source."""
+        facts, modules, externals = self.facts, self.modules, self.externals
+        ends = self.linked.where("target IS NOT NULL").select("folder", "target", F.lit("imports").alias("kind"), F.col("n").alias("weight"), "source", "ord")
+        ends = ends.unionByName(self.known.where("id IS NOT NULL").select("folder", F.col("id").alias("target"), F.col("what").alias("kind"), F.lit(0).cast("long").alias("weight"), "source", "ord"))
+        edges = ends.join(modules, "folder").select(F.col("id").alias("src"), F.col("target").alias("dst"), "kind", F.lit("extracted").alias("confidence"), "weight", "source", "ord")
+        parts = [dependency_edges(facts, externals, modules)] if self.has("dep") else []
+        parts += [service_edges(facts, self.ids, modules)] if self.has("service") else []
+        parts += [pipeline_edges(facts, self.ids, externals)] if self.has("job") else []
+        parts += [document_edges(self.ids, modules)] if self.has("", "agent-rules") else []
+        parts += [test_edges(self.code, self.resolved, modules)] if self.seen.tests else []
+        for p in parts:
+            edges = edges.unionByName(p)
+        merged = graph.merge_edges(edges)
+        return merged if self.changes is None else merged.unionByName(self.history[1])
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        """what, name, n."""
+        name = F.concat_ws(" ", "lang", "raw")
+        gaps = gap(self.linked.where("target IS NULL AND internal"), "unlinked import", name, F.col("n")).unionByName(gap(self.linked.where("target IS NULL AND NOT internal AND NOT shipped"), "unresolved import", name, F.col("n")))
+        gaps = gaps.unionByName(gap(self.known.where("id IS NULL"), "unknown table", F.col("key"), F.col("n")))
+        if self.seen.unnamed:
+            gaps = gaps.unionByName(self.code.where("unnamed_queries > 0").select(F.lit("interpolated table").alias("what"), F.col("path").alias("name"), F.col("unnamed_queries").cast("long").alias("n")))
+        if self.seen.partial:
+            gaps = gaps.unionByName(gap(self.code.where("incomplete"), "incomplete source", F.col("path")))
+        gaps = gaps.unionByName(gap(self.facts.where("NOT complete").select("path").distinct(), "incomplete manifest", F.col("path")))
+        return gaps.unionByName(manifests.unread(self.own).select(F.lit("unread manifest").alias("what"), F.col("key").alias("name"), "n"))
+
+    @cached_property
+    def history(self) -> tuple[DataFrame, DataFrame]:
+        return history_attributes(self.changes, self.modules)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """id, kind, title, description, path, lang, tags, attrs, files, exports."""
+        full, extra = self.full, None
+        if self.has("owner"):
+            extra = owners(self.facts, self.modules).select("id", attributes(owners=F.col("owners")).alias("more"))
+        if self.changes is not None:
+            extra = self.history[0] if extra is None else extra.unionByName(self.history[0])
+        if extra is not None:
+            extra = extra.groupBy("id").agg(F.map_from_entries(F.array_sort(F.flatten(F.collect_list(F.map_entries("more"))))).alias("more"))
+            full = full.join(extra, "id", "left").withColumn("attrs", F.when(F.col("more").isNotNull(), F.map_concat("attrs", "more")).otherwise(F.col("attrs")))
+        return full.select("id", "kind", "title", "description", "path", "lang", "tags", "attrs", "files", "exports")
 
 
 def build(files: DataFrame, changes: DataFrame | None = None, include_vendored: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, gaps) of files (path, class, lang, content, is_test) and, if given, of a history (``history`` changes).
-
-    nodes: id, kind, title, description, path, lang, tags, attrs, files, exports; edges: src, dst, kind, confidence, weight, source;
-    gaps: what, name, n."""
-    # Written once: classes are worked out once, and every reader below reads what it needs.
-    own = cut(files.select("path", "class", "lang", "content", "is_test", *[c for c in ("truncated",) if c in files.columns]))
-    own = own.where(classify.analysed(F.col("path"), include_vendored))
-    source = own.where("class = 'source' AND content <> ''").select("path", "lang", folder_of(F.col("path")).alias("folder"), "is_test")
-    code = cut(extract.extract(own.where("class = 'source' AND content <> ''").drop("class", "is_test")))
-    facts = cut(manifests.read_manifests(own.where("content IS NOT NULL").select("path", "content")).where("fact IS NOT NULL"))
-    parts = [module_nodes(source, code), external_nodes(facts), service_nodes(facts), interface_nodes(facts), data_nodes(facts), pipeline_nodes(facts), document_nodes(facts)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    nodes = cut(resolve.assign_ids(every))
-    modules = nodes.where("kind = 'Module'").select(F.col("path").alias("folder"), "id")
-    externals = nodes.where("kind = 'External'").select(F.col("attrs")["ecosystem"].alias("ecosystem"), F.col("attrs")["name"].alias("name"), "id")
-
-    imports = code.select("path", "lang", folder_of(F.col("path")).alias("folder"), F.posexplode("imports").alias("n", "i")).select("path", "lang", "folder", "n", F.col("i.raw").alias("raw"))
-    linked = cut(I.resolve_imports(imports, source, modules, externals, code.select("path", "package"), facts))
-    linked = linked.join(modules.withColumnRenamed("id", "src"), "folder")
-    edges = linked.where("target IS NOT NULL").select(*edge("src", "target", F.lit("imports"), F.col("path"), 1))
-    access = code.select("path", folder_of(F.col("path")).alias("folder"), F.explode("queries").alias("q")).select("path", "folder", F.col("q.table").alias("key"), "q.access").join(modules.withColumnRenamed("id", "src"), "folder")
-    known = access.join(nodes.where("kind = 'Data'").select("key", "id"), "key", "left")
-    edges = edges.unionByName(known.where("id IS NOT NULL").select(*edge("src", "id", F.col("access"), F.col("path"))))
-    for more in (dependency_edges(facts, externals, modules), service_edges(facts, nodes, modules), pipeline_edges(facts, nodes, externals), document_edges(nodes, modules), test_edges(source, code, linked, modules)):
-        edges = edges.unionByName(more)
-    merged = graph.merge_edges(edges)
-
-    gaps = gap(linked.where("target IS NULL AND internal"), "unlinked import", F.concat_ws(" ", "lang", "raw")).unionByName(gap(linked.where("target IS NULL AND NOT internal AND NOT shipped"), "unresolved import", F.concat_ws(" ", "lang", "raw")))
-    gaps = gaps.unionByName(gap(known.where("id IS NULL"), "unknown table", F.col("key"))).unionByName(code.where("unnamed_queries > 0").select(F.lit("interpolated table").alias("what"), F.col("path").alias("name"), F.col("unnamed_queries").cast("long").alias("n")))
-    gaps = gaps.unionByName(gap(facts.where("NOT complete").select("path").distinct(), "incomplete manifest", F.col("path"))).unionByName(gap(code.where("incomplete"), "incomplete source", F.col("path")))
-    gaps = gaps.unionByName(manifests.unread(own).select(F.lit("unread manifest").alias("what"), F.col("key").alias("name"), "n"))
-
-    extra = owners(facts, modules).select("id", attributes(owners=F.col("owners")).alias("more"))
-    if changes is not None:
-        h, pairs = history_attributes(changes, modules)
-        extra = extra.unionByName(h)
-        merged = merged.unionByName(pairs)
-    extra = extra.groupBy("id").agg(F.map_from_entries(F.array_sort(F.flatten(F.collect_list(F.map_entries("more"))))).alias("more"))
-    out = nodes.join(extra, "id", "left").withColumn("attrs", F.when(F.col("more").isNotNull(), F.map_concat("attrs", "more")).otherwise(F.col("attrs")))
-    return out.select("id", "kind", "title", "description", "path", "lang", "tags", "attrs", "files", "exports"), merged, gaps
+    """(nodes, edges, gaps) of ``Build``."""
+    b = Build(files, changes, include_vendored)
+    return b.nodes, b.edges, b.gaps
 
 
 def history_attributes(changes: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,9 @@ PSR-4 prefix), ``a:`` a path alias of a directory, ``d:`` a dependency of an eco
 
 Prefix rules (Go modules, aliases, PSR-4, packages) explode the import's prefixes and join them by equality, so the work is the number of
 segments and not of rules.
+
+What an import means depends on its language, the directory it stands in and its spelling alone, so each such name (``KEY``) is resolved once, however many
+files hold it; rules of languages and files of kinds that no name asks for are left out of the plan.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ JVM = ("java", "kotlin")
 ECOSYSTEM = {"python": "pypi", **dict.fromkeys(SCRIPT, "npm"), "go": "go", "rust": "crates.io", "csharp": "nuget", "php": "composer", "ruby": "rubygems"}
 C_ROOTS = ("include", "src", "", "lib", "source")
 RUBY_ROOTS = ("", "lib")
+#: What a resolution depends on.
+KEY = ("lang", "folder", "raw")
+#: Asked-for candidates that are broadcast to the corpus's files; more are joined by shuffle.
+BROADCAST_CANDIDATES = 200_000
 # Import names of Python packages that differ from the package's name.
 PYTHON_NAMES = {
     "attrs": ("attr", "attrs"), "beautifulsoup4": ("bs4",), "opencv-python": ("cv2",), "python-dateutil": ("dateutil",), "python-dotenv": ("dotenv",), "protobuf": ("google",),
@@ -169,26 +176,26 @@ def effective_aliases(facts: DataFrame) -> DataFrame:
 
 
 def alias_candidates(imports: DataFrame, aliases: DataFrame) -> DataFrame:
-    """path, n, rank, candidate, internal of imports that an alias of an enclosing directory matches, nearest directory and longest prefix first."""
+    """KEY, rank, candidate, internal of imports that an alias of an enclosing directory matches, nearest directory and longest prefix first."""
     fixed = F.regexp_extract("pattern", r"^([^*]*)", 1)
     a = aliases.select("scope", "pattern", "targets", fixed.alias("pre"), F.regexp_extract("pattern", r"^[^*]*\*?(.*)$", 1).alias("post"), F.contains("pattern", F.lit("*")).alias("open"))
     a = a.withColumn("key", F.when(F.col("open"), F.regexp_extract("pre", "^(.*)/[^/]*$", 1)).otherwise(F.col("pre")))
     i = imports.where(F.col("lang").isin(*SCRIPT) & ~F.col("raw").rlike(r"^\.{1,2}(/|$)"))
-    i = i.select("path", "n", "raw", F.explode(ancestors(F.col("folder"))).alias("scope"), F.concat(F.array(F.lit("")), resolve.prefixes(F.col("raw"))).alias("keys")).select("path", "n", "raw", "scope", F.explode("keys").alias("key"))
+    i = i.select(*KEY, F.explode(ancestors(F.col("folder"))).alias("scope"), F.concat(F.array(F.lit("")), resolve.prefixes(F.col("raw"))).alias("keys")).select(*KEY, "scope", F.explode("keys").alias("key"))
     m = i.join(a, ["scope", "key"]).where((~F.col("open") & (F.col("raw") == F.col("pattern"))) | (F.col("open") & F.startswith("raw", F.col("pre")) & F.endswith("raw", F.col("post")) & (F.length("raw") >= F.length("pre") + F.length("post"))))
     part = F.substr("raw", F.length("pre") + 1, F.length("raw") - F.length("pre") - F.length("post"))
-    m = m.select("path", "n", F.length("scope").alias("depth"), F.length("pre").alias("len"), F.col("pattern"), F.posexplode("targets").alias("k", "t"), part.alias("part"))
+    m = m.select(*KEY, F.length("scope").alias("depth"), F.length("pre").alias("len"), F.col("pattern"), F.posexplode("targets").alias("k", "t"), part.alias("part"))
     to = normal_path(F.when(F.contains("t", F.lit("*")), F.replace("t", F.lit("*"), F.col("part"))).otherwise(F.col("t")))
     keys = F.array(F.concat(F.lit("s:"), stem(to)), F.concat(F.lit("s:"), to), F.concat(F.lit("s:"), join_path(to, "index")), F.concat(F.lit("m:"), to))
-    ranked = m.select("path", "n", (100_000 - F.col("depth") * 200 - F.col("len")).alias("base"), "k", "pattern", F.posexplode_outer(keys).alias("j", "candidate")).where("candidate IS NOT NULL")
-    return ranked.select("path", "n", (F.col("base") * 100 + F.col("k") * 4 + F.col("j")).cast("long").alias("rank"), "candidate", (F.col("pattern") != "*").alias("internal"))
+    ranked = m.select(*KEY, (100_000 - F.col("depth") * 200 - F.col("len")).alias("base"), "k", "pattern", F.posexplode_outer(keys).alias("j", "candidate")).where("candidate IS NOT NULL")
+    return ranked.select(*KEY, (F.col("base") * 100 + F.col("k") * 4 + F.col("j")).cast("long").alias("rank"), "candidate", (F.col("pattern") != "*").alias("internal"))
 
 
 def root_candidates(imports: DataFrame, roots: DataFrame) -> DataFrame:
-    """path, n, rank, candidate, internal of imports below a named root: roots(grp, prefix, dir, internal); longest prefix first."""
+    """KEY, rank, candidate, internal of imports below a named root: roots(grp, prefix, dir, internal); longest prefix first."""
     grp = F.when(F.col("lang") == "go", "go").when(F.col("lang") == "php", "php").when(F.col("lang") == "rust", "rust").when(F.col("lang").isin(*SCRIPT), "npm")
     i = imports.withColumn("grp", grp).where("grp IS NOT NULL").withColumn("s", slashed(F.col("lang"), F.col("raw")))
-    i = i.select("path", "n", "grp", "s", F.explode(resolve.prefixes(F.col("s"))).alias("prefix"))
+    i = i.select(*KEY, "grp", "s", F.explode(resolve.prefixes(F.col("s"))).alias("prefix"))
     m = i.join(roots, ["grp", "prefix"]).withColumn("rest", F.substr("s", F.length("prefix") + 2))
     to = normal_path(join_path(F.col("dir"), F.col("rest")))
     keys = (
@@ -197,35 +204,49 @@ def root_candidates(imports: DataFrame, roots: DataFrame) -> DataFrame:
         .when(F.col("grp") == "rust", F.concat(keyed("s", F.array(join_path(F.col("dir"), "src", F.col("rest")), join_path(F.col("dir"), "src", "lib"))), keyed("m", F.array(join_path(F.col("dir"), "src")))))
         .otherwise(F.concat(keyed("s", F.array(stem(to), to, join_path(F.col("dir"), "src", F.col("rest")), join_path(to, "index"), join_path(to, "src", "index"))), keyed("m", F.array(to, join_path(to, "src"), F.col("dir"), join_path(F.col("dir"), "src")))))
     )
-    m = m.select("path", "n", F.length("prefix").alias("len"), "internal", F.posexplode_outer(keys).alias("j", "candidate")).where("candidate IS NOT NULL")
-    return m.select("path", "n", ((10_000 - F.col("len")) * 100 + F.col("j")).cast("long").alias("rank"), "candidate", "internal")
+    m = m.select(*KEY, F.length("prefix").alias("len"), "internal", F.posexplode_outer(keys).alias("j", "candidate")).where("candidate IS NOT NULL")
+    return m.select(*KEY, ((10_000 - F.col("len")) * 100 + F.col("j")).cast("long").alias("rank"), "candidate", "internal")
 
 
 def package_candidates(imports: DataFrame) -> DataFrame:
-    """path, n, rank, candidate of JVM and C# imports: declared packages by dotted prefix, longest first."""
+    """KEY, rank, candidate of JVM and C# imports: declared packages by dotted prefix, longest first."""
     i = imports.where(F.col("lang").isin(*JVM, "csharp"))
     names = F.reverse(resolve.prefixes(F.regexp_replace("raw", r"\.\*$", ""), "."))
     grp = F.when(F.col("lang") == "csharp", "csharp").otherwise("jvm")
-    i = i.select("path", "n", grp.alias("grp"), F.posexplode(names).alias("rank", "p"))
-    return i.select("path", "n", F.col("rank").cast("long").alias("rank"), F.concat(F.lit("p:"), "grp", F.lit(":"), "p").alias("candidate"))
+    i = i.select(*KEY, grp.alias("grp"), F.posexplode(names).alias("rank", "p"))
+    return i.select(*KEY, F.col("rank").cast("long").alias("rank"), F.concat(F.lit("p:"), "grp", F.lit(":"), "p").alias("candidate"))
 
 
-def corpus_targets(source: DataFrame, modules: DataFrame, facts: DataFrame, roots: DataFrame) -> DataFrame:
-    """candidate, target of what the corpus has. source(path, lang, folder, is_test), modules(folder, id), facts(path, package), Python roots(dir)."""
+def corpus_targets(source: DataFrame, modules: DataFrame, packages: DataFrame, roots: DataFrame, asked: DataFrame, kinds: set[str]) -> DataFrame:
+    """candidate, target of what the corpus has, of the asked-for candidates. source(path, lang, folder, is_test), modules(folder, id), packages(path, package),
+    Python roots(dir), asked(candidate), kinds: of the candidates asked for (see above)."""
     own = source.join(modules, "folder")
-    m = modules.select(F.concat(F.lit("m:"), "folder").alias("candidate"), F.col("id").alias("target"))
-    f = own.select(F.concat(F.lit("f:"), "path").alias("candidate"), F.col("id").alias("target"))
-    s = own.select(F.concat(F.lit("s:"), stem(F.col("path"))).alias("candidate"), F.col("id").alias("target"))
-    # A Python file below a root, under its dotted name from there (src/ and lib/ left off), and its directory.
-    py = own.where("lang = 'python'").select("path", "id", F.explode(ancestors(F.col("folder"))).alias("dir"))
-    py = py.join(roots.select("dir").union(roots.sparkSession.range(1).select(F.lit("").alias("dir"))).distinct(), "dir")
-    rest = F.when(F.col("dir") == "", F.col("path")).otherwise(F.substr("path", F.length("dir") + 2))
-    rest = F.regexp_replace(rest, r"^(src|lib|python)/", "")
-    name = F.regexp_replace(stem(rest), "/?__init__$", "")
-    y = py.select("dir", "id", F.explode(F.array(name, folder_of(rest))).alias("p")).where("p <> ''").select(F.concat(F.lit("y:"), "dir", F.lit("|"), F.translate("p", "/", ".")).alias("candidate"), F.col("id").alias("target"))
-    pk = facts.where("package <> ''").join(own.where(F.col("lang").isin(*JVM, "csharp")).select("path", "lang", "id", "is_test"), "path")
-    pk = pk.groupBy(F.concat(F.lit("p:"), F.when(F.col("lang") == "csharp", "csharp").otherwise("jvm"), F.lit(":"), "package").alias("candidate")).agg(F.min_by("id", F.struct("is_test", "id")).alias("target"))
-    return m.unionByName(f).unionByName(s).unionByName(y).groupBy("candidate").agg(F.min("target").alias("target")).unionByName(pk)
+    parts = []
+    if "m" in kinds:
+        parts.append(modules.select(F.concat(F.lit("m:"), "folder").alias("candidate"), F.col("id").alias("target")))
+    if "f" in kinds:
+        parts.append(own.select(F.concat(F.lit("f:"), "path").alias("candidate"), F.col("id").alias("target")))
+    if "s" in kinds:
+        parts.append(own.select(F.concat(F.lit("s:"), stem(F.col("path"))).alias("candidate"), F.col("id").alias("target")))
+    if "y" in kinds:
+        # A Python file below a root, under its dotted name from there (src/ and lib/ left off), and its directory. What depends on the directory alone is worked out by directory.
+        at = modules.select("folder", "id", F.explode(ancestors(F.col("folder"))).alias("dir")).join(roots.select("dir").union(roots.sparkSession.range(1).select(F.lit("").alias("dir"))).distinct(), "dir")
+        rest = F.when(F.col("folder") == F.col("dir"), "").otherwise(F.concat(F.when(F.col("dir") == "", F.col("folder")).otherwise(F.substr("folder", F.length("dir") + 2)), F.lit("/")))
+        at = at.select("folder", "dir", "id", F.regexp_replace(rest, r"^(src|lib|python)/", "").alias("below"))
+        py = source.where("lang = 'python'")
+        name = F.regexp_replace(F.concat("below", stem(F.regexp_extract("path", "([^/]*)$", 1))), "/?__init__$", "")
+        y = py.join(at, "folder").select("dir", "id", name.alias("p")).unionByName(at.join(py.select("folder").distinct(), "folder", "left_semi").select("dir", "id", F.regexp_replace("below", "/$", "").alias("p")))
+        parts.append(y.where("p <> ''").select(F.concat(F.lit("y:"), "dir", F.lit("|"), F.translate("p", "/", ".")).alias("candidate"), F.col("id").alias("target")))
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    if out is not None:
+        out = out.join(asked, "candidate", "left_semi").groupBy("candidate").agg(F.min("target").alias("target"))
+    if "p" in kinds:
+        pk = packages.where("package <> ''").join(own.where(F.col("lang").isin(*JVM, "csharp")).select("path", "lang", "id", "is_test"), "path")
+        pk = pk.groupBy(F.concat(F.lit("p:"), F.when(F.col("lang") == "csharp", "csharp").otherwise("jvm"), F.lit(":"), "package").alias("candidate")).agg(F.min_by("id", F.struct("is_test", "id")).alias("target"))
+        out = pk if out is None else out.unionByName(pk)
+    return out if out is not None else asked.select("candidate", F.lit(None).cast("string").alias("target")).limit(0)
 
 
 def named_roots(facts: DataFrame) -> DataFrame:
@@ -240,35 +261,46 @@ def named_roots(facts: DataFrame) -> DataFrame:
     return go.unionByName(npm).unionByName(rust).unionByName(php)
 
 
-def resolve_imports(imports: DataFrame, source: DataFrame, modules: DataFrame, externals: DataFrame, source_facts: DataFrame, facts: DataFrame) -> DataFrame:
-    """``imports`` (path, n, lang, folder, raw) with target (null where none), internal (a module or of the corpus's own form) and shipped (by the runtime).
+def resolve_names(names: DataFrame, source: DataFrame, modules: DataFrame, externals: DataFrame, packages: DataFrame, facts: DataFrame, said: set[tuple[str, str]]) -> DataFrame:
+    """Distinct ``names`` (KEY) with target (null where none), internal (a module or of the corpus's own form) and shipped (by the runtime).
 
-    source(path, lang, folder, is_test), modules(folder, id), externals(ecosystem, name, id), source_facts(path, package), facts: manifest facts."""
+    source(path, lang, folder, is_test), modules(folder, id), externals(ecosystem, name, id), packages(path, package), facts: manifest facts, said: their (kind, fact)."""
+    langs = {r.lang for r in names.select("lang").distinct().collect()}
+    told = {fact for _, fact in said}
     eco = F.lit(None).cast("string")
     for lang, e in ECOSYSTEM.items():
-        eco = F.when(F.col("lang") == lang, e).otherwise(eco)
+        if lang in langs:
+            eco = F.when(F.col("lang") == lang, e).otherwise(eco)
     lang, folder, raw = F.col("lang"), F.col("folder"), F.col("raw")
     # The outer form keeps Spark from testing each list's size first, which would work the list out twice.
-    parts = [imports.where(lang.isin(*langs)).select("path", "n", F.posexplode_outer(own_candidates(group, folder, raw)).alias("rank", "candidate")).where("candidate IS NOT NULL").withColumn("tier", F.lit(0)).withColumn("internal", F.lit(False)) for group, langs in GROUPS.items()]
-    parts += [
-        alias_candidates(imports, effective_aliases(facts)).withColumn("tier", F.lit(1)),
-        root_candidates(imports, named_roots(facts)).withColumn("tier", F.lit(2)),
-        package_candidates(imports).withColumn("tier", F.lit(3)).withColumn("internal", F.lit(False)),
-        imports.where(~own_form(lang, raw)).select("path", "n", F.posexplode_outer(dependency_candidates(lang, raw, eco)).alias("rank", "candidate")).where("candidate IS NOT NULL").withColumn("tier", F.lit(4)).withColumn("internal", F.lit(False)),
-    ]
-    cand = None
+    parts = [names.where(lang.isin(*spoken)).select(*KEY, F.posexplode_outer(own_candidates(group, folder, raw)).alias("rank", "candidate")).where("candidate IS NOT NULL").withColumn("tier", F.lit(0)).withColumn("internal", F.lit(False)) for group, spoken in GROUPS.items() if not langs.isdisjoint(spoken)]
+    if "alias" in told and not langs.isdisjoint(SCRIPT):
+        parts.append(alias_candidates(names, effective_aliases(facts)).withColumn("tier", F.lit(1)))
+    if not told.isdisjoint(("module", "alias")) and not langs.isdisjoint(("go", "php", "rust", *SCRIPT)):
+        parts.append(root_candidates(names, named_roots(facts)).withColumn("tier", F.lit(2)))
+    if not langs.isdisjoint((*JVM, "csharp")):
+        parts.append(package_candidates(names).withColumn("tier", F.lit(3)).withColumn("internal", F.lit(False)))
+    if "dep" in told:
+        parts.append(names.where(~own_form(lang, raw)).select(*KEY, F.posexplode_outer(dependency_candidates(lang, raw, eco)).alias("rank", "candidate")).where("candidate IS NOT NULL").withColumn("tier", F.lit(4)).withColumn("internal", F.lit(False)))
+    cand = names.select(*KEY, F.lit(0).alias("rank"), F.lit("").alias("candidate"), F.lit(0).alias("tier"), F.lit(False).alias("internal")).limit(0) if not parts else None
     for p in parts:
-        p = p.select("path", "n", F.struct(F.col("tier"), F.col("rank").cast("long").alias("rank")).alias("rank"), "candidate", "internal")
+        p = p.select(*KEY, "rank", "candidate", "tier", "internal")
         cand = p if cand is None else cand.unionByName(p)
+    cand = cut(cand.select(*KEY, F.struct(F.col("tier"), F.col("rank").cast("long").alias("rank")).alias("rank"), "candidate", "internal"))
+    counts = {r.kind: r.n for r in cand.groupBy(F.substring("candidate", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    asked = cand.select("candidate").distinct()
+    asked = F.broadcast(asked) if sum(counts.values()) <= BROADCAST_CANDIDATES else asked
     python_roots = facts.where("ecosystem = 'pypi'").select(folder_of(F.col("path")).alias("dir")).distinct()
-    targets = corpus_targets(source, modules, source_facts, python_roots).withColumn("own", F.lit(True)).unionByName(dependency_targets(externals).withColumn("own", F.lit(False)))
+    targets = corpus_targets(source, modules, packages, python_roots, asked, set(counts)).withColumn("own", F.lit(True))
+    if not {"d", "x"}.isdisjoint(counts):
+        targets = targets.unionByName(dependency_targets(externals).withColumn("own", F.lit(False)))
     hit = cand.join(targets, "candidate", "left")
-    best = hit.groupBy("path", "n").agg(
+    best = hit.groupBy(*KEY).agg(
         F.min_by(F.when(F.col("target").isNotNull(), F.struct("target", "own")), F.when(F.col("target").isNotNull(), F.struct("rank", "target"))).alias("b"), F.max("internal").alias("_claimed")
     )
-    out = imports.join(best, ["path", "n"], "left")
+    out = names.join(best, [*KEY], "left")
     # A name that a rule of the corpus claims is never a dependency, even where the rule finds nothing.
     claimed = F.coalesce("_claimed", F.lit(False))
     own = F.coalesce(F.col("b.own"), F.lit(False))
     target = F.when(own | ~claimed, F.col("b.target"))
-    return out.select(*imports.columns, target.alias("target"), (own | claimed | own_form(lang, raw)).alias("internal"), runtime.ships(lang, raw).alias("shipped"))
+    return out.select(*names.columns, target.alias("target"), (own | claimed | own_form(lang, raw)).alias("internal"), runtime.ships(lang, raw).alias("shipped"))

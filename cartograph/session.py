@@ -42,6 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of a few small files dealt out by columns, so that all cores share what is made of them."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through a table in the shared folder (survives lost executors)."""
     spark = df.sparkSession

@@ -1,5 +1,8 @@
 from cartograph.functions.classify import with_classes
-from cartograph.plans.build import build
+from cartograph.operators import graph
+from cartograph.plans import corpora
+from cartograph.plans import imports as I
+from cartograph.plans.build import Build, build
 
 FILES = {
     "app/main.py": "import os\nimport httpx.client\nfrom store import db\nfrom . import util\nimport yaml\nimport nowhere\n",
@@ -75,3 +78,29 @@ def test_gaps_say_what_was_not_explained(spark):
     assert {n for w, n in gaps if w == "unresolved import"} == {"python nowhere", "c <zlib.h>"}
     assert {n for w, n in gaps if w == "unlinked import"} == {"typescript ~/gone", "go ex.org/tool/gone", "rust self::deep"} - ({"rust self::deep"} if ("unlinked import", "rust self::deep") not in gaps else set())
     assert ("unknown table", "ghosts") in gaps and ("interpolated table", "app/util.py") in gaps
+
+
+def test_a_name_that_many_files_of_a_directory_import_is_resolved_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(I, "resolve_names", lambda names, *a, f=I.resolve_names: f(asked.append(names.count()) or names, *a))
+    files = [(f"a/f{i}.py", "import b\nimport gone\nrun('SELECT x FROM ghosts')\n") for i in range(30)] + [("b/x.py", "y = 1\n"), ("b/test/test_x.py", "import b.x\nimport b.x as c\n")]
+    made = Build(with_classes(spark.createDataFrame(files, "path string, content string")))
+    assert {(r.src, r.dst, r.kind): r.weight for r in made.edges.collect()} == {("/modules/a", "/modules/b", "imports"): 30, ("/modules/b", "/modules/test", "tested_by"): 2, ("/modules/test", "/modules/b", "imports"): 2}
+    assert {(r["what"], r["name"]): r["n"] for r in made.gaps.collect()} == {("unresolved import", "python gone"): 30, ("unknown table", "ghosts"): 30}
+    assert asked == [3]
+
+
+def test_nodes_need_no_imports_and_gaps_no_edges(spark, monkeypatch):
+    df = with_classes(spark.createDataFrame(list(FILES.items()), "path string, content string"))
+    whole = {r.id: r for r in build(df)[0].collect()}
+    monkeypatch.setattr(graph, "merge_edges", None)
+    gaps = Build(df)
+    assert "full" not in gaps.__dict__ and {r["name"] for r in gaps.gaps.collect()} >= {"python nowhere", "ghosts"} and "full" not in gaps.__dict__
+    assert {(r.id, r.kind) for r in gaps.ids.collect()} == {(r.id, r.kind) for r in whole.values()}
+    monkeypatch.setattr(I, "resolve_names", None)
+    assert {r.id: r for r in Build(df).nodes.collect()} == whole
+
+
+def test_files_made_from_a_small_table_are_dealt_out(spark):
+    """One split of orders gives all files; one core would read them."""
+    assert corpora.code_files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
