@@ -354,13 +354,14 @@ class Build:
 
     @cached_property
     def refs(self) -> DataFrame:
-        """what (imports, reads, writes), lang, folder, raw: what the files of a directory name, how often (n), and the first file by ``ord`` that does."""
+        """what (imports, reads, writes), lang, folder, raw: what the files of a directory name, how often (n), and the least ``ord`` of a file that does."""
         named = F.concat(
             F.transform(F.coalesce("imports.raw", _empty()), lambda x: F.struct(F.lit("imports").alias("what"), F.col("lang").alias("lang"), x.alias("raw"))),
             F.transform(F.coalesce("queries", F.array().cast(self.code.schema["queries"].dataType)), lambda q: F.struct(q["access"].alias("what"), F.lit("").alias("lang"), q["table"].alias("raw"))),
         )
-        r = self.code.select("path", "folder", F.explode(named).alias("r")).select("path", "folder", "r.*").withColumn("ord", F.xxhash64("path"))
-        return cut(r.groupBy("what", *I.KEY).agg(F.count(F.lit(1)).alias("n"), F.min_by("path", "ord").alias("source"), F.min("ord").alias("ord")))
+        r = self.code.select("path", "folder", F.explode(named).alias("r")).select(F.xxhash64("path").alias("ord"), "folder", "r.*")
+        # Without texts among the sums Spark needs no sorting for them.
+        return cut(r.groupBy("what", *I.KEY).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")))
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -380,9 +381,11 @@ class Build:
     def edges(self) -> DataFrame:
         """src, dst, kind, confidence, weight, source."""
         facts, modules, externals = self.facts, self.modules, self.externals
-        ends = self.linked.where("target IS NOT NULL").select("folder", "target", F.lit("imports").alias("kind"), F.col("n").alias("weight"), "source", "ord")
-        ends = ends.unionByName(self.known.where("id IS NOT NULL").select("folder", F.col("id").alias("target"), F.col("what").alias("kind"), F.lit(0).cast("long").alias("weight"), "source", "ord"))
-        edges = ends.join(modules, "folder").select(F.col("id").alias("src"), F.col("target").alias("dst"), "kind", F.lit("extracted").alias("confidence"), "weight", "source", "ord")
+        ends = self.linked.where("target IS NOT NULL").select("folder", "target", F.lit("imports").alias("kind"), F.col("n").alias("weight"), "ord")
+        ends = ends.unionByName(self.known.where("id IS NOT NULL").select("folder", F.col("id").alias("target"), F.col("what").alias("kind"), F.lit(0).cast("long").alias("weight"), "ord"))
+        # The first file by ord of each end.
+        firsts = self.code.select("path", F.xxhash64("path").alias("ord")).join(self.refs.select("ord").distinct(), "ord").groupBy("ord").agg(F.min("path").alias("source"))
+        edges = ends.join(firsts, "ord").join(modules, "folder").select(F.col("id").alias("src"), F.col("target").alias("dst"), "kind", F.lit("extracted").alias("confidence"), "weight", "source", "ord")
         parts = [dependency_edges(facts, externals, modules)] if self.has("dep") else []
         parts += [service_edges(facts, self.ids, modules)] if self.has("service") else []
         parts += [pipeline_edges(facts, self.ids, externals)] if self.has("job") else []

@@ -194,3 +194,23 @@ def test_stream_of_events(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n), sum(total_cents) FROM win").first() == (100, 5000)
+
+
+def test_only_paths_that_may_be_manifests_reach_the_readers(spark):
+    """What the plan keeps back is what no route fits, in other letters and after odd line ends too."""
+    paths = [
+        "a/x.py", "db/migrations/1_x.py", "db/Migrations/1_x.py", "migrate/a\rb.sql", "a/dockerfile.py", "a/Docker\u0131le.go", "a/doc\u212aerfile.js", "go.mod", "go.mod\n", "go.mod\r", "a/\u00e9\u00b2requirements-\u00b2.txt", "x.tf",
+        "tsconfig.\u00e9.json", "K8S/a.yml", "k8s/a\nb.yml", "ADR/x.MD", "x.sql", "", "Makefile", "a/b.vue", "values\u00e9.yaml",
+    ]
+    df = spark.createDataFrame([(p, "") for p in paths] + [(None, "x")], "path string, content string")
+    got = {r.path for r in manifests.read_manifests(df).collect()}
+    assert got == {p for p in paths if manifests.route(p)}
+    plan = manifests.read_manifests(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "migrat" in plan
+
+
+def test_leading_imports_are_read_by_line_with_the_rest_as_before():
+    f = extract.facts_of("import os\n\nfrom .a import b, c\nimport q as r\n\n\ndef f():\n    import os\n    run('SELECT a FROM t')\n", "python", "p/x.py")
+    assert f.imports == [(".a", "", ["b", "c"], 3), ("os", "", [], 1), ("q", "r", [], 4)] and f.symbols[0][4] == 7 and f.queries == [("t", "reads", 9)]
+    assert extract.leading_imports("import os\n\nx = 1\nimport b\n") == ([("os", "", [], 1)], "\n\nx = 1\nimport b\n")
+    assert extract.facts_of("import class\nimport a\n", "python").incomplete and extract.facts_of("import a\n  x\n", "python").incomplete
